@@ -4,4 +4,7 @@ Importing this package registers every query in ``registry.REGISTRY``.
 """
 
 from . import similarity_reports  # noqa: F401
+from . import variance_reports  # noqa: F401
+from . import task_reports  # noqa: F401
+from . import attempt_reports  # noqa: F401
 from .registry import REGISTRY  # noqa: F401

@@ -64,3 +64,24 @@ def register(name: str, sql: str | None, operators: Sequence[str]):
         return fn
 
     return deco
+
+
+def sql_text(s: str) -> str:
+    """A DuckDB string expression for ``s`` (quotes doubled, newlines as chr(10))."""
+    parts = s.split("\n")
+    lits = ["'" + p.replace("'", "''") + "'" for p in parts]
+    return " || chr(10) || ".join(lits) if len(lits) > 1 else lits[0]
+
+
+def sql_format(template: str, *exprs: str) -> str:
+    """DuckDB concatenation of a %s template with SQL expressions."""
+    pieces = template.split("%s")
+    if len(pieces) != len(exprs) + 1:
+        raise ValueError("placeholder count mismatch")
+    out = []
+    for i, p in enumerate(pieces):
+        if p:
+            out.append(sql_text(p))
+        if i < len(exprs):
+            out.append(f"({exprs[i]})")
+    return "(" + " || ".join(out) + ")"

@@ -79,10 +79,10 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expected grid, as a stand-in input for coverage jobs."""
+    from ..operators.grid import expand
     p = personas(spark, sf_dir).where(F.col("professional_persona").isNotNull())
-    return (p.select("persona_id").crossJoin(topics(spark, sf_dir))
-             .crossJoin(models(spark, sf_dir))
-             .select("model", "topic", "persona_id"))
+    g = expand(p.select("persona_id"), topics(spark, sf_dir), "topic")
+    return expand(g, models(spark, sf_dir), "model").select("model", "topic", "persona_id")
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
