@@ -61,15 +61,21 @@ def replicate_to_block_pairs(blocked: DataFrame) -> DataFrame:
 def evaluate_pairs(vectors: DataFrame, keys: Sequence[str], id_col: str, vec_col: str,
                    reducer: Reducer, out_schema: T.StructType,
                    extra_cols: Sequence[str] = (), block_size: int = DEFAULT_BLOCK,
-                   metric: str = "cosine") -> DataFrame:
+                   metric: str = "cosine", sparse_dim: int | None = None) -> DataFrame:
     """Run ``reducer`` on every block pair of every group.
 
     ``metric`` 'cosine' hands the reducer unit vectors (zero rows stay zero);
     'raw' hands the vectors as given (for Euclidean distances).
+    With ``sparse_dim`` the vector column is a struct (idx, val) of a vector
+    with that many dimensions; blocks are densified inside the task.
     """
     keys = list(keys)
     extra_cols = list(extra_cols)
-    base = vectors.select(*keys, id_col, vec_col, *extra_cols)
+    if sparse_dim is not None:
+        base = vectors.select(*keys, id_col, F.col(f"{vec_col}.idx").alias("_idx"),
+                              F.col(f"{vec_col}.val").alias("_val"), *extra_cols)
+    else:
+        base = vectors.select(*keys, id_col, vec_col, *extra_cols)
     reps = replicate_to_block_pairs(assign_blocks(base, keys, id_col, block_size))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,7 +85,11 @@ def evaluate_pairs(vectors: DataFrame, keys: Sequence[str], id_col: str, vec_col
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
         a = pdf[pdf["block"] == lo]
         b = a if lo == hi else pdf[pdf["block"] == hi]
-        ma, mb = _matrix(a[vec_col], metric), _matrix(b[vec_col], metric)
+        if sparse_dim is not None:
+            ma = _sparse_matrix(a["_idx"], a["_val"], sparse_dim, metric)
+            mb = _sparse_matrix(b["_idx"], b["_val"], sparse_dim, metric)
+        else:
+            ma, mb = _matrix(a[vec_col], metric), _matrix(b[vec_col], metric)
         out = reducer(key, a[id_col].to_numpy(), ma, b[id_col].to_numpy(), mb, lo == hi,
                       a[extra_cols] if extra_cols else None,
                       b[extra_cols] if extra_cols else None)
@@ -107,6 +117,16 @@ def _matrix(col: pd.Series, metric: str) -> np.ndarray:
     return x
 
 
+def _sparse_matrix(idx: pd.Series, val: pd.Series, dim: int, metric: str) -> np.ndarray:
+    x = np.zeros((len(idx), dim), dtype=np.float64)
+    for i, (ix, vx) in enumerate(zip(idx.to_numpy(), val.to_numpy())):
+        if ix is not None and len(ix):
+            x[i, np.asarray(ix, dtype=np.int64)] = np.asarray(vx, dtype=np.float64)
+    if metric == "cosine":
+        return unit_rows(x, np.sqrt((x * x).sum(axis=1)))
+    return x
+
+
 def _pair_view(ids_a, ma, ids_b, mb, same):
     """Similarity values of the block pair, as (ia, ib, s) with each pair once."""
     s = ma @ mb.T
@@ -241,10 +261,34 @@ def connections(vectors: DataFrame, coords: DataFrame, threshold: float = 0.8,
     return links.join(ca, keys + ["id_a"]).join(cb, keys + ["id_b"])
 
 
-def similarity_band(sim: F.Column) -> F.Column:
-    """Named band of a similarity value (perfect, high, moderate, low, opposing)."""
-    return (F.when(sim >= 1.0, "perfect")
-             .when(sim >= 0.8, "high")
-             .when(sim >= 0.5, "moderate")
-             .when(sim >= 0.0, "low")
-             .when(sim < 0.0, "opposing"))
+def pair_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
+                 id_col: str = "persona_id", vec_col: str = "embedding",
+                 sparse_dim: int | None = None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """Per group: n, pairs, sum_s, sum_s2, mean and population std from block sums.
+
+    Each block pair sends one row of sums; used for vectors whose closed form
+    would need a d x d Gram matrix per group (TF-IDF rows with up to 1000
+    dimensions).
+    """
+    keys = list(keys)
+    schema = T.StructType(_key_fields(vectors, keys) + [
+        T.StructField("p", T.LongType()), T.StructField("s1", T.DoubleType()),
+        T.StructField("s2", T.DoubleType())])
+
+    def reducer(key, ids_a, ma, ids_b, mb, same, _ea, _eb):
+        _ia, _ib, s = _pair_view(ids_a, ma, ids_b, mb, same)
+        return pd.DataFrame({"p": [len(s)], "s1": [float(s.sum())], "s2": [float((s * s).sum())]})
+
+    v = vectors.withColumn(id_col, F.col(id_col).cast("string"))
+    sums = evaluate_pairs(v, keys, id_col, vec_col, reducer, schema, block_size=block_size,
+                          sparse_dim=sparse_dim).groupBy(*keys).agg(
+        F.sum("p").alias("pairs"), F.sum("s1").alias("sum_s"), F.sum("s2").alias("sum_s2"))
+    n = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    j = n.join(sums, keys, "left")
+    pairs = F.expr("n * (n - 1) div 2")
+    mean = F.col("sum_s") / F.col("pairs")
+    var = F.greatest(F.col("sum_s2") / F.col("pairs") - mean * mean, F.lit(0.0))
+    out = j.select(*keys, "n", pairs.alias("pairs"), F.coalesce("sum_s", F.lit(0.0)).alias("sum_s"),
+                   F.coalesce("sum_s2", F.lit(0.0)).alias("sum_s2"))
+    return out.select("*", F.when(F.col("pairs") > 0, mean).alias("mean_similarity"),
+                      F.when(F.col("pairs") > 0, F.sqrt(var)).alias("std_similarity"))

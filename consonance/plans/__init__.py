@@ -7,4 +7,5 @@ from . import similarity_reports  # noqa: F401
 from . import variance_reports  # noqa: F401
 from . import task_reports  # noqa: F401
 from . import attempt_reports  # noqa: F401
+from . import text_reports  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
