@@ -9,4 +9,5 @@ from . import task_reports  # noqa: F401
 from . import attempt_reports  # noqa: F401
 from . import text_reports  # noqa: F401
 from . import cluster_reports  # noqa: F401
+from . import io_reports  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
