@@ -15,21 +15,28 @@ from .registry import oracle, register, sql_text
 from .views import with_views
 
 WS = validity.WS
-_TRIM = f"regexp_replace(response, '^{WS}+|{WS}+$', '', 'g')"
 
 
-def _contains_sql(patterns):
-    return " OR ".join(f"contains(lower(response), {sql_text(p)})" for p in patterns)
+def _contains_sql(col, patterns):
+    return " OR ".join(f"contains(lower({col}), {sql_text(p)})" for p in patterns)
 
 
-_EMPTY = f"(response IS NULL OR length(response) = 0 OR length({_TRIM}) = 0)"
-_SHORT = f"length({_TRIM}) < {validity.MIN_LENGTH}"
-_NOLETTER = "NOT regexp_matches(response, '\\p{L}')"
-REASON8 = (f"CASE WHEN {_EMPTY} THEN 'empty' WHEN {_SHORT} THEN 'too_short' WHEN {_NOLETTER} THEN 'no_letter' "
-           f"WHEN {_contains_sql(validity.ERROR_PATTERNS_8)} THEN 'error_phrase' END")
-REASON11 = (f"CASE WHEN {_EMPTY} THEN 'empty' WHEN {_SHORT} THEN 'too_short' "
-            f"WHEN {_contains_sql(validity.ERROR_PATTERNS_11)} THEN 'error_phrase' "
-            f"WHEN {_NOLETTER} THEN 'no_letter' END")
+def reason_sql(col: str, patterns: str) -> str:
+    """SQL of ``validity.invalid_reason`` for the text column ``col``."""
+    trim = f"regexp_replace({col}, '^{WS}+|{WS}+$', '', 'g')"
+    empty = f"({col} IS NULL OR length({col}) = 0 OR length({trim}) = 0)"
+    short = f"length({trim}) < {validity.MIN_LENGTH}"
+    noletter = f"NOT regexp_matches({col}, '\\p{{L}}')"
+    if patterns == "8":
+        return (f"CASE WHEN {empty} THEN 'empty' WHEN {short} THEN 'too_short' WHEN {noletter} THEN 'no_letter' "
+                f"WHEN {_contains_sql(col, validity.ERROR_PATTERNS_8)} THEN 'error_phrase' END")
+    return (f"CASE WHEN {empty} THEN 'empty' WHEN {short} THEN 'too_short' "
+            f"WHEN {_contains_sql(col, validity.ERROR_PATTERNS_11)} THEN 'error_phrase' "
+            f"WHEN {noletter} THEN 'no_letter' END")
+
+
+REASON8 = reason_sql("response", "8")
+REASON11 = reason_sql("response", "11")
 PRIORITY = ("CASE WHEN contains(lower(coalesce(response, '')), 'rate limit') THEN 1 "
             "WHEN contains(lower(coalesce(response, '')), 'timeout') "
             "OR contains(lower(coalesce(response, '')), 'connection') THEN 2 ELSE 3 END")
