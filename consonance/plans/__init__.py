@@ -11,4 +11,5 @@ from . import text_reports  # noqa: F401
 from . import cluster_reports  # noqa: F401
 from . import io_reports  # noqa: F401
 from . import inference_reports  # noqa: F401
+from . import stream_reports  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
