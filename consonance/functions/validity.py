@@ -63,6 +63,39 @@ def invalid_reason(text: Column, patterns: str = "11") -> Column:
              .when(no_letter, "no_letter"))
 
 
+def _reason_from_parts(is_null: Column, raw_len: Column, trim_len: Column, low: Column,
+                       has_letter: Column, patterns: str) -> Column:
+    empty = is_null | (raw_len == 0) | (trim_len == 0)
+    short = trim_len < MIN_LENGTH
+    no_letter = ~has_letter
+    if patterns == "8":
+        phrase = _contains_any(low, ERROR_PATTERNS_8)
+        return (F.when(empty, "empty").when(short, "too_short").when(no_letter, "no_letter")
+                 .when(phrase, "error_phrase"))
+    phrase = _contains_any(low, ERROR_PATTERNS_11)
+    return (F.when(empty, "empty").when(short, "too_short").when(phrase, "error_phrase")
+             .when(no_letter, "no_letter"))
+
+
+def with_validity(df, text_col: str = "response", which=("8", "11")):
+    """Add ``reason_<p>`` columns for each check in ``which`` (NULL = valid).
+
+    The trimmed length, the lowercased text and the letter test are computed
+    once per row in their own projection (so they are not re-evaluated per
+    check), after spreading an under-partitioned input over the cores.
+    """
+    from ..operators.layout import spread
+
+    t = F.col(text_col)
+    parts = spread(df).select("*", t.isNull().alias("_v_null"), F.length(t).alias("_v_len"),
+                              F.length(unicode_trim(t)).alias("_v_tlen"), F.lower(t).alias("_v_low"),
+                              t.rlike(r"\p{L}").alias("_v_letter"))
+    out = parts.select("*", *[_reason_from_parts(F.col("_v_null"), F.col("_v_len"), F.col("_v_tlen"),
+                                                  F.col("_v_low"), F.coalesce(F.col("_v_letter"), F.lit(False)),
+                                                  p).alias(f"reason_{p}") for p in which])
+    return out.drop("_v_null", "_v_len", "_v_tlen", "_v_low", "_v_letter")
+
+
 def is_valid(text: Column, patterns: str = "11") -> Column:
     """True when the answer passes the check (NULL-safe: NULL text is invalid)."""
     return invalid_reason(text, patterns).isNull()

@@ -37,10 +37,15 @@ Reducer = Callable[..., "pd.DataFrame | None"]
 
 
 def assign_blocks(vectors: DataFrame, keys: Sequence[str], id_col: str,
-                  block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Add ``block`` and ``nb`` columns (hash blocks of at most ~block_size rows)."""
+                  block_size: int = DEFAULT_BLOCK, sizes: DataFrame | None = None) -> DataFrame:
+    """Add ``block`` and ``nb`` columns (hash blocks of at most ~block_size rows).
+
+    ``sizes`` (keys, n) may give the group sizes from a cheaper source than
+    the vectors themselves.
+    """
     keys = list(keys)
-    counts = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (sizes.select(*keys, F.col("n").alias("_n")) if sizes is not None
+              else vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_size))).cast("int")
     counts = counts.select(*keys, nb.alias("nb"))
     # the count table has one row per group; AQE broadcasts it when it is small
@@ -61,7 +66,8 @@ def replicate_to_block_pairs(blocked: DataFrame) -> DataFrame:
 def evaluate_pairs(vectors: DataFrame, keys: Sequence[str], id_col: str, vec_col: str,
                    reducer: Reducer, out_schema: T.StructType,
                    extra_cols: Sequence[str] = (), block_size: int = DEFAULT_BLOCK,
-                   metric: str = "cosine", sparse_dim: int | None = None) -> DataFrame:
+                   metric: str = "cosine", sparse_dim: int | None = None,
+                   sizes: DataFrame | None = None) -> DataFrame:
     """Run ``reducer`` on every block pair of every group.
 
     ``metric`` 'cosine' hands the reducer unit vectors (zero rows stay zero);
@@ -76,7 +82,7 @@ def evaluate_pairs(vectors: DataFrame, keys: Sequence[str], id_col: str, vec_col
                               F.col(f"{vec_col}.val").alias("_val"), *extra_cols)
     else:
         base = vectors.select(*keys, id_col, vec_col, *extra_cols)
-    reps = replicate_to_block_pairs(assign_blocks(base, keys, id_col, block_size))
+    reps = replicate_to_block_pairs(assign_blocks(base, keys, id_col, block_size, sizes))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
@@ -263,7 +269,8 @@ def connections(vectors: DataFrame, coords: DataFrame, threshold: float = 0.8,
 
 def pair_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
                  id_col: str = "persona_id", vec_col: str = "embedding",
-                 sparse_dim: int | None = None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                 sparse_dim: int | None = None, block_size: int = DEFAULT_BLOCK,
+                 sizes: DataFrame | None = None) -> DataFrame:
     """Per group: n, pairs, sum_s, sum_s2, mean and population std from block sums.
 
     Each block pair sends one row of sums; used for vectors whose closed form
@@ -280,10 +287,10 @@ def pair_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
         return pd.DataFrame({"p": [len(s)], "s1": [float(s.sum())], "s2": [float((s * s).sum())]})
 
     v = vectors.withColumn(id_col, F.col(id_col).cast("string"))
+    n = sizes if sizes is not None else vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     sums = evaluate_pairs(v, keys, id_col, vec_col, reducer, schema, block_size=block_size,
-                          sparse_dim=sparse_dim).groupBy(*keys).agg(
+                          sparse_dim=sparse_dim, sizes=n).groupBy(*keys).agg(
         F.sum("p").alias("pairs"), F.sum("s1").alias("sum_s"), F.sum("s2").alias("sum_s2"))
-    n = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     j = n.join(sums, keys, "left")
     pairs = F.expr("n * (n - 1) div 2")
     mean = F.col("sum_s") / F.col("pairs")

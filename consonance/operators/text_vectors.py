@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .layout import spread
+
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -80,8 +82,19 @@ def tfidf_weights(docs: DataFrame, keys: Sequence[str] = ("model", "topic"),
     keys = list(keys)
     d = docs.select(*keys, id_col, text_col)
     n_docs = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"))
-    tf = tokens(d, keys, id_col, text_col, stop_words).groupBy(*keys, id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    # explicit null filters make both consumers of ``tf`` the same plan, so
+    # its shuffle is computed once and reused (no second tokenisation)
+    not_null = F.col("term").isNotNull() & F.col(id_col).isNotNull()
+    for k in keys:
+        not_null = not_null & F.col(k).isNotNull()
+    # tokens are shuffled once by (group, term): the term counts per document,
+    # the vocabulary statistics and the vocabulary join all need no further
+    # exchange, so the texts are tokenised exactly once
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(n_parts, docs.sparkSession.sparkContext.defaultParallelism)
+    toks = tokens(spread(d), keys, id_col, text_col, stop_words).where(not_null)
+    toks = toks.repartition(n_parts, *keys, "term")
+    tf = toks.groupBy(*keys, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy(*keys, "term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
     vocab = top_k_terms(stats, keys, max_features).join(n_docs, keys)
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
@@ -89,9 +102,9 @@ def tfidf_weights(docs: DataFrame, keys: Sequence[str] = ("model", "topic"),
     # the vocabulary has at most max_features rows per group; AQE picks the join
     w = tf.join(vocab, keys + ["term"]).select(*keys, id_col, "term", "term_idx",
                                                 (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(*keys, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, keys + [id_col]).select(
-        *keys, id_col, "term", "term_idx", (F.col("w") / F.col("_norm")).alias("weight"))
+    # row norm over one document's terms (at most max_features rows per window)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, id_col)))
+    return w.select(*keys, id_col, "term", "term_idx", (F.col("w") / norm).alias("weight"))
 
 
 def sparse_vectors(weights: DataFrame, docs: DataFrame, keys: Sequence[str] = ("model", "topic"),

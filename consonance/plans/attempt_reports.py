@@ -48,13 +48,11 @@ SELECT model, topic, persona_id, {REASON8} AS reason_8, {REASON11} AS reason_11,
     ["model", "topic", "persona_id", "reason_8", "reason_11", "valid_8", "valid_11"]), ["P16", "P17"])
 def q_answer_validity(spark, sf_dir):
     """Both validity checks with the reason of the first failing rule (whole texts)."""
-    a = views.answers(spark, sf_dir)
-    r = F.col("response")
-    return a.select("model", "topic", "persona_id",
-                    validity.invalid_reason(r, "8").alias("reason_8"),
-                    validity.invalid_reason(r, "11").alias("reason_11"),
-                    validity.is_valid(r, "8").alias("valid_8"),
-                    validity.is_valid(r, "11").alias("valid_11"))
+    a = views.answers(spark, sf_dir).select("model", "topic", "persona_id", "response")
+    v = validity.with_validity(a, "response")
+    return v.select("model", "topic", "persona_id", "reason_8", "reason_11",
+                    F.col("reason_8").isNull().alias("valid_8"),
+                    F.col("reason_11").isNull().alias("valid_11"))
 
 
 @register("answer_outcomes", oracle(with_views(f"""

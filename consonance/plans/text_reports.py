@@ -70,7 +70,8 @@ def q_tfidf_moments(spark, sf_dir):
     """
     a = views.answers(spark, sf_dir)
     vec = text_vectors.sparse_vectors(_weights(spark, sf_dir), a)
-    m = pairs.pair_moments(vec, vec_col="vec", sparse_dim=1000)
+    sizes = a.groupBy("model", "topic").count().withColumnRenamed("count", "n")
+    m = pairs.pair_moments(vec, vec_col="vec", sparse_dim=1000, sizes=sizes)
     return m.select("model", "topic", "n", "pairs", "mean_similarity", "std_similarity")
 
 
