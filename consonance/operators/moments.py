@@ -130,11 +130,14 @@ def finish_moments(per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(pairs > 0, sum_s).otherwise(F.lit(0.0)).alias("sum_s"),
         F.when(pairs > 0, sum_s2).otherwise(F.lit(0.0)).alias("sum_s2"))
     mean = F.col("sum_s") / F.col("pairs")
+    # E[s^2] - E[s]^2 cancels when all values are close: clamp at 0, and a
+    # single pair has no spread at all
     var = F.greatest(F.col("sum_s2") / F.col("pairs") - mean * mean, F.lit(0.0))
     return out.select(
         "*",
         F.when(F.col("pairs") > 0, mean).alias("mean_similarity"),
-        F.when(F.col("pairs") > 0, F.sqrt(var)).alias("std_similarity"))
+        F.when(F.col("pairs") == 1, F.lit(0.0)).when(F.col("pairs") > 1, F.sqrt(var))
+         .alias("std_similarity"))
 
 
 def pooled(moments: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -91,6 +91,8 @@ def evaluate_pairs(vectors: DataFrame, keys: Sequence[str], id_col: str, vec_col
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
         a = pdf[pdf["block"] == lo]
         b = a if lo == hi else pdf[pdf["block"] == hi]
+        if len(a) == 0 or len(b) == 0:  # an empty hash block has no pairs
+            return pd.DataFrame(columns=out_schema.fieldNames())
         if sparse_dim is not None:
             ma = _sparse_matrix(a["_idx"], a["_val"], sparse_dim, metric)
             mb = _sparse_matrix(b["_idx"], b["_val"], sparse_dim, metric)
