@@ -166,3 +166,27 @@ def encode(docs: DataFrame, encoder_factory: Callable, text_col: str = "response
                 yield part
 
     return docs.mapInPandas(fn, schema)
+
+
+def hashing_encoder(dim: int = 64) -> Callable:
+    """A small deterministic encoder: token counts hashed into ``dim`` signed buckets.
+
+    Stands in for a sentence encoder where none is installed; any callable
+    mapping a list of texts to a 2-D array can be passed to ``encode``.
+    """
+    import re
+    import zlib
+
+    import numpy as np
+
+    tok = re.compile(r"[^\W]{2,}")
+
+    def enc(texts):
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for i, t in enumerate(texts):
+            for w in tok.findall(t.lower()):
+                h = zlib.crc32(w.encode("utf-8"))
+                out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+        return out
+
+    return enc

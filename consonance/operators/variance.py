@@ -225,3 +225,26 @@ def variability_extremes(cv: DataFrame, k: int = 3) -> DataFrame:
     least = top_k_by(cv, "avg_variability", k, ascending=True).withColumn("side", F.lit("least_variable"))
     most = top_k_by(cv, "avg_variability", k).withColumn("side", F.lit("most_variable"))
     return least.unionByName(most)
+
+
+def comparison_tables(moments: DataFrame, control_var: DataFrame | None = None,
+                      persona_var: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every chart-ready comparison table from one moments table (both experiments).
+
+    comparison, consistency_variability, zones, sensitivity_ranking,
+    box_stats (control and main) and metric_table (long form).
+    """
+    cv = control_var if control_var is not None else within_model_variance(
+        moments.where(F.col("experiment") == "control"))
+    pv = persona_var if persona_var is not None else across_persona_variance(
+        moments.where(F.col("experiment") == "main"))
+    comp = comparison(moments)
+    return {
+        "comparison": comp,
+        "consistency_variability": consistency_variability(moments),
+        "zones": zones(comp),
+        "sensitivity_ranking": sensitivity_ranking(comp),
+        "box_stats": box_stats(cv, "mean_similarity", "control").unionByName(
+            box_stats(pv, "mean_similarity", "main")),
+        "metric_table": metric_table(merge_variance(cv, pv), long=True),
+    }

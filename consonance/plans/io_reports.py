@@ -119,3 +119,36 @@ def q_resume_merge_roundtrip(spark, sf_dir):
     new = todo.select("model", "topic", "persona_id",
                       F.concat(F.lit("recovered "), F.col("persona_id")).alias("response"))
     return coverage.merge_results(existing, new).select("model", "topic", "persona_id", "response")
+
+
+@register("control_persona_roundtrip", oracle(with_views("""
+SELECT persona_id, persona FROM personas ORDER BY CAST(persona_id AS BIGINT) LIMIT 1""", "personas"),
+    ["persona_id", "persona"]), ["S3"])
+def q_control_persona_roundtrip(spark, sf_dir):
+    """The first persona written as a one-persona document and read with the strict reader."""
+    p = views.personas(spark, sf_dir)
+    first = p.orderBy(F.col("persona_id").cast("bigint")).limit(1).withColumnRenamed("persona_id", "uuid")
+    path = scratch_path(spark, "control-persona")
+    files.write_persona_documents(first, path, rows_per_doc=100)
+    back = files.read_single_persona(spark, path, multi_line=False)
+    return back.select(F.col("uuid").alias("persona_id"), "persona")
+
+
+@register("similarity_bundle_roundtrip", oracle(with_views("""
+, u AS (SELECT model, topic, persona_id, CAST(embedding AS DOUBLE[]) AS v FROM obs WHERE experiment = 'main'),
+un AS (SELECT *, sqrt(list_dot_product(v, v)) AS nrm FROM u),
+ps AS (SELECT a.model, a.topic, CASE WHEN a.nrm = 0 OR b.nrm = 0 THEN 0.0
+         ELSE list_dot_product(a.v, b.v) / (a.nrm * b.nrm) END AS s
+       FROM un a JOIN un b ON a.model = b.model AND a.topic = b.topic AND a.persona_id < b.persona_id),
+g AS (SELECT model, topic, count(*) AS n FROM u GROUP BY model, topic)
+SELECT g.model, g.topic, CAST(g.n AS BIGINT) AS n, avg(ps.s) AS mean_similarity FROM g
+LEFT JOIN ps ON g.model = ps.model AND g.topic = ps.topic GROUP BY g.model, g.topic, g.n""", "obs"),
+    ["model", "topic", "n", "mean_similarity"], ["mean_similarity"]), ["K5", "S11"])
+def q_similarity_bundle_roundtrip(spark, sf_dir):
+    """Group moments and vectors written as a partitioned bundle, moments read back."""
+    o = views.obs(spark, sf_dir).where(F.col("experiment") == "main").drop("experiment")
+    m = moments.group_moments(o)
+    path = scratch_path(spark, "bundle")
+    files.write_similarity_bundle(m, o, path)
+    back, _vec = files.read_similarity_bundle(spark, path)
+    return back.where(F.col("experiment") == "main").select("model", "topic", "n", "mean_similarity")

@@ -231,3 +231,28 @@ def q_connections(spark, sf_dir):
                       F.col("embedding")[1].cast("double").alias("y"),
                       F.col("embedding")[2].cast("double").alias("z"))
     return pairs.connections(o, coords, threshold=0.3)
+
+
+@register("similarity_bands", oracle(_sql(MOMENTS_SQL + """
+SELECT model, topic, mean_similarity,
+  CASE WHEN mean_similarity >= 1.0 THEN 'perfect' WHEN mean_similarity >= 0.8 THEN 'high'
+       WHEN mean_similarity >= 0.5 THEN 'moderate' WHEN mean_similarity >= 0.0 THEN 'low'
+       WHEN mean_similarity < 0.0 THEN 'opposing' END AS band
+FROM mom WHERE experiment = 'main'"""), ["model", "topic", "mean_similarity", "band"], ["mean_similarity"]),
+    ["P25"])
+def q_similarity_bands(spark, sf_dir):
+    """Named similarity band of every group's mean similarity."""
+    from ..functions.grades import similarity_band
+    m = main_moments(spark, sf_dir)
+    return m.select("model", "topic", "mean_similarity", similarity_band(F.col("mean_similarity")).alias("band"))
+
+
+@register("encoded_moments", None, ["V1", "X1"])
+def q_encoded_moments(spark, sf_dir):
+    """Text answers encoded by a pluggable encoder (a token-hashing encoder here) in
+    mapInPandas, then closed-form similarity moments per (model, topic)."""
+    from ..operators import text_vectors
+    a = views.answers(spark, sf_dir).select("model", "topic", "persona_id", "response")
+    enc = text_vectors.encode(a, lambda: text_vectors.hashing_encoder(64))
+    return moments.group_moments(enc).select("model", "topic", "n", "pairs", "mean_similarity",
+                                             "std_similarity")

@@ -268,3 +268,14 @@ def q_stacked_variance(spark, sf_dir):
     """Both variance tables tagged with their experiment and stacked."""
     m = _moments_both(spark, sf_dir)
     return variance.stacked_variance(_cvar(m), _pvar(m))
+
+
+@register("comparison_tables", None, ["R7"])
+def q_comparison_tables(spark, sf_dir):
+    """All chart-ready comparison tables built in one call; one row per table with its size."""
+    tables = variance.comparison_tables(_moments_both(spark, sf_dir))
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out

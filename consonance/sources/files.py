@@ -88,11 +88,11 @@ def persona_page(spark: SparkSession, path: str, offset: int = 0, length: int =
     return e.orderBy("file", "row_idx").offset(offset).limit(length)
 
 
-def read_single_persona(spark: SparkSession, path: str) -> DataFrame:
+def read_single_persona(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The control persona: the path must exist and hold exactly one persona row."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    p = read_personas(spark, path)
+    p = read_personas(spark, path, multi_line)
     n = p.limit(2).count()
     if n != 1:
         raise ValueError(f"expected one persona in {path}, found {n if n < 2 else 'several'}")
