@@ -319,6 +319,14 @@ def point_table(coords: DataFrame, labels: DataFrame, keys: Sequence[str], id_co
 # grouped k-means and Gaussian mixtures
 
 
+def _by_group(params: dict) -> dict:
+    """{(group, k): p} -> {group: [(k, p), ...]} for per-group lookups inside tasks."""
+    out: dict = {}
+    for (g, k), p in params.items():
+        out.setdefault(g, []).append((k, p))
+    return out
+
+
 def _check_size(n_doubles: int) -> None:
     if n_doubles > MAX_MODEL_DOUBLES:
         raise ValueError(f"model parameters of {n_doubles} doubles exceed {MAX_MODEL_DOUBLES}; "
@@ -424,15 +432,13 @@ def kmeans(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col: st
         bc = spark.sparkContext.broadcast(centres)
 
         def step(batches, bc=bc):
-            cs = bc.value
+            cs = _by_group(bc.value)
             acc: dict = {}
             for pdf in batches:
                 for key, idx in pdf.groupby(keys, sort=False).indices.items():
                     g = key if isinstance(key, tuple) else (key,)
                     x = np.stack(pdf["_x"].iloc[idx].to_numpy())
-                    for (gg, k), c in cs.items():
-                        if gg != g:
-                            continue
+                    for k, c in cs.get(g, ()):
                         lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
                         for j in range(k):
                             m = lab == j
@@ -470,18 +476,17 @@ def _assign(pts: DataFrame, keys: list[str], centres: dict, spark) -> DataFrame:
         T.StructField("cluster", T.IntegerType())])
 
     def fn(batches):
-        cs = bc.value
+        cs = _by_group(bc.value)
         for pdf in batches:
             out = []
             for key, idx in pdf.groupby(keys, sort=False).indices.items():
                 g = key if isinstance(key, tuple) else (key,)
                 x = np.stack(pdf["_x"].iloc[idx].to_numpy())
                 ids = pdf["_id"].iloc[idx].to_numpy()
-                for (gg, k), c in cs.items():
-                    if gg == g:
-                        lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
-                        out.append(pd.DataFrame({**{kk: [g[i]] * len(ids) for i, kk in enumerate(keys)},
-                                                 "k": k, "_id": ids, "cluster": lab.astype(np.int32)}))
+                for k, c in cs.get(g, ()):
+                    lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
+                    out.append(pd.DataFrame({**{kk: [g[i]] * len(ids) for i, kk in enumerate(keys)},
+                                             "k": k, "_id": ids, "cluster": lab.astype(np.int32)}))
             if out:
                 yield pd.concat(out, ignore_index=True)[schema.fieldNames()]
 
@@ -530,15 +535,13 @@ def gaussian_mixture(points: DataFrame, keys: Sequence[str], ks: Sequence[int],
         bc = spark.sparkContext.broadcast(params)
 
         def estep(batches, bc=bc):
-            ps = bc.value
+            ps = _by_group(bc.value)
             acc: dict = {}
             for pdf in batches:
                 for key, idx in pdf.groupby(keys, sort=False).indices.items():
                     g = key if isinstance(key, tuple) else (key,)
                     x = np.stack(pdf["_x"].iloc[idx].to_numpy())
-                    for (gg, k), (w, mu, cov) in ps.items():
-                        if gg != g:
-                            continue
+                    for k, (w, mu, cov) in ps.get(g, ()):
                         lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j])
                                        for j in range(k)], axis=1)
                         mx = lp.max(1, keepdims=True)
@@ -590,19 +593,18 @@ def _assign_gmm(pts, keys, params, spark):
         T.StructField("cluster", T.IntegerType())])
 
     def fn(batches):
-        ps = bc.value
+        ps = _by_group(bc.value)
         for pdf in batches:
             out = []
             for key, idx in pdf.groupby(keys, sort=False).indices.items():
                 g = key if isinstance(key, tuple) else (key,)
                 x = np.stack(pdf["_x"].iloc[idx].to_numpy())
                 ids = pdf["_id"].iloc[idx].to_numpy()
-                for (gg, k), (w, mu, cov) in ps.items():
-                    if gg == g:
-                        lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j])
-                                       for j in range(k)], axis=1)
-                        out.append(pd.DataFrame({**{kk: [g[i]] * len(ids) for i, kk in enumerate(keys)},
-                                                 "k": k, "_id": ids, "cluster": lp.argmax(1).astype(np.int32)}))
+                for k, (w, mu, cov) in ps.get(g, ()):
+                    lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j])
+                                   for j in range(k)], axis=1)
+                    out.append(pd.DataFrame({**{kk: [g[i]] * len(ids) for i, kk in enumerate(keys)},
+                                             "k": k, "_id": ids, "cluster": lp.argmax(1).astype(np.int32)}))
             if out:
                 yield pd.concat(out, ignore_index=True)[schema.fieldNames()]
 

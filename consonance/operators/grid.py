@@ -104,3 +104,25 @@ def control_size(models: DataFrame, repetitions: int, rate_per_second: float = 1
     return m.select(F.lit(repetitions).cast("long").alias("repetitions"), "models",
                     calls.cast("long").alias("calls"),
                     (calls / F.lit(rate_per_second) / 60.0).alias("estimated_minutes"))
+
+
+def running_sums(df: DataFrame, order: str, cols: Sequence[str], suffix: str = "_cum") -> DataFrame:
+    """Add running totals of ``cols`` in ``order`` (unique) without a global window.
+
+    A distributed sort (checkpointed, so both uses see the same partitions),
+    running sums inside each partition, plus the totals of all earlier
+    partitions (a table with one row per partition).
+    """
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    s = df.orderBy(order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    local = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tot = s.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                for c in cols])
+    out = s.join(F.broadcast(offs), "_pid")
+    for c in cols:
+        out = out.withColumn(c + suffix, F.sum(c).over(local) + F.col(f"_o_{c}"))
+    return out.drop("_pid", *[f"_o_{c}" for c in cols])

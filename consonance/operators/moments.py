@@ -51,14 +51,41 @@ def unit_rows(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return x / safe[:, None]
 
 
+PARTIAL_BUDGET = 20_000_000  # doubles held per task before partials are flushed
+
+
+def _emit(keys, acc):
+    frames = []
+    for key, (n, nz, s, g) in acc.items():
+        d = s.shape[0]
+        iu, ju = np.triu_indices(d)
+        gv = g[iu, ju]
+        diag = iu == ju
+        kind = np.concatenate([[_N, _NZ], np.full(d, _S),
+                               np.where(diag, _GDIAG, _GOFF)]).astype(np.int32)
+        k = np.concatenate([[0, 0], np.arange(d), iu * d + ju]).astype(np.int64)
+        v = np.concatenate([[float(n), float(nz)], s, gv])
+        out = pd.DataFrame({"kind": kind, "k": k, "v": v})
+        for name, val in zip(keys, key):
+            out[name] = val
+        frames.append(out)
+    return pd.concat(frames, ignore_index=True)[keys + ["kind", "k", "v"]] if frames else None
+
+
 def _partial_fn(keys: Sequence[str], vec_col: str):
     keys = list(keys)
 
     def fn(batches):
         acc: dict[tuple, list] = {}
+        held = 0
         for pdf in batches:
             if pdf.empty:
                 continue
+            if held > PARTIAL_BUDGET:  # partial sums are summed again by Spark: flush early
+                out = _emit(keys, acc)
+                if out is not None:
+                    yield out
+                acc, held = {}, 0
             for key, idx in pdf.groupby(keys, sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
                 x, norms = _stack(pdf[vec_col].iloc[idx])
@@ -67,6 +94,7 @@ def _partial_fn(keys: Sequence[str], vec_col: str):
                 s, g = u.sum(axis=0), u.T @ u
                 if cur is None:
                     acc[key] = [len(idx), int((norms > 0).sum()), s, g]
+                    held += g.size
                 else:
                     if cur[2].shape != s.shape:
                         raise ValueError("vectors of different lengths in one group")
@@ -74,22 +102,9 @@ def _partial_fn(keys: Sequence[str], vec_col: str):
                     cur[1] += int((norms > 0).sum())
                     cur[2] += s
                     cur[3] += g
-        frames = []
-        for key, (n, nz, s, g) in acc.items():
-            d = s.shape[0]
-            iu, ju = np.triu_indices(d)
-            gv = g[iu, ju]
-            diag = iu == ju
-            kind = np.concatenate([[_N, _NZ], np.full(d, _S),
-                                   np.where(diag, _GDIAG, _GOFF)]).astype(np.int32)
-            k = np.concatenate([[0, 0], np.arange(d), iu * d + ju]).astype(np.int64)
-            v = np.concatenate([[float(n), float(nz)], s, gv])
-            out = pd.DataFrame({"kind": kind, "k": k, "v": v})
-            for name, val in zip(keys, key):
-                out.insert(len(out.columns) - 3, name, val)
-            frames.append(out)
-        if frames:
-            yield pd.concat(frames, ignore_index=True)[keys + ["kind", "k", "v"]]
+        out = _emit(keys, acc)
+        if out is not None:
+            yield out
 
     return fn
 

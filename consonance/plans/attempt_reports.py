@@ -245,8 +245,10 @@ def q_batch_metrics(spark, sf_dir):
 def batch_metrics(reqlog):
     """Batch metrics over a request log (batch, ts, success, rate_limited).
 
-    The running sums are a window over the batch table (one row per batch).
+    Running sums over batches are distributed prefix sums (``grid.running_sums``).
     """
+    from ..operators.grid import running_sums
+
     secs = F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))
     b = reqlog.groupBy("batch").agg(F.count(F.lit(1)).alias("requests"),
                                     F.count_if("success").alias("successes"),
@@ -254,9 +256,8 @@ def batch_metrics(reqlog):
                                     F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     total = reqlog.agg(F.count(F.lit(1))).scalar()
     start = reqlog.agg(F.min("ts")).scalar()
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    c = b.withColumn("cum_requests", F.sum("requests").over(w)).withColumn(
-        "cum_successes", F.sum("successes").over(w))
+    c = running_sums(b, "batch", ["requests", "successes"]).withColumnRenamed(
+        "requests_cum", "cum_requests").withColumnRenamed("successes_cum", "cum_successes")
     seconds = secs / 1e6
     elapsed = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
     rate = F.when(elapsed > 0, F.col("cum_requests") / elapsed)

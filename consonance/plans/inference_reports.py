@@ -48,7 +48,7 @@ SELECT model, topic, persona_id, 1 AS attempt, r1 AS response, s1 AS success, k1
 def q_answered_tasks(spark, sf_dir):
     """Every task of the grid answered once on the executors, outcomes normalised."""
     t = grid.task_grid(_prompts(spark, sf_dir), views.models(spark, sf_dir))
-    return inference.answer_tasks(t, lambda: inference.template_answerer(5), 1, partitions=8)
+    return inference.answer_tasks(t, lambda: inference.template_answerer(5), 1)
 
 
 _R11 = reason_sql("r1", "11")
@@ -70,7 +70,7 @@ FROM j"""
 def q_retry_rounds(spark, sf_dir):
     """First round, three retry rounds (recovered on success), recovery, placeholders."""
     t = grid.task_grid(_prompts(spark, sf_dir), views.models(spark, sf_dir))
-    att = inference.run_with_retries(t, lambda: inference.template_answerer(5), 3, partitions=8)
+    att = inference.run_with_retries(t, lambda: inference.template_answerer(5), 3)
     return inference.final_answers(t, att)
 
 
@@ -78,7 +78,7 @@ def q_retry_rounds(spark, sf_dir):
 def q_retry_round_outcomes(spark, sf_dir):
     """Per stage of the retry run: attempts, recovered and still failed."""
     t = grid.task_grid(_prompts(spark, sf_dir), views.models(spark, sf_dir))
-    att = inference.run_with_retries(t, lambda: inference.template_answerer(5), 3, partitions=8)
+    att = inference.run_with_retries(t, lambda: inference.template_answerer(5), 3)
     return att.groupBy("stage").agg(F.count(F.lit(1)).alias("attempts"),
                                     F.count_if("success").alias("recovered"),
                                     F.count_if(~F.col("success")).alias("still_failed"))
@@ -119,7 +119,7 @@ def q_main_pipeline(spark, sf_dir):
     from ..operators import pairs
 
     t = grid.task_grid(_prompts(spark, sf_dir), views.models(spark, sf_dir))
-    att = inference.run_with_retries(t, lambda: inference.template_answerer(5), 3, partitions=8)
+    att = inference.run_with_retries(t, lambda: inference.template_answerer(5), 3)
     ans = inference.final_answers(t, att)
     w = text_vectors.tfidf_weights(ans)
     vec = text_vectors.sparse_vectors(w, ans)

@@ -135,13 +135,18 @@ def read_answers_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def nested_documents(answers: DataFrame) -> DataFrame:
-    """One results document per (model, topic): {model: {topic: {persona_id: response}}}.
+def nested_documents(answers: DataFrame, max_per_doc: int = 10_000) -> DataFrame:
+    """Results documents {model: {topic: {persona_id: response}}}, one per line.
 
-    A document holds one group's answers (the JSON layout needs them in one
-    value); the shuffle is by (model, topic).
+    A (model, topic) group larger than ``max_per_doc`` answers is split over
+    several documents by a hash of the persona id (the reader unions them), so
+    no document, and no task, holds a whole large group.
     """
-    inner = answers.groupBy("model", "topic").agg(
+    sizes = answers.groupBy("model", "topic").agg(F.count(F.lit(1)).alias("_n"))
+    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_per_doc))).cast("long")
+    b = answers.join(sizes, ["model", "topic"]).withColumn(
+        "_doc", F.pmod(F.xxhash64("persona_id"), nb))
+    inner = b.groupBy("model", "topic", "_doc").agg(
         F.map_from_entries(F.collect_list(F.struct("persona_id", "response"))).alias("m"))
     return inner.select(F.to_json(F.create_map(F.col("model"), F.create_map(F.col("topic"), F.col("m"))))
                         .alias("value"))
