@@ -114,11 +114,11 @@ def run_with_retries(tasks: DataFrame, answerer_factory: Callable[[], Answerer],
     queue = first.where(~F.col("success") | ~is_valid(F.col("response"))).select(*KEYS)
     for r in range(1, max_retries + 1):
         todo = queue.join(prompts, KEYS).withColumn("attempt", F.lit(r + 1))
-        if todo.limit(1).count() == 0:
-            break
         rnd = _persist_round(answer_tasks(todo, answerer_factory, "attempt", partitions)
                              .withColumn("stage", F.lit(f"retry_round_{r}"))
                              .withColumn("kept", F.col("success")), f"round-{r}")
+        if rnd.limit(1).count() == 0:  # reads the written round: nothing was left to retry
+            break
         attempts = attempts.unionByName(rnd)
         queue = rnd.where(~F.col("success")).select(*KEYS)
     # recovery pass for keys that never produced a row

@@ -107,18 +107,21 @@ def tfidf_weights(docs: DataFrame, keys: Sequence[str] = ("model", "topic"),
     return w.select(*keys, id_col, "term", "term_idx", (F.col("w") / norm).alias("weight"))
 
 
-def sparse_vectors(weights: DataFrame, docs: DataFrame, keys: Sequence[str] = ("model", "topic"),
+def sparse_vectors(weights: DataFrame, docs: DataFrame | None, keys: Sequence[str] = ("model", "topic"),
                    id_col: str = "persona_id", max_features: int = 1000) -> DataFrame:
     """One row per document: (keys, id, vec STRUCT<idx ARRAY<INT>, val ARRAY<DOUBLE>>, dim).
 
-    Documents with no vocabulary term get an empty (zero) vector. A row holds
-    at most ``max_features`` entries.
+    With ``docs``, documents with no vocabulary term get an empty (zero)
+    vector; with ``docs=None`` only documents with terms are listed (enough
+    for pair sums when group sizes are known, since a zero vector adds 0).
+    A row holds at most ``max_features`` entries (in no particular order).
     """
     keys = list(keys)
-    v = weights.groupBy(*keys, id_col).agg(
-        F.array_sort(F.collect_list(F.struct("term_idx", "weight"))).alias("_e"))
+    v = weights.groupBy(*keys, id_col).agg(F.collect_list(F.struct("term_idx", "weight")).alias("_e"))
     v = v.select(*keys, id_col, F.struct(F.col("_e.term_idx").alias("idx"),
                                          F.col("_e.weight").alias("val")).alias("vec"))
+    if docs is None:
+        return v.withColumn("dim", F.lit(max_features))
     all_docs = docs.select(*keys, F.col(id_col)).distinct()
     empty = F.struct(F.array().cast("array<int>").alias("idx"), F.array().cast("array<double>").alias("val"))
     return all_docs.join(v, keys + [id_col], "left").select(

@@ -122,7 +122,8 @@ def q_main_pipeline(spark, sf_dir):
     att = inference.run_with_retries(t, lambda: inference.template_answerer(5), 3)
     ans = inference.final_answers(t, att)
     w = text_vectors.tfidf_weights(ans)
-    vec = text_vectors.sparse_vectors(w, ans)
-    m = pairs.pair_moments(vec, vec_col="vec", sparse_dim=1000)
+    vec = text_vectors.sparse_vectors(w, None)
+    sizes = ans.groupBy("model", "topic").count().withColumnRenamed("count", "n")
+    m = pairs.pair_moments(vec, vec_col="vec", sparse_dim=1000, sizes=sizes)
     ppt = central.per_model_per_topic(m)
     return central.model_overall_weighted(ppt)

@@ -69,7 +69,7 @@ def q_tfidf_moments(spark, sf_dir):
     pair sends back three sums.
     """
     a = views.answers(spark, sf_dir)
-    vec = text_vectors.sparse_vectors(_weights(spark, sf_dir), a)
+    vec = text_vectors.sparse_vectors(_weights(spark, sf_dir), None)  # zero vectors add nothing
     sizes = a.groupBy("model", "topic").count().withColumnRenamed("count", "n")
     m = pairs.pair_moments(vec, vec_col="vec", sparse_dim=1000, sizes=sizes)
     return m.select("model", "topic", "n", "pairs", "mean_similarity", "std_similarity")
