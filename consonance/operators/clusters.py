@@ -619,6 +619,10 @@ def sweep(points: DataFrame, keys: Sequence[str], max_clusters: int = 10, id_col
     Returns (keys, k, silhouette, calinski_harabasz, davies_bouldin, bic, aic).
     """
     keys = list(keys)
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(points.sparkSession)
+    points = points.select(*keys, id_col, vec_col).checkpoint(eager=True)  # reused by every metric
     n_max = points.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
     ks = [k for k in range(2, min(max_clusters, n_max - 1) + 1)]
     kf = _key_fields(points, keys)
@@ -627,9 +631,8 @@ def sweep(points: DataFrame, keys: Sequence[str], max_clusters: int = 10, id_col
                                 + [T.StructField("k", T.IntegerType())])
     if not ks:
         return points.sparkSession.createDataFrame([], empty_schema)
-    labels, ll, d = gaussian_mixture(points, keys, ks, id_col, vec_col, seed=seed)
-    if labels is None:
-        return points.sparkSession.createDataFrame([], empty_schema)
+    fitted, ll_df, d = fit_groups(points, keys, ks, id_col, vec_col, seed=seed)
+    labels = fitted.where(F.col("method") == "gmm").drop("method")
     n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     labels = labels.join(n, keys).where(F.col("k") <= F.col("_n") - 1).drop("_n")
     lab = labels.withColumnRenamed("_id", id_col)
@@ -640,9 +643,7 @@ def sweep(points: DataFrame, keys: Sequence[str], max_clusters: int = 10, id_col
     ch = calinski_harabasz(lp, gk, "cluster", vec_col)
     db = davies_bouldin(lp, gk, "cluster", vec_col)
     nk = lp.groupBy(*gk).agg(F.countDistinct("cluster").alias("_used"), F.count(F.lit(1)).alias("_n"))
-    ll_rows = [(*g, int(k), float(v)) for (g, k), v in ll.items()]
-    ll_df = points.sparkSession.createDataFrame(
-        ll_rows, T.StructType(kf + [T.StructField("k", T.IntegerType()), T.StructField("_ll", T.DoubleType())]))
+    ll_df = ll_df.withColumnRenamed("ll", "_ll")
     m = nk.join(sil, gk, "left").join(ch, gk, "left").join(db, gk, "left").join(ll_df, gk, "left")
     bic, aic = bic_aic(F.col("_ll"), F.col("k"), F.lit(d), F.col("_n"))
     one = F.col("_used") <= 1
@@ -676,8 +677,9 @@ def robust_labels(points: DataFrame, keys: Sequence[str], k_per_group: DataFrame
     if not ks:
         return base.select(*keys, id_col, F.lit(0).alias("cluster"),
                            F.lit("single").alias("method")).unionByName(own)
-    gm, _, _ = gaussian_mixture(points, keys, ks, id_col, vec_col, seed=seed)
-    km, _ = kmeans(points, keys, ks, id_col, vec_col, seed=seed)
+    fitted, _, _ = fit_groups(points, keys, ks, id_col, vec_col, seed=seed)
+    gm = fitted.where(F.col("method") == "gmm").drop("method")
+    km = fitted.where(F.col("method") == "kmeans").drop("method")
 
     def pick(lab, name):
         lab = lab.withColumnRenamed("_id", id_col).join(kp, keys + ["k"], "left_semi")
@@ -696,3 +698,118 @@ def robust_labels(points: DataFrame, keys: Sequence[str], k_per_group: DataFrame
                .when(F.coalesce("ok_km", F.lit(False)), "kmeans").otherwise("random"))
     return j.select(*keys, id_col, cluster.alias("cluster"), method.alias("method")).select(
         *out_cols).unionByName(own)
+
+
+# ---------------------------------------------------------------------------
+# size-checked fast path: a group of at most LOCAL_MAX rows is fitted inside
+# one task (all k at once); larger groups use the distributed iterations above
+
+LOCAL_MAX = 20_000
+
+
+def _local_kmeans(x: np.ndarray, init: np.ndarray, max_iter: int = 20, tol: float = 1e-6) -> np.ndarray:
+    c = init.copy()
+    for _ in range(max_iter):
+        lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
+        c2 = c.copy()
+        for j in range(len(c)):
+            m = lab == j
+            if m.any():
+                c2[j] = x[m].mean(0)
+        moved = float(np.abs(c2 - c).max())
+        c = c2
+        if moved <= tol:
+            break
+    return c
+
+
+def _local_gmm(x: np.ndarray, centres: np.ndarray, max_iter: int = 100, tol: float = 1e-4,
+               reg_covar: float = 1e-6):
+    n, d = x.shape
+    k = len(centres)
+    lab = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(-1).argmin(1)
+    sizes = np.array([max((lab == j).sum(), 1) for j in range(k)], dtype=float)
+    w, mu, cov = sizes / sizes.sum(), centres.copy(), np.stack([np.eye(d)] * k)
+    prev = -np.inf
+    ll = prev
+    for _ in range(max_iter):
+        lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j]) for j in range(k)], axis=1)
+        mx = lp.max(1, keepdims=True)
+        lse = mx[:, 0] + np.log(np.exp(lp - mx).sum(1))
+        ll = float(lse.sum())
+        r = np.exp(lp - lse[:, None])
+        nk = r.sum(0)
+        for j in range(k):
+            if nk[j] <= 1e-12:
+                continue
+            w[j] = nk[j] / n
+            mu[j] = r[:, j] @ x / nk[j]
+            cov[j] = (x * r[:, j][:, None]).T @ x / nk[j] - np.outer(mu[j], mu[j]) + reg_covar * np.eye(d)
+        w = w / w.sum()
+        if abs(ll - prev) <= tol * n:
+            break
+        prev = ll
+    lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j]) for j in range(k)], axis=1)
+    return lp.argmax(1), ll
+
+
+def fit_groups(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col: str = "persona_id",
+               vec_col: str = "scaled", seed: int = 42, local_max: int = LOCAL_MAX):
+    """K-means and mixture labels for every group and k, plus mixture log-likelihoods.
+
+    Returns (labels (keys, method, k, id, cluster), loglik (keys, k, ll), dims).
+    Groups of at most ``local_max`` rows are fitted in one task each (the
+    group's rows are bounded by the size check); larger groups go through the
+    distributed ``kmeans`` / ``gaussian_mixture`` iterations.
+    """
+    keys = list(keys)
+    spark = points.sparkSession
+    kf = _key_fields(points, keys)
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    pts = _dense(points, keys, id_col, vec_col).withColumn("_h", F.xxhash64("_id", F.lit(seed)))
+    small = pts.join(sizes.where(F.col("_n") <= local_max).select(*keys), keys, "left_semi")
+    out_schema = T.StructType(kf + [T.StructField("method", T.StringType()), T.StructField("k", T.IntegerType()),
+                                    T.StructField("_id", T.StringType()), T.StructField("cluster", T.IntegerType()),
+                                    T.StructField("ll", T.DoubleType()), T.StructField("d", T.IntegerType())])
+    ks = sorted(set(int(k) for k in ks))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_h", "_id"])
+        x = np.stack(pdf["_x"].to_numpy())
+        ids = pdf["_id"].to_numpy()
+        key = {k: pdf[k].iloc[0] for k in keys}
+        frames = []
+        for k in ks:
+            if len(x) < k:
+                continue
+            c = _local_kmeans(x, x[:k])
+            klab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
+            glab, ll = _local_gmm(x, c)
+            for method, lab, llv in (("kmeans", klab, None), ("gmm", glab, ll)):
+                frames.append(pd.DataFrame({**{kk: [v] * len(ids) for kk, v in key.items()}, "method": method,
+                                            "k": k, "_id": ids, "cluster": lab.astype(np.int32),
+                                            "ll": llv, "d": x.shape[1]}))
+        if not frames:
+            return pd.DataFrame(columns=out_schema.fieldNames())
+        return pd.concat(frames, ignore_index=True)[out_schema.fieldNames()]
+
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    # the fitted labels feed several metrics: materialise them once
+    local = small.groupBy(*keys).applyInPandas(fit, out_schema).checkpoint(eager=True)
+    labels = local.select(*keys, "method", "k", "_id", "cluster")
+    ll = local.where(F.col("method") == "gmm").groupBy(*keys, "k").agg(F.first("ll").alias("ll"))
+    d = local.agg(F.max("d")).collect()[0][0]
+    big_keys = sizes.where(F.col("_n") > local_max).select(*keys)
+    if big_keys.limit(1).count() > 0:
+        big = points.join(big_keys, keys, "left_semi")
+        gm, gll, gd = gaussian_mixture(big, keys, ks, id_col, vec_col, seed=seed)
+        km, _ = kmeans(big, keys, ks, id_col, vec_col, seed=seed)
+        labels = labels.unionByName(gm.withColumn("method", F.lit("gmm"))).unionByName(
+            km.withColumn("method", F.lit("kmeans")))
+        rows = [(*g, int(k), float(v)) for (g, k), v in gll.items()]
+        ll = ll.unionByName(spark.createDataFrame(rows, T.StructType(kf + [
+            T.StructField("k", T.IntegerType()), T.StructField("ll", T.DoubleType())])))
+        d = d or gd
+    return labels, ll, d
