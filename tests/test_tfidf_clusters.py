@@ -132,3 +132,16 @@ def test_kmeans_gmm_invariants(spark):
     assert 2 <= best["optimal_clusters"] <= 4
     final = clusters.robust_labels(df, ["grp"], clusters.choose_k(m, ["grp"])).collect()
     assert len(final) == 24 and len({r["persona_id"] for r in final}) == 24
+
+
+def test_distributed_fit_path_for_large_groups(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 0.3, (10, 2)), rng.normal(6, 0.3, (10, 2))])
+    rows = [("big", str(i), [float(a) for a in v]) for i, v in enumerate(x)] + \
+           [("small", str(100 + i), [float(a) for a in v]) for i, v in enumerate(x[:6])]
+    df = spark.createDataFrame(rows, "grp string, persona_id string, scaled array<double>")
+    labels, ll, d = clusters.fit_groups(df, ["grp"], [2], local_max=8)  # 'big' exceeds the bound
+    got = labels.where("grp = 'big' AND method = 'gmm'").collect()
+    lab = {r["_id"]: r["cluster"] for r in got}
+    assert len(lab) == 20 and lab["0"] != lab["10"]
+    assert {r["grp"] for r in ll.collect()} == {"big", "small"} and d == 2
