@@ -256,3 +256,14 @@ def q_encoded_moments(spark, sf_dir):
     enc = text_vectors.encode(a, lambda: text_vectors.hashing_encoder(64))
     return moments.group_moments(enc).select("model", "topic", "n", "pairs", "mean_similarity",
                                              "std_similarity")
+
+
+@register("persona_order", oracle(_sql("""
+SELECT model, topic, persona_id,
+  CAST(row_number() OVER (PARTITION BY model, topic ORDER BY persona_id) AS BIGINT) AS pos
+FROM u WHERE experiment = 'main'"""), ["model", "topic", "persona_id", "pos"]), ["W9"])
+def q_persona_order(spark, sf_dir):
+    """Position of every persona id in its group's sorted id list (no group is collected)."""
+    from ..operators.grid import grouped_index
+    o = main_obs(spark, sf_dir).select("model", "topic", "persona_id")
+    return grouped_index(o, ["model", "topic"], ["persona_id"], "pos")

@@ -86,3 +86,15 @@ def test_control_prompts_need_one_base(spark):
         personas.control_prompts(p, 3).collect()
     one = personas.control_prompts(p.limit(1).where("persona_id = '7'"), 3)
     assert sorted(r["persona_id"] for r in one.collect()) == ["7_rep1", "7_rep2", "7_rep3"]
+
+
+def test_grouped_index_across_partitions(spark):
+    df = spark.range(0, 600, 1, 5).select((F.col("id") % 3).cast("string").alias("g"),
+                                          ((F.col("id") * 37) % 600).alias("v"))
+    got = grid.grouped_index(df, ["g"], ["v"], "pos").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], []).append((r["v"], r["pos"]))
+    for g, lst in by.items():
+        lst.sort()
+        assert [p for _, p in lst] == list(range(1, len(lst) + 1))
