@@ -113,8 +113,8 @@ def q_control_experiment(spark, sf_dir):
                                                          "success", "tokens")
 
 
-@register("main_pipeline", None, ["R6"])
-def q_main_pipeline(spark, sf_dir):
+@register("main_run_ranking", None, ["R6"])
+def q_main_run_ranking(spark, sf_dir):
     """Prompts -> grid -> answers (retries) -> per-group TF-IDF -> similarity -> model ranking."""
     from ..operators import pairs
 
