@@ -72,7 +72,16 @@ def _emit(keys, acc):
     return pd.concat(frames, ignore_index=True)[keys + ["kind", "k", "v"]] if frames else None
 
 
-def _partial_fn(keys: Sequence[str], vec_col: str):
+def _stack_sparse(idx: pd.Series, val: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse (idx, val) rows densified to ``dim`` columns; NULL rows become zero rows."""
+    x = np.zeros((len(idx), dim), dtype=np.float64)
+    for i, (ix, vx) in enumerate(zip(idx.to_numpy(), val.to_numpy())):
+        if ix is not None and len(ix):
+            x[i, np.asarray(ix, dtype=np.int64)] = np.asarray(vx, dtype=np.float64)
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
+def _partial_fn(keys: Sequence[str], vec_col: str, sparse_dim: int | None = None):
     keys = list(keys)
 
     def fn(batches):
@@ -88,7 +97,10 @@ def _partial_fn(keys: Sequence[str], vec_col: str):
                 acc, held = {}, 0
             for key, idx in pdf.groupby(keys, sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
-                x, norms = _stack(pdf[vec_col].iloc[idx])
+                if sparse_dim is not None:
+                    x, norms = _stack_sparse(pdf["_idx"].iloc[idx], pdf["_val"].iloc[idx], sparse_dim)
+                else:
+                    x, norms = _stack(pdf[vec_col].iloc[idx])
                 u = unit_rows(x, norms)
                 cur = acc.get(key)
                 s, g = u.sum(axis=0), u.T @ u
@@ -110,11 +122,15 @@ def _partial_fn(keys: Sequence[str], vec_col: str):
 
 
 def group_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
-                  vec_col: str = "embedding") -> DataFrame:
+                  vec_col: str = "embedding", sparse_dim: int | None = None,
+                  sizes: DataFrame | None = None) -> DataFrame:
     """Per group: n, nz, pairs, sum_s, sum_s2, mean_similarity, std_similarity.
 
     ``mean_similarity`` is the mean off-diagonal cosine similarity (NULL for
-    n <= 1) and ``std_similarity`` its population standard deviation.
+    n <= 1) and ``std_similarity`` its population standard deviation. With
+    ``sparse_dim`` the vector column is a struct (idx, val) densified inside
+    the task; ``sizes`` (keys, n) supplies group sizes when rows of zero
+    vectors are absent from ``vectors``.
     """
     keys = list(keys)
     key_fields = [vectors.schema[k] for k in keys]
@@ -122,7 +138,11 @@ def group_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
         [T.StructField(f.name, f.dataType, True) for f in key_fields]
         + [T.StructField("kind", T.IntegerType()), T.StructField("k", T.LongType()),
            T.StructField("v", T.DoubleType())])
-    partial = vectors.select(*keys, vec_col).mapInPandas(_partial_fn(keys, vec_col), schema)
+    if sparse_dim is not None:
+        src = vectors.select(*keys, F.col(f"{vec_col}.idx").alias("_idx"), F.col(f"{vec_col}.val").alias("_val"))
+    else:
+        src = vectors.select(*keys, vec_col)
+    partial = src.mapInPandas(_partial_fn(keys, vec_col, sparse_dim), schema)
     entries = partial.groupBy(*keys, "kind", "k").agg(F.sum("v").alias("v"))
     kind, v = F.col("kind"), F.col("v")
     per_group = entries.groupBy(*keys).agg(
@@ -131,6 +151,9 @@ def group_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
         F.sum(F.when(kind == _S, v * v)).alias("s_sq"),
         F.sum(F.when(kind == _GDIAG, v * v).when(kind == _GOFF, 2 * v * v)).alias("g_sq"),
     )
+    if sizes is not None:
+        per_group = sizes.select(*keys, F.col("n").cast("long").alias("n")).join(
+            per_group.drop("n"), keys, "left").fillna(0, ["nz"]).fillna(0.0, ["s_sq", "g_sq"])
     return finish_moments(per_group, keys)
 
 

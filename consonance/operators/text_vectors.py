@@ -193,3 +193,28 @@ def hashing_encoder(dim: int = 64) -> Callable:
         return out
 
     return enc
+
+
+def tfidf_similarity_moments(weights: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("model", "topic"),
+                             id_col: str = "persona_id", max_features: int = 1000,
+                             pair_max: int = 2000) -> DataFrame:
+    """Mean and population std of TF-IDF cosine similarity per group, adaptively.
+
+    Groups of at most ``pair_max`` documents sum their pairs in blocks
+    (O(n^2 nnz), cheapest for small groups); larger groups use the Gram
+    closed form over the group's vocabulary (O(n d^2) with d <= max_features),
+    so a hot group never costs quadratic work. ``sizes`` is (keys, n).
+    """
+    from .moments import group_moments
+    from .pairs import pair_moments
+
+    keys = list(keys)
+    vec = sparse_vectors(weights, None, keys, id_col, max_features)
+    small_keys = sizes.where(F.col("n") <= pair_max).select(*keys)
+    big_keys = sizes.where(F.col("n") > pair_max).select(*keys)
+    cols = [*keys, "n", "pairs", "sum_s", "sum_s2", "mean_similarity", "std_similarity"]
+    small = pair_moments(vec.join(small_keys, keys, "left_semi"), keys, id_col, "vec",
+                         sparse_dim=max_features, sizes=sizes.join(small_keys, keys, "left_semi"))
+    big = group_moments(vec.join(big_keys, keys, "left_semi"), keys, "vec", sparse_dim=max_features,
+                        sizes=sizes.join(big_keys, keys, "left_semi"))
+    return small.select(*cols).unionByName(big.select(*cols))

@@ -65,13 +65,12 @@ FROM ng LEFT JOIN agg ON ng.model = agg.model AND ng.topic = agg.topic"""
 def q_tfidf_moments(spark, sf_dir):
     """Mean and population std of TF-IDF cosine similarity per (model, topic).
 
-    Sparse rows are densified per block inside the pair evaluator; each block
-    pair sends back three sums.
+    Small groups sum their pairs in blocks (sparse rows densified per block);
+    groups above 2,000 answers use the linear Gram closed form.
     """
     a = views.answers(spark, sf_dir)
-    vec = text_vectors.sparse_vectors(_weights(spark, sf_dir), None)  # zero vectors add nothing
     sizes = a.groupBy("model", "topic").count().withColumnRenamed("count", "n")
-    m = pairs.pair_moments(vec, vec_col="vec", sparse_dim=1000, sizes=sizes)
+    m = text_vectors.tfidf_similarity_moments(_weights(spark, sf_dir), sizes)
     return m.select("model", "topic", "n", "pairs", "mean_similarity", "std_similarity")
 
 

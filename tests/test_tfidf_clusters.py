@@ -145,3 +145,16 @@ def test_distributed_fit_path_for_large_groups(spark):
     lab = {r["_id"]: r["cluster"] for r in got}
     assert len(lab) == 20 and lab["0"] != lab["10"]
     assert {r["grp"] for r in ll.collect()} == {"big", "small"} and d == 2
+
+
+def test_tfidf_moments_both_paths_agree(spark):
+    rows = [("m", "t", str(i), f"alpha beta gamma {'delta ' * (i % 4)} epsilon{i % 3} zeta{i % 5}")
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "model string, topic string, persona_id string, response string")
+    w = text_vectors.tfidf_weights(df)
+    sizes = df.groupBy("model", "topic").count().withColumnRenamed("count", "n")
+    a = text_vectors.tfidf_similarity_moments(w, sizes, pair_max=1000).collect()[0]
+    b = text_vectors.tfidf_similarity_moments(w, sizes, pair_max=10).collect()[0]  # Gram path
+    assert a["pairs"] == b["pairs"] == 780
+    assert a["mean_similarity"] == pytest.approx(b["mean_similarity"], abs=1e-9)
+    assert a["std_similarity"] == pytest.approx(b["std_similarity"], abs=1e-6)
