@@ -193,3 +193,26 @@ def pooled(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     return agg.select(*keys, "groups", "pairs", "sum_s", "sum_s2",
                       F.when(F.col("pairs") > 0, mean).alias("mean_similarity"),
                       F.when(F.col("pairs") > 0, F.sqrt(var)).alias("std_similarity"))
+
+
+def adaptive_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
+                     vec_col: str = "embedding", id_col: str = "persona_id",
+                     pair_max: int = 512) -> DataFrame:
+    """Group moments choosing the cheaper exact method per group.
+
+    A group of at most ``pair_max`` rows sums its pairs inside one task (its
+    rows are shuffled once; the n x n product is small); a larger group uses
+    the closed form, whose partial sums (d(d+1)/2 entries per partition) would
+    outweigh the raw rows of a small group. Both give the same values.
+    """
+    from .pairs import pair_moments
+
+    keys = list(keys)
+    sizes = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    small_keys = sizes.where(F.col("n") <= pair_max).select(*keys)
+    big_keys = sizes.where(F.col("n") > pair_max).select(*keys)
+    cols = [*keys, "n", "pairs", "sum_s", "sum_s2", "mean_similarity", "std_similarity"]
+    small = pair_moments(vectors.join(small_keys, keys, "left_semi"), keys, id_col, vec_col,
+                         block_size=max(pair_max, 1), sizes=sizes.join(small_keys, keys, "left_semi"))
+    big = group_moments(vectors.join(big_keys, keys, "left_semi"), keys, vec_col)
+    return small.select(*cols).unionByName(big.select(*cols))

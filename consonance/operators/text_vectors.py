@@ -210,11 +210,29 @@ def tfidf_similarity_moments(weights: DataFrame, sizes: DataFrame, keys: Sequenc
 
     keys = list(keys)
     vec = sparse_vectors(weights, None, keys, id_col, max_features)
-    small_keys = sizes.where(F.col("n") <= pair_max).select(*keys)
-    big_keys = sizes.where(F.col("n") > pair_max).select(*keys)
     cols = [*keys, "n", "pairs", "sum_s", "sum_s2", "mean_similarity", "std_similarity"]
-    small = pair_moments(vec.join(small_keys, keys, "left_semi"), keys, id_col, "vec",
-                         sparse_dim=max_features, sizes=sizes.join(small_keys, keys, "left_semi"))
-    big = group_moments(vec.join(big_keys, keys, "left_semi"), keys, "vec", sparse_dim=max_features,
-                        sizes=sizes.join(big_keys, keys, "left_semi"))
-    return small.select(*cols).unionByName(big.select(*cols))
+    # the path is chosen from the measured group sizes (a one-row check)
+    has_small = sizes.where(F.col("n") <= pair_max).limit(1).count() > 0
+    has_big = sizes.where(F.col("n") > pair_max).limit(1).count() > 0
+    if has_small and has_big:
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(vec.sparkSession)
+        vec = vec.checkpoint(eager=True)  # both paths read the vectors: fit TF-IDF once
+    parts = []
+    if has_small:
+        small_keys = sizes.where(F.col("n") <= pair_max).select(*keys)
+        parts.append(pair_moments(vec.join(small_keys, keys, "left_semi") if has_big else vec, keys, id_col,
+                                  "vec", sparse_dim=max_features,
+                                  sizes=sizes.join(small_keys, keys, "left_semi") if has_big else sizes))
+    if has_big:
+        big_keys = sizes.where(F.col("n") > pair_max).select(*keys)
+        parts.append(group_moments(vec.join(big_keys, keys, "left_semi") if has_small else vec, keys, "vec",
+                                   sparse_dim=max_features,
+                                   sizes=sizes.join(big_keys, keys, "left_semi") if has_small else sizes))
+    if not parts:
+        return pair_moments(vec, keys, id_col, "vec", sparse_dim=max_features, sizes=sizes).select(*cols)
+    out = parts[0].select(*cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out

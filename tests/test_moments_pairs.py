@@ -89,3 +89,18 @@ def test_extreme_pair_ties_go_to_smallest_ids(spark):
     df = frame(spark, {("m", "t"): [[1, 0], [1, 0], [1, 0]]})
     ex = pairs.extreme_pairs(df, block_size=2).collect()[0]
     assert (ex["most_similar_a"], ex["most_similar_b"]) == ("000", "001")
+
+
+def test_adaptive_moments_match_closed_form(spark):
+    rng = np.random.default_rng(11)
+    groups = {("m", f"t{g}"): rng.normal(size=(n, 8)) for g, n in enumerate([1, 3, 9, 30])}
+    df = frame(spark, groups)
+    a = {r["topic"]: r for r in moments.adaptive_moments(df, pair_max=10).collect()}
+    b = {r["topic"]: r for r in moments.group_moments(df).collect()}
+    for t in b:
+        assert a[t]["n"] == b[t]["n"] and a[t]["pairs"] == b[t]["pairs"]
+        if b[t]["mean_similarity"] is None:
+            assert a[t]["mean_similarity"] is None
+        else:
+            assert a[t]["mean_similarity"] == pytest.approx(b[t]["mean_similarity"], abs=1e-9)
+            assert a[t]["std_similarity"] == pytest.approx(b[t]["std_similarity"], abs=1e-7)
