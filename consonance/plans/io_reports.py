@@ -152,3 +152,28 @@ def q_similarity_bundle_roundtrip(spark, sf_dir):
     files.write_similarity_bundle(m, o, path)
     back, _vec = files.read_similarity_bundle(spark, path)
     return back.where(F.col("experiment") == "main").select("model", "topic", "n", "mean_similarity")
+
+
+@register("variance_report", None, ["K7", "A21", "W4"])
+def q_variance_report(spark, sf_dir):
+    """Variance report text: summary statistics per experiment, top-5 consistent,
+    top-5 persona-minus-control."""
+    from ..operators import variance
+
+    m = moments.group_moments(views.obs(spark, sf_dir), keys=("model", "topic", "experiment"))
+    cv = variance.within_model_variance(m.where(F.col("experiment") == "control"))
+    pv = variance.across_persona_variance(m.where(F.col("experiment") == "main"))
+    lines = reports.variance_report(cv, pv, variance.merge_variance(cv, pv))
+    reports.write_report(lines, scratch_path(spark, "variance-report"))
+    return lines
+
+
+@register("analysis_summary", None, ["K7", "A25"])
+def q_analysis_summary(spark, sf_dir):
+    """Grand totals over groups: groups, groups with negative pairs, negative pairs."""
+    from ..operators import pairs
+
+    o = views.obs(spark, sf_dir).where(F.col("experiment") == "main")
+    lines = reports.analysis_summary(pairs.negative_summary(o))
+    reports.write_report(lines, scratch_path(spark, "analysis-summary"))
+    return lines
