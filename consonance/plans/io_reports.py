@@ -160,7 +160,12 @@ def q_variance_report(spark, sf_dir):
     top-5 persona-minus-control."""
     from ..operators import variance
 
-    m = moments.group_moments(views.obs(spark, sf_dir), keys=("model", "topic", "experiment"))
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    # the report reads the (group-grain) moments five times: materialise once
+    m = moments.group_moments(views.obs(spark, sf_dir),
+                              keys=("model", "topic", "experiment")).checkpoint(eager=True)
     cv = variance.within_model_variance(m.where(F.col("experiment") == "control"))
     pv = variance.across_persona_variance(m.where(F.col("experiment") == "main"))
     lines = reports.variance_report(cv, pv, variance.merge_variance(cv, pv))
