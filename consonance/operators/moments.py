@@ -81,7 +81,8 @@ def _stack_sparse(idx: pd.Series, val: pd.Series, dim: int) -> tuple[np.ndarray,
     return x, np.sqrt((x * x).sum(axis=1))
 
 
-def _partial_fn(keys: Sequence[str], vec_col: str, sparse_dim: int | None = None):
+def _partial_fn(keys: Sequence[str], vec_col: str, sparse_dim: int | None = None,
+                budget: int = PARTIAL_BUDGET):
     keys = list(keys)
 
     def fn(batches):
@@ -90,7 +91,7 @@ def _partial_fn(keys: Sequence[str], vec_col: str, sparse_dim: int | None = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            if held > PARTIAL_BUDGET:  # partial sums are summed again by Spark: flush early
+            if held > budget:  # partial sums are summed again by Spark: flush early
                 out = _emit(keys, acc)
                 if out is not None:
                     yield out
@@ -123,7 +124,7 @@ def _partial_fn(keys: Sequence[str], vec_col: str, sparse_dim: int | None = None
 
 def group_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
                   vec_col: str = "embedding", sparse_dim: int | None = None,
-                  sizes: DataFrame | None = None) -> DataFrame:
+                  sizes: DataFrame | None = None, partial_budget: int = PARTIAL_BUDGET) -> DataFrame:
     """Per group: n, nz, pairs, sum_s, sum_s2, mean_similarity, std_similarity.
 
     ``mean_similarity`` is the mean off-diagonal cosine similarity (NULL for
@@ -142,7 +143,7 @@ def group_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
         src = vectors.select(*keys, F.col(f"{vec_col}.idx").alias("_idx"), F.col(f"{vec_col}.val").alias("_val"))
     else:
         src = vectors.select(*keys, vec_col)
-    partial = src.mapInPandas(_partial_fn(keys, vec_col, sparse_dim), schema)
+    partial = src.mapInPandas(_partial_fn(keys, vec_col, sparse_dim, partial_budget), schema)
     entries = partial.groupBy(*keys, "kind", "k").agg(F.sum("v").alias("v"))
     kind, v = F.col("kind"), F.col("v")
     per_group = entries.groupBy(*keys).agg(

@@ -104,3 +104,19 @@ def test_adaptive_moments_match_closed_form(spark):
         else:
             assert a[t]["mean_similarity"] == pytest.approx(b[t]["mean_similarity"], abs=1e-9)
             assert a[t]["std_similarity"] == pytest.approx(b[t]["std_similarity"], abs=1e-7)
+
+
+def test_partial_flush_keeps_results(spark):
+    rng = np.random.default_rng(21)
+    groups = {("m", f"t{g}"): rng.normal(size=(15, 6)) for g in range(6)}
+    df = frame(spark, groups).repartition(1)
+    full = {r["topic"]: r for r in moments.group_moments(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:  # a tiny budget flushes the partial sums after almost every batch
+        flushed = {r["topic"]: r for r in moments.group_moments(df, partial_budget=10).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for t in full:
+        assert flushed[t]["n"] == 15
+        assert flushed[t]["mean_similarity"] == pytest.approx(full[t]["mean_similarity"], abs=1e-12)
+        assert flushed[t]["std_similarity"] == pytest.approx(full[t]["std_similarity"], abs=1e-9)
