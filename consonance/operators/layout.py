@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when it arrives in fewer partitions.
+    """Round-robin ``df`` over the cluster's cores when it arrives in far fewer partitions.
 
     Used before CPU-heavy per-row work (tokenising or checking whole texts).
     A large input already has many scan partitions and is left untouched, so
@@ -14,6 +14,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    # an input already a quarter as parallel as the cluster is left alone
+    if df.rdd.getNumPartitions() * 4 <= target:
         return df.repartition(target)
     return df
