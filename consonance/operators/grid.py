@@ -32,10 +32,18 @@ def expand(df: DataFrame, dim: DataFrame, col: str,
            max_values: int = DEFAULT_MAX_VALUES) -> DataFrame:
     """Each row of ``df`` once per distinct value of ``dim[col]`` (duplicates collapse)."""
     values = distinct_values(dim, col, max_values)
+    return expand_values(df, col, values, dim.schema[col].dataType)
+
+
+def expand_values(df: DataFrame, col: str, values: list, data_type=None,
+                  max_values: int = DEFAULT_MAX_VALUES) -> DataFrame:
+    """Each row of ``df`` once per value of a known short list (checked size)."""
+    values = sorted(set(v for v in values if v is not None))
+    if len(values) > max_values:
+        raise ValueError(f"{col}: more than {max_values} values; not a short list")
     if not values:
-        return df.withColumn(col, F.lit(None).cast(dim.schema[col].dataType)).where(F.lit(False))
-    arr = F.array(*[F.lit(v) for v in values])
-    return df.withColumn(col, F.explode(arr))
+        return df.withColumn(col, F.lit(None).cast(data_type or "string")).where(F.lit(False))
+    return df.withColumn(col, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
 def dense_index(df: DataFrame, order: Sequence, name: str = "idx",

@@ -77,12 +77,26 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+_LISTS: dict = {}
+
+
+def _short_list(spark: SparkSession, sf_dir: str, name: str) -> list:
+    """The distinct topic or model values of a test folder (read once per folder)."""
+    from ..operators.grid import distinct_values
+
+    key = (sf_dir, name)
+    if key not in _LISTS:
+        dim = topics(spark, sf_dir) if name == "topic" else models(spark, sf_dir)
+        _LISTS[key] = distinct_values(dim, name)
+    return _LISTS[key]
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expected grid, as a stand-in input for coverage jobs."""
-    from ..operators.grid import expand
+    from ..operators.grid import expand_values
     p = personas(spark, sf_dir).where(F.col("professional_persona").isNotNull())
-    g = expand(p.select("persona_id"), topics(spark, sf_dir), "topic")
-    return expand(g, models(spark, sf_dir), "model").select("model", "topic", "persona_id")
+    g = expand_values(p.select("persona_id"), "topic", _short_list(spark, sf_dir, "topic"))
+    return expand_values(g, "model", _short_list(spark, sf_dir, "model")).select("model", "topic", "persona_id")
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
