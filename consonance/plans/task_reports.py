@@ -215,3 +215,12 @@ def q_fill_placeholders(spark, sf_dir):
                                          F.lit(True).alias("success"),
                                          F.length("response").cast("int").alias("tokens"))
     return coverage.fill_placeholders(views.tasks(spark, sf_dir), d)
+
+
+@register("control_size", oracle(_with("""
+SELECT CAST(10 AS BIGINT) AS repetitions, CAST(count(DISTINCT model) AS BIGINT) AS models,
+  CAST(10 * count(DISTINCT model) AS BIGINT) AS calls, 10 * count(DISTINCT model) / 10.0 / 60.0 AS estimated_minutes
+FROM models""", "models"), ["repetitions", "models", "calls", "estimated_minutes"], ["estimated_minutes"]), ["P28"])
+def q_control_size(spark, sf_dir):
+    """Number of calls of the control experiment (10 repetitions x models) and minutes at 10 per second."""
+    return grid.control_size(views.models(spark, sf_dir), 10)
