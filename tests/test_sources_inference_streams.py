@@ -106,3 +106,27 @@ def test_stream_rate_audit_and_dedup(spark, tmp_path):
     dd.write.parquet(src2)
     ingest.dedup_attempts(spark, src2, dd.schema, out2, checkpoint=str(tmp_path / "ck2")).awaitTermination()
     assert sorted(r["persona_id"] for r in spark.read.parquet(out2).collect()) == ["1", "2"]
+
+
+def test_snapshot_reader_and_writers(spark, tmp_path):
+    snap = {"metadata": {"timestamp": "2024-01-01T00:00:00", "batch_number": 3, "total_batches": 10,
+                         "stage": "batch", "incremental_counter": 4, "progress_percentage": 40.0},
+            "performance_metrics": {"success_rate": 0.9, "total_requests": 100, "successful_requests": 90},
+            "results": {"m": {"t": {"1": "a", "2": "b"}}}}
+    p = tmp_path / "incremental_results_1.json"
+    p.write_text(json.dumps(snap, indent=2))
+    meta, rows = files.read_snapshot(spark, str(p))
+    m = meta.collect()[0]
+    assert (m["stage"], m["batch_number"], m["total_requests"]) == ("batch", 3, 100)
+    assert sorted((r["persona_id"], r["response"]) for r in rows.collect()) == [("1", "a"), ("2", "b")]
+    attempts = spark.createDataFrame([("m", "t", "1", 1, "x" * 60, True), ("m", "t", "1", 2, "y" * 60, True)],
+                                     K + ", seq long, response string, success boolean")
+    docs = files.snapshot_documents(attempts, "final", 0, 1, 1)
+    out = str(tmp_path / "snap_out")
+    docs.write.text(out)
+    back = files.read_results_json(spark, out).collect()
+    assert [(r["persona_id"], r["response"]) for r in back] == [("1", "y" * 60)]
+    pers = spark.createDataFrame([("u1", "P", "Pro")], "uuid string, persona string, professional_persona string")
+    files.write_personas(pers, str(tmp_path / "pj"), "main", "tag1", "20240101")
+    got = spark.read.json(str(tmp_path / "pj")).collect()
+    assert got[0]["experiment"] == "main" and got[0]["tag"] == "tag1"
