@@ -30,14 +30,19 @@ def get_spark(master: str | None = None, app: str = "consonance",
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    from pyspark import SparkConf
+
+    given = SparkConf()  # spark-submit / spark-defaults values, when present
     builder = SparkSession.builder.appName(app)
-    if master:
+    if master and not given.contains("spark.master"):
         builder = builder.master(master)
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+    wanted = dict(_DEFAULTS)
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("CONSONANCE_DRIVER_MEMORY", "8g"))
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    wanted["spark.driver.memory"] = os.environ.get("CONSONANCE_DRIVER_MEMORY", "4g")
+    for k, v in wanted.items():
+        if not given.contains(k):
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
