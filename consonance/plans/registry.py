@@ -56,6 +56,9 @@ def register(name: str, sql: str | None, operators: Sequence[str]):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ship_package
+
+            ship_package(spark)  # executors' Python workers import this package
             return rounded(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__

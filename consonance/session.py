@@ -45,6 +45,7 @@ def get_spark(master: str | None = None, app: str = "consonance",
             builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -70,3 +71,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers.
+
+    Zips the package once per application and hands it to
+    ``SparkContext.addPyFile``; Spark distributes the file to every executor
+    and puts it on the workers' ``sys.path`` (what ``--py-files`` does). The
+    zip is only the driver-side source of that distribution.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="consonance-pyfiles-"), "consonance.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, names in os.walk(pkg_dir):
+            for name in names:
+                if name.endswith((".py", ".txt")):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
