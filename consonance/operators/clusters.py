@@ -788,7 +788,8 @@ def fit_groups(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col
             for method, lab, llv in (("kmeans", klab, None), ("gmm", glab, ll)):
                 frames.append(pd.DataFrame({**{kk: [v] * len(ids) for kk, v in key.items()}, "method": method,
                                             "k": k, "_id": ids, "cluster": lab.astype(np.int32),
-                                            "ll": llv, "d": x.shape[1]}))
+                                            "ll": np.nan if llv is None else float(llv),
+                                            "d": x.shape[1]}))
         if not frames:
             return pd.DataFrame(columns=out_schema.fieldNames())
         return pd.concat(frames, ignore_index=True)[out_schema.fieldNames()]
