@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import glob
 import os
+import pathlib
 import zipfile
 from collections.abc import Callable, Sequence
 
@@ -34,18 +35,28 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 @functools.lru_cache(maxsize=4)
 def spark_stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark ML's default stop words for ``language`` (from the Spark ML jar)."""
+    """Spark ML's default stop words for ``language``.
+
+    A running session is asked directly; without one the list is read from the
+    Spark ML jar below ``SPARK_HOME`` or around the imported package.
+    """
+    from pyspark.sql import SparkSession
+
+    if SparkSession.getActiveSession() is not None:
+        from pyspark.ml.feature import StopWordsRemover
+        return tuple(w.strip() for w in StopWordsRemover.loadDefaultStopWords(language) if w.strip())
     import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                words = z.read(name).decode("utf-8").split("\n")
-                return tuple(w.strip() for w in words if w.strip())
-    from pyspark.ml.feature import StopWordsRemover  # needs a running JVM
-    return tuple(StopWordsRemover.loadDefaultStopWords(language))
+    # beside the package, or above pyspark.zip when PySpark is loaded from it
+    above = pathlib.Path(pyspark.__file__).parents
+    for home in (os.environ.get("SPARK_HOME"), *above):
+        for jar in glob.glob(os.path.join(home or ".", "jars", "spark-mllib_*.jar")):
+            with zipfile.ZipFile(jar) as z:
+                name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
+                if name in z.namelist():
+                    words = z.read(name).decode("utf-8").split("\n")
+                    return tuple(w.strip() for w in words if w.strip())
+    raise RuntimeError("no Spark session and no Spark ML jar: set SPARK_HOME")
 
 
 def tokens(docs: DataFrame, keys: Sequence[str], id_col: str, text_col: str,

@@ -22,9 +22,13 @@ from .views import with_views
 @dataclass(frozen=True)
 class Entry:
     fn: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    sql: str | Callable[[], str] | None
     operators: tuple[str, ...]
 
+    def oracle_text(self) -> str | None:
+        """The oracle SQL; text that needs a session or a jar is built only here."""
+        return self.sql() if callable(self.sql) else self.sql
+
 
 REGISTRY: dict[str, Entry] = {}
 
@@ -50,7 +54,7 @@ def oracle(body: str, cols: Sequence[str], doubles: Sequence[str] = (),
     return f"SELECT {', '.join(sel)} FROM (\n{inner}\n) q"
 
 
-def register(name: str, sql: str | None, operators: Sequence[str]):
+def register(name: str, sql: str | Callable[[], str] | None, operators: Sequence[str]):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")

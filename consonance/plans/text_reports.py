@@ -41,7 +41,7 @@ def _weights(spark, sf_dir):
     return text_vectors.tfidf_weights(views.answers(spark, sf_dir))
 
 
-@register("tfidf_weights", oracle(_tfidf_sql("SELECT * FROM wn"),
+@register("tfidf_weights", lambda: oracle(_tfidf_sql("SELECT * FROM wn"),
     ["model", "topic", "persona_id", "term", "term_idx", "weight"], ["weight"]), ["V2"])
 def q_tfidf_weights(spark, sf_dir):
     """Per-group TF-IDF weights of every answer (top 1000 terms, smoothed idf, L2 rows)."""
@@ -59,7 +59,7 @@ SELECT ng.model, ng.topic, CAST(ng.n AS BIGINT) AS n, CAST(ng.n * (ng.n - 1) / 2
 FROM ng LEFT JOIN agg ON ng.model = agg.model AND ng.topic = agg.topic"""
 
 
-@register("tfidf_moments", oracle(_tfidf_sql(_PAIR_SQL),
+@register("tfidf_moments", lambda: oracle(_tfidf_sql(_PAIR_SQL),
     ["model", "topic", "n", "pairs", "mean_similarity", "std_similarity"],
     ["mean_similarity", "std_similarity"]), ["V2", "V3", "V4", "J11"])
 def q_tfidf_moments(spark, sf_dir):
@@ -74,7 +74,7 @@ def q_tfidf_moments(spark, sf_dir):
     return m.select("model", "topic", "n", "pairs", "mean_similarity", "std_similarity")
 
 
-@register("tfidf_mean_closed_form", oracle(_tfidf_sql(_PAIR_SQL.replace(
+@register("tfidf_mean_closed_form", lambda: oracle(_tfidf_sql(_PAIR_SQL.replace(
     "CASE WHEN ng.n > 1 THEN sqrt(greatest(coalesce(agg.s2, 0) / (ng.n * (ng.n - 1) / 2)\n"
     "    - (coalesce(agg.s1, 0) / (ng.n * (ng.n - 1) / 2)) ^ 2, 0)) END AS std_similarity", "NULL AS _drop")
     .replace(", NULL AS _drop", "")),

@@ -33,3 +33,21 @@ def test_oracle_subset_small():
                        capture_output=True, text=True, timeout=1200, cwd=ROOT)
     lines = [l for l in r.stdout.splitlines() if l.startswith(("OK", "FAIL", "ROWS"))]
     assert lines and all(l.startswith("OK") for l in lines), r.stdout[-3000:]
+
+
+def test_catalog_imports_from_pyspark_zip_without_session(tmp_path):
+    """With PySpark loaded from pyspark.zip, no session and another working directory."""
+    import glob
+    import pyspark
+
+    lib = os.path.join(os.path.dirname(pyspark.__file__), "python", "lib")
+    zips = [os.path.join(lib, "pyspark.zip"), *glob.glob(os.path.join(lib, "py4j-*.zip"))]
+    code = ("import pyspark, __spark_entry__ as e; assert 'pyspark.zip' in pyspark.__file__;"
+            "print(len(e.queries()), len(e.oracle_sql()))")
+    env = dict(os.environ, PYTHONPATH=os.pathsep.join([*zips, ROOT]))
+    env.pop("SPARK_HOME", None)
+    r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env,
+                       cwd=tmp_path, timeout=120)
+    assert r.returncode == 0, r.stderr[-2000:]
+    n, m = map(int, r.stdout.split()[-2:])
+    assert n >= 95 and m >= 83
