@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: operator modules with NAME, query(spark, sf_dir) and SQL (None where SQL cannot express it)
-MODULES = ("arc_to_warc", "byte_bpe", "near_dedup", "nra_topk", "substring_dedup")
+MODULES = ("arc_to_warc", "byte_bpe", "fm_quality", "near_dedup", "nra_topk", "substring_dedup")
 
 
 def _modules():
