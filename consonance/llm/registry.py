@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: operator modules with NAME, query(spark, sf_dir) and SQL (None where SQL cannot express it)
-MODULES = ("arc_to_warc", "best_fit_packing", "byte_bpe", "decision_list", "fm_quality", "near_dedup", "nra_topk", "secret_scan", "substring_dedup")
+MODULES = ("arc_to_warc", "best_fit_packing", "byte_bpe", "decision_list", "fm_quality", "line_dedup", "near_dedup", "nra_topk", "secret_scan", "substring_dedup")
 
 
 def _modules():
