@@ -181,11 +181,11 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "dense": [r.tobytes() for r in dense]})
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str, meta_cols: Sequence[str]) -> DataFrame:
+def _source(docs: DataFrame, id_col: str, text_col: str, meta_cols: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     names = {f.name for f in docs.schema.fields}
     meta = F.array(*[F.expr(f"try_cast(`{c}` as double)") if c in names else F.lit(None).cast("double") for c in meta_cols])
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
-                       meta.alias("meta"))
+                       meta.alias("meta"), *[F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(carry)])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS,
@@ -213,8 +213,8 @@ def held_out(id_col: str):
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text",
-          meta_cols: Sequence[str] = ("n_chars",)) -> DataFrame:
-    """doc_id, score of every row of ``docs``."""
+          meta_cols: Sequence[str] = ("n_chars",), carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ``carry`` columns and score of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +222,13 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for rb in batches:
             for a, b, part, ends in W.text_slices(rb.column("text")):
                 s = m.score(part, ends, _meta(rb, a, b))
-                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(a, b - a), pa.array(s, pa.float64())],
-                                                 names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column("doc_id").slice(a, b - a), *[rb.column(f"_carry{i}").slice(a, b - a) for i in range(len(carry))],
+                     pa.array(s, pa.float64())], names=["doc_id", *carry, "score"])
 
-    return _source(docs, id_col, text_col, meta_cols).mapInArrow(run, "doc_id long, score double")
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    src = _source(docs, id_col, text_col, meta_cols, carry)
+    return src.mapInArrow(run, ", ".join(["doc_id long", *[f"`{c}` {types[c]}" for c in carry], "score double"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

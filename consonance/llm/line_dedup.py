@@ -70,7 +70,7 @@ def band_keys():
     same = [f"IF(i + {k} < n AND {bin_of(f's[least(i + {k}, n - 1)]')} = {bin_of('x')}, s[least(i + {k}, n - 1)], null)"
             for k in range(1, ROWS)]
     first = f"i = 0 OR {bin_of('s[greatest(i - 1, 0)]')} <> {bin_of('x')}"
-    runs = (f"filter(transform(s, (x, i) -> IF({first}, xxhash64(100 + {bin_of('x')}, x, {', '.join(same)}), null)), "
+    runs = (f"filter(transform(s, (x, i) -> IF({first}, xxhash64({', '.join(['100 + ' + bin_of('x'), 'x', *same])}), null)), "
             "k -> k IS NOT NULL)")
     long = F.when(F.col("n") >= near_low, F.expr(runs)).otherwise(F.expr("cast(array() as array<bigint>)"))
     return F.array_distinct(F.concat(short, long))

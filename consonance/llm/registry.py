@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 #: operator modules with NAME, query(spark, sf_dir) and SQL (None where SQL cannot express it)
 MODULES = ("arc_to_warc", "best_fit_packing", "byte_bpe", "decision_list", "fm_quality", "line_dedup", "near_dedup", "nra_topk", "secret_scan", "substring_dedup")
 
@@ -16,8 +18,9 @@ def _modules():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.NAME: m.query for m in _modules()}
+    return {m.NAME: m.query for m in _modules()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.NAME: m.SQL for m in _modules() if m.SQL}
+    out = {m.NAME: m.SQL for m in _modules() if m.SQL}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -112,7 +112,7 @@ def split_words(part: np.ndarray, ends: np.ndarray, lower: bool = False) -> Word
 def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
     """One 64-bit hash per word, eight bytes at a time over all words together."""
     size = w.end - w.start
-    h = mix(size.astype(U) + U(seed + 1) * _GOLD)
+    h = mix(size.astype(U) + U((seed + 1) * int(_GOLD) % (1 << 64)))
     if not len(size):
         return h
     eight = np.ndarray((len(w.buf) - 7,), "<u8", w.buf.tobytes(), strides=(1,))
