@@ -11,16 +11,9 @@ the result is the connected components of the links.
    probability 1.3e-6.
 2. Documents with equal sets form one class; only the smallest id of a class
    goes on, so thousands of exact copies cost one row.
-3. Star rounds: in every band bucket each class is a candidate of one
-   representative; each class keeps the few representatives it shares most
-   bands with. The pairs are verified on full sets and the links grouped by
-   distributed union-find. This joins large groups of near copies without
-   their pairs.
-4. The rest is exhaustive: every pair of classes that shares a bucket and is
-   still in different components is verified. Buckets where that would be
-   quadratic (many mutually different documents around one shared passage) are
-   split by a second band: there a pair is taken when it shares two bands
-   (a pair at 0.75 shares exactly one with probability 2e-5).
+3. Links between classes come from ``banding``: star rounds that join large
+   groups of near copies without their pairs, then every pair in a bucket whose
+   components still differ.
 
 Verification joins the two texts and compares whole sets; texts of candidates
 only are shuffled. Equality of shingles is equality of 64-bit hashes.
@@ -39,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import banding
 from . import superminhash as S
 from . import wordkit as W
 from .common import only, table, written
@@ -51,10 +45,6 @@ NAME = "op5_near_dedup"
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 50, 5
-#: representatives that each class is verified against in a star round
-STARS = 4
-#: buckets with more cross-component pairs per member than this are split by a second band
-PAIRS_A_MEMBER = 100
 
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
@@ -126,28 +116,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return pairs.select("u", "v").join(a, "u").join(b, "v").mapInArrow(_verifier(shingle, percent), "u long, v long")
 
 
-def _similar_size(percent: int):
-    return F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-
-
-def _cross_pairs(busy: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of all classes in one bucket that lie in different components; two shared bands where a bucket is large."""
-    each = busy.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    cost = each.groupBy("key").agg(F.sum("c").alias("n_all"), F.sum(F.col("c") * F.col("c")).alias("same"),
-                                   F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    cost = cost.select("key", (F.col("n_all") * F.col("n_all") - F.col("same") > 2 * PAIRS_A_MEMBER * F.col("n_all")).alias("large"))
-    mixed = written(busy.join(cost, "key"), "near-mixed")
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        other = rows.select(F.col("key"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        j = rows.join(other, "key").where("id < id2 and comp <> comp2").where(_similar_size(percent))
-        return j.select(F.col("id2").alias("u"), F.col("id").alias("v"))
-
-    wide = mixed.where("large").join(reps.select(F.col("id").alias("_i"), "bands"), F.col("id") == F.col("_i"))
-    wide = wide.select("key", "id", "n", "comp", F.explode("bands").alias("second")).where("second <> key")
-    wide = wide.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id", "n", "comp")
-    several = wide.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    return pairs(mixed.where("not large")).union(pairs(wide.distinct().join(several, "key"))).distinct()
+def _lister(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for rb in batches:
+            for i, blob in zip(rb.column("id").to_pylist(), rb.column("z").to_pylist()):
+                raw = z.decompress(blob)
+                h, _ = W.word_shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), shingle)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(h), i), pa.int64()),
+                                                  "e": pa.array(h.view(np.int64))})
+    return run
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
@@ -165,33 +143,13 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     reps = written(member.where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id"]),
                    "near-reps")
 
-    # rows of all buckets with two classes or more, with the first and last id of the bucket
-    rows = reps.select("id", "n", F.explode("bands").alias("key"))
-    ends = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    busy = written(rows.join(ends, "key"), "near-buckets")
+    busy = written(banding.buckets(reps), "near-buckets")
     wanted = busy.select("id").distinct()
     texts = written(src.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
                     .mapInArrow(_squeeze, "id long, z binary"), "near-texts")
-
-    links, tested, labels = None, None, None
-    for star in ("low", "high"):
-        cand = busy.where(F.col("id") != F.col(star)).select(F.col("id").alias("u"), F.col(star).alias("v"))
-        cand = cand.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
-        if labels is not None:
-            cand = _apart(cand, labels)
-        best = Window.partitionBy("u").orderBy(F.desc("shared"), "v")
-        pairs = written(cand.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= STARS)
-                        .select("u", "v"), "near-star")
-        found = written(_linked(pairs, texts, shingle, percent), "near-links")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
-
-    labelled = busy.join(labels, F.col("id") == F.col("vertex"), "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    done = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    rest = written(_cross_pairs(labelled, reps, percent).join(done, ["u", "v"], "left_anti"), "near-pairs")
-    links = links.union(_linked(rest, texts, shingle, percent))
+    links = banding.links(
+        busy, lambda pairs: _linked(pairs, texts, shingle, percent),
+        lambda ids: texts.join(ids, "id", "left_semi").mapInArrow(_lister(shingle), "id long, e long").distinct(), percent)
     # members of a class hang on its smallest id
     labels = components(links.union(classes))
     out = signed.join(labels, F.col("doc_id") == F.col("vertex"), "left")
@@ -200,14 +158,6 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                       F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose ends are not yet in one component."""
-    a = labels.select(F.col("vertex").alias("u"), F.col("component").alias("cu"))
-    b = labels.select(F.col("vertex").alias("v"), F.col("component").alias("cv"))
-    return (pairs.join(a, "u", "left").join(b, "v", "left")
-            .where("coalesce(cu, u) <> coalesce(cv, v)").drop("cu", "cv"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of every whole document."""
     return near_dedup(table(spark, sf_dir, "documents"))
