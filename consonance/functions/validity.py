@@ -77,17 +77,17 @@ def _reason_from_parts(is_null: Column, raw_len: Column, trim_len: Column, low:
              .when(no_letter, "no_letter"))
 
 
-def with_validity(df, text_col: str = "response", which=("8", "11")):
+def with_validity(df, text_col: str = "response", which=("8", "11"), partitions: int | None = None):
     """Add ``reason_<p>`` columns for each check in ``which`` (NULL = valid).
 
     The trimmed length, the lowercased text and the letter test are computed
     once per row in their own projection (so they are not re-evaluated per
-    check), after spreading an under-partitioned input over the cores.
+    check); ``partitions`` spreads an input that is known to arrive in few.
     """
     from ..operators.layout import spread
 
     t = F.col(text_col)
-    parts = spread(df).select("*", t.isNull().alias("_v_null"), F.length(t).alias("_v_len"),
+    parts = spread(df, partitions).select("*", t.isNull().alias("_v_null"), F.length(t).alias("_v_len"),
                               F.length(unicode_trim(t)).alias("_v_tlen"), F.lower(t).alias("_v_low"),
                               t.rlike(r"\p{L}").alias("_v_letter"))
     out = parts.select("*", *[_reason_from_parts(F.col("_v_null"), F.col("_v_len"), F.col("_v_tlen"),

@@ -1,9 +1,9 @@
 """Task grids and dense ordering indexes.
 
-* ``expand`` multiplies a large table by a short list (topics, models). The
-  list is counted first and refused above ``max_values``; the values enter the
-  plan as a literal array, so the grid is a per-row ``explode`` with no join
-  and no shuffle of the large side.
+* ``expand`` multiplies a large table by a list (topics, models). A short list
+  enters the plan as a literal array, so the grid is a per-row ``explode``
+  with no join and no shuffle of the large side; a longer one is joined in
+  blocks of values. Both give the same rows.
 * ``dense_index`` numbers rows 1..n in a given order without a global window:
   a distributed sort, then per-partition counts turned into offsets.
 """
@@ -15,32 +15,49 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_VALUES = 10_000
+#: a list of up to this many values enters the plan as a literal array
+LITERAL_VALUES = 1_000
+#: values of a longer list that are joined to a row at once
+BLOCK_VALUES = 256
 _ROW_BITS = 33  # monotonically_increasing_id keeps the record number in the low 33 bits
 
 
-def distinct_values(dim: DataFrame, col: str, max_values: int = DEFAULT_MAX_VALUES) -> list:
-    """Sorted distinct non-null values of a short list, refused above ``max_values``."""
+def distinct_values(dim: DataFrame, col: str, max_values: int = LITERAL_VALUES) -> list | None:
+    """Sorted distinct non-null values, or None when there are more than ``max_values`` (at most that many are read)."""
     vals = dim.select(col).where(F.col(col).isNotNull()).distinct()
     head = vals.limit(max_values + 1).collect()
-    if len(head) > max_values:
-        raise ValueError(f"{col}: more than {max_values} distinct values; not a short list")
-    return sorted(r[0] for r in head)
+    return sorted(r[0] for r in head) if len(head) <= max_values else None
 
 
-def expand(df: DataFrame, dim: DataFrame, col: str,
-           max_values: int = DEFAULT_MAX_VALUES) -> DataFrame:
+def expand(df: DataFrame, dim: DataFrame, col: str, max_values: int = LITERAL_VALUES) -> DataFrame:
     """Each row of ``df`` once per distinct value of ``dim[col]`` (duplicates collapse)."""
     values = distinct_values(dim, col, max_values)
+    if values is None:
+        return _expand_blocks(df, dim, col)
     return expand_values(df, col, values, dim.schema[col].dataType)
 
 
-def expand_values(df: DataFrame, col: str, values: list, data_type=None,
-                  max_values: int = DEFAULT_MAX_VALUES) -> DataFrame:
-    """Each row of ``df`` once per value of a known short list (checked size)."""
+def _expand_blocks(df: DataFrame, dim: DataFrame, col: str) -> DataFrame:
+    """The same for a list of any length: values in blocks, rows joined to every block.
+
+    Only block numbers enter the plan. The block number is the join key on both
+    sides, and each value's block is dealt to ``salts`` copies, so the rows of
+    ``df`` spread over blocks x salts keys.
+    """
+    spark = df.sparkSession
+    vals = dim.select(col).where(F.col(col).isNotNull()).distinct()
+    blocks = max(1, -(-vals.count() // BLOCK_VALUES))
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    v = vals.select(col, F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int").alias("_block"),
+                    F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    own = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    rows = df.withColumn("_salt", own).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return rows.join(v, ["_block", "_salt"]).drop("_block", "_salt")
+
+
+def expand_values(df: DataFrame, col: str, values: list, data_type=None) -> DataFrame:
+    """Each row of ``df`` once per value of a known short list."""
     values = sorted(set(v for v in values if v is not None))
-    if len(values) > max_values:
-        raise ValueError(f"{col}: more than {max_values} values; not a short list")
     if not values:
         return df.withColumn(col, F.lit(None).cast(data_type or "string")).where(F.lit(False))
     return df.withColumn(col, F.explode(F.array(*[F.lit(v) for v in values])))
@@ -72,7 +89,7 @@ def dense_index(df: DataFrame, order: Sequence, name: str = "idx",
 
 
 def task_grid(prompts: DataFrame, models: DataFrame,
-              max_models: int = DEFAULT_MAX_VALUES) -> DataFrame:
+              max_models: int = LITERAL_VALUES) -> DataFrame:
     """prompts(topic, persona_id, prompt) x models, models innermost.
 
     The order key (topic, persona_id, model) interleaves models inside each

@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from ..functions.validity import is_valid, normalise_outcome
 from ..session import scratch_path
 from .coverage import KEYS, fill_placeholders, last_answer_wins, missing_tasks
-from .layout import spread
 
 # answerer(model, topic, persona_id, prompt, attempt) -> (text | None, error | None, tokens | None)
 Answerer = Callable[[str, str, str, str, int], tuple]
@@ -63,8 +62,6 @@ def answer_tasks(tasks: DataFrame, answerer_factory: Callable[[], Answerer], att
     t = tasks.select(*KEYS, "prompt", att_col.cast("int").alias("attempt"))
     if partitions:
         t = t.repartition(partitions, "model", "persona_id")
-    else:
-        t = spread(t)  # calls spread over the cores when the grid arrives in few partitions
     schema = T.StructType(t.schema.fields + RAW_FIELDS)
 
     def fn(batches):

@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when it arrives in far fewer partitions.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``partitions`` when the caller asks for a number; else ``df`` as it is.
 
-    Used before CPU-heavy per-row work (tokenising or checking whole texts).
-    A large input already has many scan partitions and is left untouched, so
-    no extra shuffle of raw text happens at scale.
+    Meant for CPU-heavy per-row work on an input that is known to arrive in
+    few partitions. Nothing is executed or measured here.
     """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    # an input already a quarter as parallel as the cluster is left alone
-    if df.rdd.getNumPartitions() * 4 <= target:
-        return df.repartition(target)
-    return df
+    return df.repartition(partitions) if partitions else df

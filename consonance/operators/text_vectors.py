@@ -89,7 +89,7 @@ def top_k_terms(stats: DataFrame, keys: Sequence[str], k: int, salt_buckets: int
 def tfidf_weights(docs: DataFrame, keys: Sequence[str] = ("model", "topic"),
                   id_col: str = "persona_id", text_col: str = "response",
                   max_features: int = 1000, stop_words: Sequence[str] | None = None,
-                  salt_buckets: int = 64) -> DataFrame:
+                  salt_buckets: int = 64, partitions: int | None = None) -> DataFrame:
     """Sparse L2-normalised TF-IDF rows: (keys, id, term, term_idx, weight)."""
     keys = list(keys)
     d = docs.select(*keys, id_col, text_col)
@@ -99,18 +99,12 @@ def tfidf_weights(docs: DataFrame, keys: Sequence[str] = ("model", "topic"),
     not_null = F.col("term").isNotNull() & F.col(id_col).isNotNull()
     for k in keys:
         not_null = not_null & F.col(k).isNotNull()
-    # tokens are shuffled once, by (group, term, document bucket): the term
-    # counts per document read that exchange directly and both consumers of
-    # ``tf`` share it (texts are tokenised once); the bucket spreads a
-    # frequent term of a hot group over ``salt_buckets`` tasks
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = max(n_parts, docs.sparkSession.sparkContext.defaultParallelism)
-    toks = tokens(spread(d), keys, id_col, text_col, stop_words).where(not_null)
-    toks = toks.withColumn("_b", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)))
-    toks = toks.repartition(n_parts, *keys, "term", "_b")
-    tf = toks.groupBy(*keys, "term", "_b", id_col).agg(F.count(F.lit(1)).alias("tf")).drop("_b")
+    # counted per (group, document, term) before the shuffle: only counts travel,
+    # and a document's rows spread by term, so a long document is no hot key
+    toks = tokens(spread(d, partitions), keys, id_col, text_col, stop_words).where(not_null)
+    tf = toks.groupBy(*keys, "term", id_col).agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy(*keys, "term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
-    vocab = top_k_terms(stats, keys, max_features).join(n_docs, keys)
+    vocab = top_k_terms(stats, keys, max_features, salt_buckets).join(n_docs, keys)
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
     vocab = vocab.select(*keys, "term", "term_idx", idf.alias("idf"))
     # the vocabulary has at most max_features rows per group; AQE picks the join

@@ -190,21 +190,29 @@ def q_retry_round_summary(spark, sf_dir):
 
 
 @register("final_report", oracle(with_views(f"""
-, r AS (SELECT *, success AND ({REASON11.replace('response', 'response')}) IS NULL AS ok FROM answers)
-SELECT CAST(count(*) AS BIGINT) AS processed, CAST(count_if(ok) AS BIGINT) AS successful,
-  CAST(count(*) - count_if(ok) AS BIGINT) AS failed, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS total_tokens,
-  CAST((SELECT count(*) FROM (SELECT DISTINCT model, topic, persona_id FROM answers)) AS BIGINT) AS completed,
-  CAST((SELECT count(*) FROM (SELECT DISTINCT model, topic, persona_id FROM answers)) AS BIGINT) AS expected,
-  100.0 AS coverage_pct, count_if(ok) / count(*) AS success_rate,
-  CASE WHEN count_if(ok) / count(*) >= 0.99 THEN 'PERFECT' WHEN count_if(ok) / count(*) >= 0.95 THEN 'EXCELLENT'
-       ELSE 'COMPLETE' END AS grade
-FROM r""", "answers"), ["processed", "successful", "failed", "total_tokens", "completed", "expected",
-                        "coverage_pct", "success_rate", "grade"], ["coverage_pct", "success_rate"]),
+, res AS (SELECT model, topic, persona_id, CASE WHEN CAST(persona_id AS BIGINT) % 50 = 0 THEN '' ELSE response END AS response,
+    CAST(persona_id AS BIGINT) % 40 <> 0 AS success, CAST(length(response) AS INTEGER) AS tokens FROM done),
+ r AS (SELECT *, success AND ({REASON11}) IS NULL AS ok FROM res),
+ n AS (SELECT count(*) AS processed, count_if(ok) AS successful, sum(tokens) AS total_tokens,
+   (SELECT count(*) FROM (SELECT DISTINCT model, topic, persona_id FROM res)) AS completed,
+   (SELECT count(*) FROM (SELECT DISTINCT model, topic, persona_id FROM tasks)) AS expected FROM r),
+ c AS (SELECT *, completed * 100.0 / expected AS coverage_pct, successful / processed AS success_rate FROM n)
+SELECT CAST(processed AS BIGINT) AS processed, CAST(successful AS BIGINT) AS successful,
+  CAST(processed - successful AS BIGINT) AS failed, CAST(coalesce(total_tokens, 0) AS BIGINT) AS total_tokens,
+  CAST(completed AS BIGINT) AS completed, CAST(expected AS BIGINT) AS expected, coverage_pct, success_rate,
+  CASE WHEN coverage_pct >= 100 AND success_rate >= 0.99 THEN 'PERFECT'
+       WHEN coverage_pct >= 100 AND success_rate >= 0.95 THEN 'EXCELLENT'
+       WHEN coverage_pct >= 100 THEN 'COMPLETE' WHEN coverage_pct >= 95 THEN 'GOOD' ELSE 'WARNING' END AS grade
+FROM c""", "done"), ["processed", "successful", "failed", "total_tokens", "completed", "expected",
+                     "coverage_pct", "success_rate", "grade"], ["coverage_pct", "success_rate"]),
     ["A16", "P20", "U3"])
 def q_final_report(spark, sf_dir):
-    """Final statistics of an answer table against its expected keys, with grade."""
-    a = views.answers(spark, sf_dir)
-    return coverage.final_report(a, a.select("model", "topic", "persona_id"))
+    """Final statistics of the completed answers against the expected task grid, with grade."""
+    k = F.col("persona_id").cast("bigint")
+    a = views.done(spark, sf_dir).select(
+        *coverage.KEYS, F.when(k % 50 == 0, F.lit("")).otherwise(F.col("response")).alias("response"),
+        (k % 40 != 0).alias("success"), F.length("response").cast("int").alias("tokens"))
+    return coverage.final_report(a, views.tasks(spark, sf_dir))
 
 
 @register("batch_summary", oracle(with_views("""

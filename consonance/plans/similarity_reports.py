@@ -230,7 +230,8 @@ def q_connections(spark, sf_dir):
                       F.col("embedding")[0].cast("double").alias("x"),
                       F.col("embedding")[1].cast("double").alias("y"),
                       F.col("embedding")[2].cast("double").alias("z"))
-    return pairs.connections(o, coords, threshold=0.3)
+    return pairs.connections(o, coords, threshold=0.3).select(
+        "model", "topic", "id_a", "id_b", "similarity", "x_a", "y_a", "z_a", "x_b", "y_b", "z_b")
 
 
 @register("similarity_bands", oracle(_sql(MOMENTS_SQL + """

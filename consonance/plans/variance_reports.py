@@ -267,7 +267,8 @@ SELECT model, mean_similarity, std_similarity, num_topics, avg_personas, 'Main (
 def q_stacked_variance(spark, sf_dir):
     """Both variance tables tagged with their experiment and stacked."""
     m = _moments_both(spark, sf_dir)
-    return variance.stacked_variance(_cvar(m), _pvar(m))
+    return variance.stacked_variance(_cvar(m), _pvar(m)).select(
+        "model", "similarity", "std_similarity", "n_units", "avg_personas", "experiment")
 
 
 @register("comparison_tables", None, ["R7"])

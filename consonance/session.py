@@ -53,12 +53,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts, taken from ``spark.checkpoint.dir``.
 
     A cluster names a shared (distributed) folder there. Only when the setting
-    is missing, as in local tests, a fresh scratch folder is created and set.
+    is missing and driver and executors are one process (master ``local`` or
+    ``local[...]``), a fresh scratch folder is created and set; elsewhere a
+    missing setting is an error, since a machine's own folder would be
+    invisible to the others.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set; master {master} needs a folder that all executors share")
         d = tempfile.mkdtemp(prefix="consonance-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -125,9 +125,13 @@ def write_personas(personas: DataFrame, path: str, experiment: str, tag: str, ru
 
 
 def write_answers_parquet(answers: DataFrame, path: str, experiment: str = "main") -> None:
-    """Answers as Parquet, partitioned by experiment and model."""
+    """Answers as Parquet, partitioned by experiment and model.
+
+    Rows are dealt by (model, topic, 16 buckets of the persona id): a model with
+    a third of all answers is written by many tasks, in as many files.
+    """
     (answers.withColumn("experiment", F.lit(experiment))
-            .repartition("experiment", "model")
+            .repartition("experiment", "model", "topic", F.pmod(F.xxhash64("persona_id"), F.lit(16)))
             .write.mode("append").partitionBy("experiment", "model").parquet(path))
 
 

@@ -1,9 +1,11 @@
 """Structured Streaming forms of the answer log.
 
-* ``ingest_attempts`` (incremental snapshots): new attempt files are appended
-  to a Parquet table in ``foreachBatch`` with the micro-batch id, and one
-  metrics row per micro-batch is appended next to it; readers get running
-  totals from the metrics table and exact results from the attempts table.
+* ``ingest_attempts`` (incremental snapshots): each micro-batch is written to
+  its own ``micro_batch=<id>`` partition of a Parquet table in
+  ``foreachBatch``, and its metrics row to the same partition of a second
+  table. A replayed micro-batch overwrites its partition, so nothing counts
+  twice; readers get running totals from the metrics table and exact results
+  from the attempts table.
 * ``rate_audit`` (request window check): requests per model per tumbling
   event-time window, flagged at a limit; update mode into ``foreachBatch``,
   so late rows inside the watermark revise a window and the latest version
@@ -36,21 +38,28 @@ def _start(writer, available_now: bool):
     return writer.start()
 
 
+def write_batch(df: DataFrame, batch_id: int, table_dir: str, metrics_dir: str) -> None:
+    """One micro-batch and its metrics, each to its own partition; a replay overwrites both."""
+    df = df.persist()
+    try:
+        df.write.mode("overwrite").parquet(f"{table_dir}/micro_batch={batch_id}")
+        ok = F.coalesce(F.col("success"), F.lit(False))
+        if "response" in df.columns:
+            ok = ok & is_valid(F.col("response"))
+        m = df.agg(F.count(F.lit(1)).alias("requests"), F.count_if(ok).alias("successful"),
+                   F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
+        m.write.mode("overwrite").parquet(f"{metrics_dir}/micro_batch={batch_id}")
+    finally:
+        df.unpersist()
+
+
 def ingest_attempts(spark: SparkSession, source_dir: str, schema: T.StructType, table_dir: str,
                     metrics_dir: str, available_now: bool = True, checkpoint: str | None = None):
-    """Append new attempt files to ``table_dir`` and per-batch metrics to ``metrics_dir``."""
+    """New attempt files to ``table_dir`` and per-batch metrics to ``metrics_dir`` (``write_batch``)."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        rows = df.withColumn("micro_batch", F.lit(batch_id))
-        rows.write.mode("append").parquet(table_dir)
-        ok = F.coalesce(F.col("success"), F.lit(False))
-        if "response" in df.columns:
-            ok = ok & is_valid(F.col("response"))
-        m = df.agg(F.lit(batch_id).cast("long").alias("micro_batch"),
-                   F.count(F.lit(1)).alias("requests"), F.count_if(ok).alias("successful"),
-                   F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
-        m.write.mode("append").parquet(metrics_dir)
+        write_batch(df, batch_id, table_dir, metrics_dir)
 
     q = _start(stream.writeStream.foreachBatch(per_batch)
                .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest-ckpt")), available_now)
@@ -59,13 +68,12 @@ def ingest_attempts(spark: SparkSession, source_dir: str, schema: T.StructType,
 
 def running_metrics(spark: SparkSession, metrics_dir: str) -> DataFrame:
     """Cumulative requests, successes and success rate after each micro-batch."""
-    from pyspark.sql import Window
+    from ..operators.grid import running_sums
 
-    m = spark.read.parquet(metrics_dir)
-    w = Window.orderBy("micro_batch").rowsBetween(Window.unboundedPreceding, 0)
-    return m.select("micro_batch", "requests", "successful", "tokens",
-                    F.sum("requests").over(w).alias("cum_requests"),
-                    (F.sum("successful").over(w) / F.sum("requests").over(w)).alias("cum_success_rate"))
+    m = spark.read.parquet(metrics_dir).select("micro_batch", "requests", "successful", "tokens")
+    c = running_sums(m, "micro_batch", ["requests", "successful"])
+    return c.select("micro_batch", "requests", "successful", "tokens", F.col("requests_cum").alias("cum_requests"),
+                    (F.col("successful_cum") / F.col("requests_cum")).alias("cum_success_rate"))
 
 
 def rate_audit_stream(requests: DataFrame, limit: int, window: str = "60 seconds",
@@ -84,7 +92,7 @@ def rate_audit(spark: SparkSession, source_dir: str, schema: T.StructType, out_d
     counts = rate_audit_stream(spark.readStream.schema(schema).parquet(source_dir), limit, window, watermark)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        df.withColumn("micro_batch", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        df.write.mode("overwrite").parquet(f"{out_dir}/micro_batch={batch_id}")
 
     return _start(counts.writeStream.outputMode("update").foreachBatch(per_batch)
                   .option("checkpointLocation", checkpoint or scratch_path(spark, "audit-ckpt")), available_now)

@@ -2,8 +2,7 @@
 
 Usage: python tests/oracle_check.py [sf_dir] [name ...]
 
-Compares row count, column names and the multiset of rows (columns sorted by
-name; doubles already rounded by both sides). Prints one line per query.
+Compares row count, column names and the multiset of rows (columns in the same order; doubles already rounded by both sides). Prints one line per query.
 """
 
 from __future__ import annotations
@@ -80,8 +79,8 @@ def main(argv):
             continue
         c1, r1 = rows_of(sp)
         c2, r2 = rows_of(dk)
-        if c1 != c2:
-            print(f"FAIL  {name}: columns {c1} vs {c2}")
+        if list(sp.columns) != list(dk.columns):
+            print(f"FAIL  {name}: columns {list(sp.columns)} vs {list(dk.columns)}")
             bad += 1
         elif r1 != r2:
             diff = [(a, b) for a, b in zip(r1, r2) if a != b][:3]

@@ -18,11 +18,16 @@ def test_expand_and_grid_order(spark):
         ("1", "a", 0), ("1", "b", 0), ("2", "a", 0), ("2", "b", 1)]
 
 
-def test_expand_refuses_long_lists(spark):
+def test_expand_long_lists(spark):
+    """A list beyond the literal limit is joined in blocks; the rows are the same."""
     df = spark.range(3)
-    dim = spark.range(50).select(F.col("id").cast("string").alias("v"))
-    with pytest.raises(ValueError):
-        grid.expand(df, dim, "v", max_values=10)
+    dim = spark.range(10_001).select(F.col("id").cast("string").alias("v"))
+    out = grid.expand(df, dim.union(dim), "v")
+    assert out.count() == 30_003 and out.distinct().count() == 30_003
+    short = dim.where("id < 50")
+    key = lambda r: (r["id"], r["v"])
+    assert sorted(map(key, grid.expand(df, short, "v", max_values=10).collect())) == sorted(
+        map(key, grid.expand(df, short, "v").collect()))
 
 
 def test_dense_index_many_partitions(spark):

@@ -130,3 +130,28 @@ def test_snapshot_reader_and_writers(spark, tmp_path):
     files.write_personas(pers, str(tmp_path / "pj"), "main", "tag1", "20240101")
     got = spark.read.json(str(tmp_path / "pj")).collect()
     assert got[0]["experiment"] == "main" and got[0]["tag"] == "tag1"
+
+
+def test_replayed_micro_batch_counts_once(spark, tmp_path):
+    df = spark.createDataFrame([("m", True, 3), ("m", False, 4)], "model string, success boolean, tokens int")
+    table, metrics = str(tmp_path / "t"), str(tmp_path / "m")
+    ingest.write_batch(df, 0, table, metrics)
+    ingest.write_batch(df.limit(1), 1, table, metrics)
+    ingest.write_batch(df, 0, table, metrics)      # the same micro-batch again after a failure
+    assert spark.read.parquet(table).count() == 3
+    got = [tuple(r) for r in ingest.running_metrics(spark, metrics).orderBy("micro_batch").collect()]
+    assert [(g[0], g[1], g[4]) for g in got] == [(0, 2, 2), (1, 1, 3)]
+
+
+def test_checkpoint_folder_is_required_beyond_one_process():
+    from types import SimpleNamespace
+
+    from consonance.session import checkpoint_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=sc)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(fake)
+    sc.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        checkpoint_dir(fake)
