@@ -319,6 +319,10 @@ def point_table(coords: DataFrame, labels: DataFrame, keys: Sequence[str], id_co
 # grouped k-means and Gaussian mixtures
 
 
+#: the mixture's starts and iterations, and k-means iterations, unless the caller says otherwise
+N_INIT, MIXTURE_ITER, KMEANS_ITER = 10, 1000, 300
+
+
 def _by_group(params: dict) -> dict:
     """{(group, k): p} -> {group: [(k, p), ...]} for per-group lookups inside tasks."""
     out: dict = {}
@@ -412,10 +416,11 @@ def _collect_stats(stats: DataFrame, keys: list[str], d: int) -> dict:
 
 
 def kmeans(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col: str = "persona_id",
-           vec_col: str = "scaled", max_iter: int = 20, seed: int = 42, tol: float = 1e-6):
+           vec_col: str = "scaled", max_iter: int = KMEANS_ITER, seed: int = 42, tol: float = 1e-6):
     """Grouped Lloyd k-means for every group and every k in ``ks`` at once.
 
-    Returns (labels DataFrame (keys, k, id, cluster), centres dict). Groups with
+    Each (group, k) stops by its own rule, so a fit does not depend on what
+    else is in the call. Returns (labels DataFrame (keys, k, id, cluster), centres dict). Groups with
     fewer than k points get no fit for that k.
     """
     keys = list(keys)
@@ -428,8 +433,9 @@ def kmeans(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col: st
     d = next(iter(centres.values())).shape[1]
     _check_size(sum(c.size for c in centres.values()))
     schema = _stats_schema(pts, keys)
+    moving = set(centres)
     for _ in range(max_iter):
-        bc = spark.sparkContext.broadcast(centres)
+        bc = spark.sparkContext.broadcast({gk: centres[gk] for gk in moving})
 
         def step(batches, bc=bc):
             cs = _by_group(bc.value)
@@ -452,18 +458,17 @@ def kmeans(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col: st
 
         stats = _collect_stats(pts.mapInPandas(step, schema), keys, d)
         bc.unpersist()
-        moved = 0.0
-        new = {}
-        for (g, k), c in centres.items():
+        for (g, k) in sorted(moving, key=str):
+            c = centres[(g, k)]
             c2 = c.copy()
             for j in range(k):
                 st = stats.get((g, k, j))
                 if st and st[0] > 0:
                     c2[j] = st[1] / st[0]
-            moved = max(moved, float(np.abs(c2 - c).max()))
-            new[(g, k)] = c2
-        centres = new
-        if moved <= tol:
+            centres[(g, k)] = c2
+            if float(np.abs(c2 - c).max()) <= tol:
+                moving.discard((g, k))
+        if not moving:
             break
     labels = _assign(pts, keys, centres, spark)
     return labels, centres
@@ -500,19 +505,29 @@ def _log_gauss(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return -0.5 * (d * np.log(2 * np.pi) + (z * z).sum(0)) - np.log(np.diag(chol)).sum()
 
 
+def _log_joint(x: np.ndarray, w: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray | None:
+    """log(weight * density) per row and component; None when a covariance cannot be factorised."""
+    try:
+        return np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j]) for j in range(len(w))], axis=1)
+    except np.linalg.LinAlgError:
+        return None
+
+
 def gaussian_mixture(points: DataFrame, keys: Sequence[str], ks: Sequence[int],
-                     id_col: str = "persona_id", vec_col: str = "scaled", max_iter: int = 100,
+                     id_col: str = "persona_id", vec_col: str = "scaled", max_iter: int = MIXTURE_ITER,
                      tol: float = 1e-4, reg_covar: float = 1e-6, seed: int = 42):
     """Grouped full-covariance EM for every group and every k, started from k-means.
 
     Returns (labels (keys, k, id, cluster), log-likelihoods {(group, k): logL},
-    dims). One distributed pass per EM iteration; the per-component
+    dims). Each (group, k) stops by its own rule; one whose covariance cannot
+    be factorised has failed: log-likelihood -inf and the single label 0. One
+    distributed pass per EM iteration; the per-component
     sufficient statistics (n, sum x, sum x x^T) and the log-likelihood are
     summed by Spark.
     """
     keys = list(keys)
     spark = points.sparkSession
-    km_labels, centres = kmeans(points, keys, ks, id_col, vec_col, max_iter=20, seed=seed)
+    km_labels, centres = kmeans(points, keys, ks, id_col, vec_col, seed=seed)
     if not centres:
         return None, {}, 0
     pts = _dense(points, keys, id_col, vec_col).cache()
@@ -531,8 +546,9 @@ def gaussian_mixture(points: DataFrame, keys: Sequence[str], ks: Sequence[int],
     schema = _stats_schema(pts, keys)
     prev_ll: dict = {}
     ll_out: dict = {}
+    moving = set(params)
     for it in range(max_iter):
-        bc = spark.sparkContext.broadcast(params)
+        bc = spark.sparkContext.broadcast({gk: params[gk] for gk in moving})
 
         def estep(batches, bc=bc):
             ps = _by_group(bc.value)
@@ -542,8 +558,11 @@ def gaussian_mixture(points: DataFrame, keys: Sequence[str], ks: Sequence[int],
                     g = key if isinstance(key, tuple) else (key,)
                     x = np.stack(pdf["_x"].iloc[idx].to_numpy())
                     for k, (w, mu, cov) in ps.get(g, ()):
-                        lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j])
-                                       for j in range(k)], axis=1)
+                        lp = _log_joint(x, w, mu, cov)
+                        if lp is None:
+                            cur = acc.setdefault((g, k, 0), [0.0, np.zeros(d), np.zeros((d, d)), 0.0])
+                            cur[3] = -np.inf
+                            continue
                         mx = lp.max(1, keepdims=True)
                         lse = mx[:, 0] + np.log(np.exp(lp - mx).sum(1))
                         r = np.exp(lp - lse[:, None])
@@ -561,10 +580,14 @@ def gaussian_mixture(points: DataFrame, keys: Sequence[str], ks: Sequence[int],
 
         stats = _collect_stats(pts.mapInPandas(estep, schema), keys, d)
         bc.unpersist()
-        new, done = {}, True
-        for (g, k), (w, mu, cov) in params.items():
+        for (g, k) in sorted(moving, key=str):
+            w, mu, cov = params[(g, k)]
             ll = stats.get((g, k, 0), (0, None, None, 0.0))[3]
+            ll_out[(g, k)] = ll
             n_tot = sum(stats.get((g, k, j), (0,))[0] for j in range(k))
+            if ll == -np.inf:
+                moving.discard((g, k))
+                continue
             w2, mu2, cov2 = w.copy(), mu.copy(), cov.copy()
             for j in range(k):
                 st = stats.get((g, k, j))
@@ -574,13 +597,11 @@ def gaussian_mixture(points: DataFrame, keys: Sequence[str], ks: Sequence[int],
                 w2[j] = nj / n_tot
                 mu2[j] = sx / nj
                 cov2[j] = sxx / nj - np.outer(mu2[j], mu2[j]) + reg_covar * np.eye(d)
-            new[(g, k)] = (w2 / w2.sum(), mu2, cov2)
-            ll_out[(g, k)] = ll
-            if abs(ll - prev_ll.get((g, k), -np.inf)) > tol * max(n_tot, 1):
-                done = False
+            params[(g, k)] = (w2 / w2.sum(), mu2, cov2)
+            if abs(ll - prev_ll.get((g, k), -np.inf)) <= tol * max(n_tot, 1):
+                moving.discard((g, k))
             prev_ll[(g, k)] = ll
-        params = new
-        if done:
+        if not moving:
             break
     labels = _assign_gmm(pts, keys, params, spark)
     return labels, ll_out, d
@@ -601,8 +622,8 @@ def _assign_gmm(pts, keys, params, spark):
                 x = np.stack(pdf["_x"].iloc[idx].to_numpy())
                 ids = pdf["_id"].iloc[idx].to_numpy()
                 for k, (w, mu, cov) in ps.get(g, ()):
-                    lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j])
-                                   for j in range(k)], axis=1)
+                    lp = _log_joint(x, w, mu, cov)
+                    lp = np.zeros((len(x), k)) if lp is None else lp
                     out.append(pd.DataFrame({**{kk: [g[i]] * len(ids) for i, kk in enumerate(keys)},
                                              "k": k, "_id": ids, "cluster": lp.argmax(1).astype(np.int32)}))
             if out:
@@ -612,10 +633,13 @@ def _assign_gmm(pts, keys, params, spark):
 
 
 def sweep(points: DataFrame, keys: Sequence[str], max_clusters: int = 10, id_col: str = "persona_id",
-          vec_col: str = "scaled", seed: int = 42) -> DataFrame:
+          vec_col: str = "scaled", seed: int = 42, n_init: int = N_INIT, max_iter: int = MIXTURE_ITER) -> DataFrame:
     """k = 2..min(max_clusters, n-1) per group: mixture fit and the five metrics.
 
-    A fit that uses a single label gets the worst scores (-1, 0, inf, inf, inf).
+    A fit that uses a single label, or failed, gets the worst scores (-1, 0,
+    inf, inf, inf); a group of one or two rows gets one row with k = 1 and no
+    scores, so every group is in the result. ``n_init`` and ``max_iter`` belong
+    to the mixture.
     Returns (keys, k, silhouette, calinski_harabasz, davies_bouldin, bic, aic).
     """
     keys = list(keys)
@@ -625,13 +649,12 @@ def sweep(points: DataFrame, keys: Sequence[str], max_clusters: int = 10, id_col
     points = points.select(*keys, id_col, vec_col).checkpoint(eager=True)  # reused by every metric
     n_max = points.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
     ks = [k for k in range(2, min(max_clusters, n_max - 1) + 1)]
-    kf = _key_fields(points, keys)
-    empty_schema = T.StructType(kf + [T.StructField(n, T.DoubleType()) for n in
-                                      ("silhouette", "calinski_harabasz", "davies_bouldin", "bic", "aic")]
-                                + [T.StructField("k", T.IntegerType())])
+    tiny = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n <= 2").select(
+        *keys, F.lit(1).alias("k"), *[F.lit(None).cast("double").alias(c) for c in
+                                      ("silhouette", "calinski_harabasz", "davies_bouldin", "bic", "aic")])
     if not ks:
-        return points.sparkSession.createDataFrame([], empty_schema)
-    fitted, ll_df, d = fit_groups(points, keys, ks, id_col, vec_col, seed=seed)
+        return tiny
+    fitted, ll_df, d = fit_groups(points, keys, ks, id_col, vec_col, seed=seed, n_init=n_init, max_iter=max_iter)
     labels = fitted.where(F.col("method") == "gmm").drop("method")
     n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     labels = labels.join(n, keys).where(F.col("k") <= F.col("_n") - 1).drop("_n")
@@ -652,7 +675,7 @@ def sweep(points: DataFrame, keys: Sequence[str], max_clusters: int = 10, id_col
                     F.when(one, F.lit(0.0)).otherwise(F.col("calinski_harabasz")).alias("calinski_harabasz"),
                     F.when(one, F.lit(math.inf)).otherwise(F.col("davies_bouldin")).alias("davies_bouldin"),
                     F.when(one, F.lit(math.inf)).otherwise(bic).alias("bic"),
-                    F.when(one, F.lit(math.inf)).otherwise(aic).alias("aic"))
+                    F.when(one, F.lit(math.inf)).otherwise(aic).alias("aic")).unionByName(tiny)
 
 
 def robust_labels(points: DataFrame, keys: Sequence[str], k_per_group: DataFrame,
@@ -701,13 +724,14 @@ def robust_labels(points: DataFrame, keys: Sequence[str], k_per_group: DataFrame
 
 
 # ---------------------------------------------------------------------------
-# size-checked fast path: a group of at most LOCAL_MAX rows is fitted inside
-# one task (all k at once); larger groups use the distributed iterations above
+# a group of at most LOCAL_MAX rows is fitted inside one task (all k at once);
+# larger groups run the same iterations distributed, from the same starts and
+# with the same stop rules, so only rounding differs
 
 LOCAL_MAX = 20_000
 
 
-def _local_kmeans(x: np.ndarray, init: np.ndarray, max_iter: int = 20, tol: float = 1e-6) -> np.ndarray:
+def _local_kmeans(x: np.ndarray, init: np.ndarray, max_iter: int, tol: float = 1e-6) -> np.ndarray:
     c = init.copy()
     for _ in range(max_iter):
         lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
@@ -723,8 +747,7 @@ def _local_kmeans(x: np.ndarray, init: np.ndarray, max_iter: int = 20, tol: floa
     return c
 
 
-def _local_gmm(x: np.ndarray, centres: np.ndarray, max_iter: int = 100, tol: float = 1e-4,
-               reg_covar: float = 1e-6):
+def _local_gmm(x: np.ndarray, centres: np.ndarray, max_iter: int, tol: float = 1e-4, reg_covar: float = 1e-6):
     n, d = x.shape
     k = len(centres)
     lab = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(-1).argmin(1)
@@ -733,7 +756,9 @@ def _local_gmm(x: np.ndarray, centres: np.ndarray, max_iter: int = 100, tol: flo
     prev = -np.inf
     ll = prev
     for _ in range(max_iter):
-        lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j]) for j in range(k)], axis=1)
+        lp = _log_joint(x, w, mu, cov)
+        if lp is None:
+            return np.zeros(n, dtype=int), -np.inf
         mx = lp.max(1, keepdims=True)
         lse = mx[:, 0] + np.log(np.exp(lp - mx).sum(1))
         ll = float(lse.sum())
@@ -749,14 +774,36 @@ def _local_gmm(x: np.ndarray, centres: np.ndarray, max_iter: int = 100, tol: flo
         if abs(ll - prev) <= tol * n:
             break
         prev = ll
-    lp = np.stack([np.log(max(w[j], 1e-300)) + _log_gauss(x, mu[j], cov[j]) for j in range(k)], axis=1)
-    return lp.argmax(1), ll
+    lp = _log_joint(x, w, mu, cov)
+    return (np.zeros(n, dtype=int), -np.inf) if lp is None else (lp.argmax(1), ll)
+
+
+def _best_mixture(points: DataFrame, keys: list[str], ks: Sequence[int], id_col: str, vec_col: str, seed: int,
+                  n_init: int, max_iter: int):
+    """The best of ``n_init`` distributed fits per (group, k)."""
+    fits = [gaussian_mixture(points, keys, ks, id_col, vec_col, max_iter=max_iter, seed=seed + i) for i in range(n_init)]
+    lls, d = [f[1] for f in fits], fits[0][2]
+    first = {gk: max(range(n_init), key=lambda i: lls[i].get(gk, -np.inf)) for gk in lls[0]}
+    spark = points.sparkSession
+    kf = _key_fields(points, keys) + [T.StructField("k", T.IntegerType())]
+    labels = None
+    for i, (lab, _, _) in enumerate(fits):
+        mine = [(*g, int(k)) for (g, k), at in first.items() if at == i]
+        if mine:
+            part = lab.join(F.broadcast(spark.createDataFrame(mine, T.StructType(kf))), keys + ["k"], "left_semi")
+            labels = part if labels is None else labels.unionByName(part)
+    return labels, {gk: lls[at][gk] for gk, at in first.items()}, d
 
 
 def fit_groups(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col: str = "persona_id",
-               vec_col: str = "scaled", seed: int = 42, local_max: int = LOCAL_MAX):
+               vec_col: str = "scaled", seed: int = 42, local_max: int = LOCAL_MAX, n_init: int = N_INIT,
+               max_iter: int = MIXTURE_ITER):
     """K-means and mixture labels for every group and k, plus mixture log-likelihoods.
 
+    The mixture is fitted from ``n_init`` starts (seeds seed, seed + 1, ...);
+    the first one with the best log-likelihood stays. K-means labels are those
+    of the first start.
+
     Returns (labels (keys, method, k, id, cluster), loglik (keys, k, ll), dims).
     Groups of at most ``local_max`` rows are fitted in one task each (the
     group's rows are bounded by the size check); larger groups go through the
@@ -766,7 +813,8 @@ def fit_groups(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col
     spark = points.sparkSession
     kf = _key_fields(points, keys)
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    pts = _dense(points, keys, id_col, vec_col).withColumn("_h", F.xxhash64("_id", F.lit(seed)))
+    pts = _dense(points, keys, id_col, vec_col).withColumn(
+        "_h", F.array(*[F.xxhash64("_id", F.lit(seed + i)) for i in range(n_init)]))
     small = pts.join(sizes.where(F.col("_n") <= local_max).select(*keys), keys, "left_semi")
     out_schema = T.StructType(kf + [T.StructField("method", T.StringType()), T.StructField("k", T.IntegerType()),
                                     T.StructField("_id", T.StringType()), T.StructField("cluster", T.IntegerType()),
@@ -774,17 +822,24 @@ def fit_groups(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col
     ks = sorted(set(int(k) for k in ks))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "_id"])
+        pdf = pdf.sort_values("_id")
         x = np.stack(pdf["_x"].to_numpy())
         ids = pdf["_id"].to_numpy()
+        starts = np.argsort(np.stack(pdf["_h"].to_numpy()), axis=0, kind="stable").T
         key = {k: pdf[k].iloc[0] for k in keys}
         frames = []
         for k in ks:
             if len(x) < k:
                 continue
-            c = _local_kmeans(x, x[:k])
-            klab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
-            glab, ll = _local_gmm(x, c)
+            klab, best = None, None
+            for order in starts:
+                c = _local_kmeans(x, x[order[:k]], KMEANS_ITER)
+                if klab is None:
+                    klab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
+                one = _local_gmm(x, c, max_iter)
+                if best is None or one[1] > best[1]:
+                    best = one
+            glab, ll = best
             for method, lab, llv in (("kmeans", klab, None), ("gmm", glab, ll)):
                 frames.append(pd.DataFrame({**{kk: [v] * len(ids) for kk, v in key.items()}, "method": method,
                                             "k": k, "_id": ids, "cluster": lab.astype(np.int32),
@@ -805,7 +860,7 @@ def fit_groups(points: DataFrame, keys: Sequence[str], ks: Sequence[int], id_col
     big_keys = sizes.where(F.col("_n") > local_max).select(*keys)
     if big_keys.limit(1).count() > 0:
         big = points.join(big_keys, keys, "left_semi")
-        gm, gll, gd = gaussian_mixture(big, keys, ks, id_col, vec_col, seed=seed)
+        gm, gll, gd = _best_mixture(big, keys, ks, id_col, vec_col, seed, n_init, max_iter)
         km, _ = kmeans(big, keys, ks, id_col, vec_col, seed=seed)
         labels = labels.unionByName(gm.withColumn("method", F.lit("gmm"))).unionByName(
             km.withColumn("method", F.lit("kmeans")))

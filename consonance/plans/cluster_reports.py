@@ -96,18 +96,17 @@ def q_davies_bouldin(spark, sf_dir):
     return clusters.davies_bouldin(_points(spark, sf_dir), ["experiment"], "cluster", "scaled")
 
 
-def _model_points(spark, sf_dir, dims: int = 10):
+def _model_points(spark, sf_dir):
     o = views.obs(spark, sf_dir).where(F.col("experiment") == "main")
-    s = clusters.standardize(o, ["model"], "embedding", "scaled")
-    return clusters.pca_project(s, ["model"], "scaled", dims, "reduced")
+    return clusters.standardize(o, ["model"], "embedding", "scaled")
 
 
 @register("cluster_sweep", None, ["C2", "C6", "C7"])
 def q_cluster_sweep(spark, sf_dir):
-    """Mixture fits for k = 2..10 per model (standardised, PCA to 10 dims), the five
+    """Mixture fits for k = 2..10 per model (full standardised vectors), the five
     metrics per k, and the composite choice of k."""
     pts = _model_points(spark, sf_dir)
-    m = clusters.sweep(pts, ["model"], 10, "persona_id", "reduced")
+    m = clusters.sweep(pts, ["model"], 10, "persona_id", "scaled")
     best = clusters.choose_k(m, ["model"])
     return m.join(best, "model", "left")
 
@@ -116,9 +115,9 @@ def q_cluster_sweep(spark, sf_dir):
 def q_cluster_analysis(spark, sf_dir):
     """Per model: negative-pair summary, chosen k and final labels (robust chain)."""
     pts = _model_points(spark, sf_dir)
-    m = clusters.sweep(pts, ["model"], 10, "persona_id", "reduced")
+    m = clusters.sweep(pts, ["model"], 10, "persona_id", "scaled")
     best = clusters.choose_k(m, ["model"])
-    labels = clusters.robust_labels(pts, ["model"], best, "persona_id", "reduced")
+    labels = clusters.robust_labels(pts, ["model"], best, "persona_id", "scaled")
     o = views.obs(spark, sf_dir).where(F.col("experiment") == "main")
     neg = pairs.negative_summary(o, keys=["model"])
     per = labels.groupBy("model").agg(F.countDistinct("cluster").alias("clusters_found"),

@@ -140,13 +140,45 @@ def test_distributed_fit_path_for_large_groups(spark):
     rows = [("big", str(i), [float(a) for a in v]) for i, v in enumerate(x)] + \
            [("small", str(100 + i), [float(a) for a in v]) for i, v in enumerate(x[:6])]
     df = spark.createDataFrame(rows, "grp string, persona_id string, scaled array<double>")
-    labels, ll, d = clusters.fit_groups(df, ["grp"], [2], local_max=8)  # 'big' exceeds the bound
+    labels, ll, d = clusters.fit_groups(df, ["grp"], [2], local_max=8, n_init=2)  # 'big' exceeds the bound
     got = labels.where("grp = 'big' AND method = 'gmm'").collect()
     lab = {r["_id"]: r["cluster"] for r in got}
     assert len(lab) == 20 and lab["0"] != lab["10"]
     assert {r["grp"] for r in ll.collect()} == {"big", "small"} and d == 2
 
 
+def test_fit_does_not_depend_on_path_or_on_other_fits(spark):
+    """The same labels from one task and from distributed passes, alone and beside other groups and k."""
+    rng = np.random.default_rng(11)
+    rows = [(g, f"{g}{i}", [float(a) for a in v]) for g in "ab" for i, v in enumerate(rng.normal(0, 1, (40, 3)))]
+    df = spark.createDataFrame(rows, "grp string, persona_id string, scaled array<double>")
+
+    def fit(data, ks, bound):
+        lab, ll, _ = clusters.fit_groups(data, ["grp"], ks, local_max=bound, n_init=2, max_iter=60)
+        return ({(r["grp"], r["method"], r["k"], r["_id"]): r["cluster"] for r in lab.collect()},
+                {(r["grp"], r["k"]): r["ll"] for r in ll.collect()})
+
+    local, ll = fit(df, [2, 3], 1000)
+    spread, ll2 = fit(df, [2, 3], 10)
+    assert local == spread and ll2 == pytest.approx(ll, abs=1e-6)
+    alone, _ = fit(df.where("grp = 'a'"), [3], 10)
+    assert all(local[key] == c for key, c in alone.items()) and len(alone) == 80
+
+
+def test_small_and_failed_groups_stay_in_the_result(spark):
+    rows = [("two", "1", [0.0, 1.0]), ("two", "2", [1.0, 0.0]), ("one", "3", [1.0, 1.0])]
+    rows += [("nan", f"n{i}", [float("nan"), 1.0]) for i in range(4)]
+    rows += [("ok", f"o{i}", [float(i // 4 * 9 + i % 3), float(i)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "grp string, persona_id string, scaled array<double>")
+    m = clusters.sweep(df, ["grp"], max_clusters=3, n_init=1, max_iter=20)
+    best = {r["grp"]: r["optimal_clusters"] for r in clusters.choose_k(m, ["grp"]).collect()}
+    assert set(best) == {"two", "one", "nan", "ok"} and best["two"] == best["one"] == 1
+    bad = [r for r in m.collect() if r["grp"] == "nan"]
+    assert bad and all(r["silhouette"] == -1.0 for r in bad)
+    only = clusters.sweep(df.where("grp = 'one'"), ["grp"])
+    assert [(r["k"], r["silhouette"]) for r in only.collect()] == [(1, None)]
+
+
 def test_tfidf_moments_both_paths_agree(spark):
     rows = [("m", "t", str(i), f"alpha beta gamma {'delta ' * (i % 4)} epsilon{i % 3} zeta{i % 5}")
             for i in range(40)]
