@@ -9,12 +9,15 @@ vectors, S = sum u_i and G = sum u_i u_i^T:
 so mean and population standard deviation of the off-diagonal similarity
 matrix come without forming a single pair. The work is:
 
-1. ``mapInPandas`` over the input partitions: per group present in the
-   partition, add up n, nz, S and the upper triangle of G with numpy
-   (no shuffle of the raw vectors, no row per pair);
-2. a grouped sum of the partial entries keyed by (group, entry), which spreads
-   even a group holding a third of all rows over d(d+1)/2 + d shuffle keys;
-3. a grouped sum of squares per group (tiny: one row per entry).
+1. group sizes (a count over the key columns), which give every group
+   ceil(n / bucket_rows) buckets; a row's bucket is a hash of its columns, so a
+   group holding a third of all rows spreads over many tasks;
+2. one grouped pass per (group, bucket), at most about ``bucket_rows`` rows:
+   a group of one bucket gives its final |S|^2 and |G|^2, one row; a bucket of a
+   larger group gives n, nz, S and the upper triangle of G, so partial entries
+   per group depend on its size and not on the number of partitions;
+3. for larger groups, a grouped sum of the entries keyed by (group, entry), and
+   a sum of squares per group.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # entry kinds in the partial table
-_N, _NZ, _S, _GDIAG, _GOFF = 0, 1, 2, 3, 4
+_N, _NZ, _S, _GDIAG, _GOFF, _S_SQ, _G_SQ = 0, 1, 2, 3, 4, 5, 6
 
 
 def _stack(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -51,25 +54,20 @@ def unit_rows(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return x / safe[:, None]
 
 
-PARTIAL_BUDGET = 20_000_000  # doubles held per task before partials are flushed
+#: rows of a bucket, about
+BUCKET_ROWS = 4096
 
 
-def _emit(keys, acc):
-    frames = []
-    for key, (n, nz, s, g) in acc.items():
-        d = s.shape[0]
-        iu, ju = np.triu_indices(d)
-        gv = g[iu, ju]
-        diag = iu == ju
-        kind = np.concatenate([[_N, _NZ], np.full(d, _S),
-                               np.where(diag, _GDIAG, _GOFF)]).astype(np.int32)
-        k = np.concatenate([[0, 0], np.arange(d), iu * d + ju]).astype(np.int64)
-        v = np.concatenate([[float(n), float(nz)], s, gv])
-        out = pd.DataFrame({"kind": kind, "k": k, "v": v})
-        for name, val in zip(keys, key):
-            out[name] = val
-        frames.append(out)
-    return pd.concat(frames, ignore_index=True)[keys + ["kind", "k", "v"]] if frames else None
+def _entries(n: int, nz: int, s: np.ndarray, g: np.ndarray, whole: bool) -> pd.DataFrame:
+    """Final squares of a whole group, or the partial entries of one bucket."""
+    if whole:
+        return pd.DataFrame({"kind": np.array([_N, _NZ, _S_SQ, _G_SQ], np.int32), "k": np.zeros(4, np.int64),
+                             "v": [float(n), float(nz), float(s @ s), float((g * g).sum())]})
+    d = s.shape[0]
+    iu, ju = np.triu_indices(d)
+    kind = np.concatenate([[_N, _NZ], np.full(d, _S), np.where(iu == ju, _GDIAG, _GOFF)]).astype(np.int32)
+    k = np.concatenate([[0, 0], np.arange(d), iu * d + ju]).astype(np.int64)
+    return pd.DataFrame({"kind": kind, "k": k, "v": np.concatenate([[float(n), float(nz)], s, g[iu, ju]])})
 
 
 def _stack_sparse(idx: pd.Series, val: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,77 +79,57 @@ def _stack_sparse(idx: pd.Series, val: pd.Series, dim: int) -> tuple[np.ndarray,
     return x, np.sqrt((x * x).sum(axis=1))
 
 
-def _partial_fn(keys: Sequence[str], vec_col: str, sparse_dim: int | None = None,
-                budget: int = PARTIAL_BUDGET):
-    keys = list(keys)
-
-    def fn(batches):
-        acc: dict[tuple, list] = {}
-        held = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if held > budget:  # partial sums are summed again by Spark: flush early
-                out = _emit(keys, acc)
-                if out is not None:
-                    yield out
-                acc, held = {}, 0
-            for key, idx in pdf.groupby(keys, sort=False, dropna=False).indices.items():
-                key = key if isinstance(key, tuple) else (key,)
-                if sparse_dim is not None:
-                    x, norms = _stack_sparse(pdf["_idx"].iloc[idx], pdf["_val"].iloc[idx], sparse_dim)
-                else:
-                    x, norms = _stack(pdf[vec_col].iloc[idx])
-                u = unit_rows(x, norms)
-                cur = acc.get(key)
-                s, g = u.sum(axis=0), u.T @ u
-                if cur is None:
-                    acc[key] = [len(idx), int((norms > 0).sum()), s, g]
-                    held += g.size
-                else:
-                    if cur[2].shape != s.shape:
-                        raise ValueError("vectors of different lengths in one group")
-                    cur[0] += len(idx)
-                    cur[1] += int((norms > 0).sum())
-                    cur[2] += s
-                    cur[3] += g
-        out = _emit(keys, acc)
-        if out is not None:
-            yield out
+def _bucket_fn(vec_col: str, sparse_dim: int | None = None):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        if sparse_dim is not None:
+            x, norms = _stack_sparse(pdf["_idx"], pdf["_val"], sparse_dim)
+        else:
+            x, norms = _stack(pdf["_vec"])
+        u = unit_rows(x, norms)
+        out = _entries(len(u), int((norms > 0).sum()), u.sum(axis=0), u.T @ u, int(pdf["_nb"].iloc[0]) == 1)
+        out["_g"] = pdf["_g"].iloc[0]
+        return out[["_g", "kind", "k", "v"]]
 
     return fn
 
 
 def group_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
                   vec_col: str = "embedding", sparse_dim: int | None = None,
-                  sizes: DataFrame | None = None, partial_budget: int = PARTIAL_BUDGET) -> DataFrame:
+                  sizes: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per group: n, nz, pairs, sum_s, sum_s2, mean_similarity, std_similarity.
 
     ``mean_similarity`` is the mean off-diagonal cosine similarity (NULL for
     n <= 1) and ``std_similarity`` its population standard deviation. With
     ``sparse_dim`` the vector column is a struct (idx, val) densified inside
     the task; ``sizes`` (keys, n) supplies group sizes when rows of zero
-    vectors are absent from ``vectors``.
+    vectors are absent from ``vectors``. Vectors of different lengths in one
+    group are an error.
     """
     keys = list(keys)
-    key_fields = [vectors.schema[k] for k in keys]
-    schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in key_fields]
-        + [T.StructField("kind", T.IntegerType()), T.StructField("k", T.LongType()),
-           T.StructField("v", T.DoubleType())])
-    if sparse_dim is not None:
-        src = vectors.select(*keys, F.col(f"{vec_col}.idx").alias("_idx"), F.col(f"{vec_col}.val").alias("_val"))
-    else:
-        src = vectors.select(*keys, vec_col)
-    partial = src.mapInPandas(_partial_fn(keys, vec_col, sparse_dim, partial_budget), schema)
-    entries = partial.groupBy(*keys, "kind", "k").agg(F.sum("v").alias("v"))
+    # keys travel as one string per group; null keys are a group of their own
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    tagged = vectors.withColumn("_g", group)
+    n = F.count(F.lit(1))
+    if sparse_dim is None:
+        low, high = F.min(F.size(vec_col)), F.max(F.size(vec_col))
+        n = F.when(low != high, F.raise_error(F.lit("vectors of different lengths in one group"))).otherwise(n)
+    groups = tagged.groupBy("_g", *keys).agg(n.cast("long").alias("_n")).withColumn(
+        "_nb", F.ceil(F.col("_n") / F.lit(bucket_rows)).cast("int"))
+    row = tagged.join(groups.select(F.col("_g").alias("_g2"), "_nb"), F.col("_g") == F.col("_g2")).withColumn(
+        "_b", F.pmod(F.xxhash64(*vectors.columns), F.col("_nb")).cast("int"))
+    vec = ([F.col(f"{vec_col}.idx").alias("_idx"), F.col(f"{vec_col}.val").alias("_val")] if sparse_dim is not None
+           else [F.col(vec_col).alias("_vec")])
+    partial = row.select("_g", "_b", "_nb", *vec).groupBy("_g", "_b").applyInPandas(
+        _bucket_fn(vec_col, sparse_dim), "_g string, kind int, k long, v double")
+    entries = partial.groupBy("_g", "kind", "k").agg(F.sum("v").alias("v"))
     kind, v = F.col("kind"), F.col("v")
-    per_group = entries.groupBy(*keys).agg(
+    per_group = entries.groupBy("_g").agg(
         F.sum(F.when(kind == _N, v)).cast("long").alias("n"),
         F.sum(F.when(kind == _NZ, v)).cast("long").alias("nz"),
-        F.sum(F.when(kind == _S, v * v)).alias("s_sq"),
-        F.sum(F.when(kind == _GDIAG, v * v).when(kind == _GOFF, 2 * v * v)).alias("g_sq"),
+        F.sum(F.when(kind == _S, v * v).when(kind == _S_SQ, v)).alias("s_sq"),
+        F.sum(F.when(kind == _GDIAG, v * v).when(kind == _GOFF, 2 * v * v).when(kind == _G_SQ, v)).alias("g_sq"),
     )
+    per_group = groups.select("_g", *keys).join(per_group, "_g").drop("_g")
     if sizes is not None:
         per_group = sizes.select(*keys, F.col("n").cast("long").alias("n")).join(
             per_group.drop("n"), keys, "left").fillna(0, ["nz"]).fillna(0.0, ["s_sq", "g_sq"])
@@ -194,26 +172,3 @@ def pooled(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     return agg.select(*keys, "groups", "pairs", "sum_s", "sum_s2",
                       F.when(F.col("pairs") > 0, mean).alias("mean_similarity"),
                       F.when(F.col("pairs") > 0, F.sqrt(var)).alias("std_similarity"))
-
-
-def adaptive_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
-                     vec_col: str = "embedding", id_col: str = "persona_id",
-                     pair_max: int = 512) -> DataFrame:
-    """Group moments choosing the cheaper exact method per group.
-
-    A group of at most ``pair_max`` rows sums its pairs inside one task (its
-    rows are shuffled once; the n x n product is small); a larger group uses
-    the closed form, whose partial sums (d(d+1)/2 entries per partition) would
-    outweigh the raw rows of a small group. Both give the same values.
-    """
-    from .pairs import pair_moments
-
-    keys = list(keys)
-    sizes = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    small_keys = sizes.where(F.col("n") <= pair_max).select(*keys)
-    big_keys = sizes.where(F.col("n") > pair_max).select(*keys)
-    cols = [*keys, "n", "pairs", "sum_s", "sum_s2", "mean_similarity", "std_similarity"]
-    small = pair_moments(vectors.join(small_keys, keys, "left_semi"), keys, id_col, vec_col,
-                         block_size=max(pair_max, 1), sizes=sizes.join(small_keys, keys, "left_semi"))
-    big = group_moments(vectors.join(big_keys, keys, "left_semi"), keys, vec_col)
-    return small.select(*cols).unionByName(big.select(*cols))

@@ -91,32 +91,25 @@ def test_extreme_pair_ties_go_to_smallest_ids(spark):
     assert (ex["most_similar_a"], ex["most_similar_b"]) == ("000", "001")
 
 
-def test_adaptive_moments_match_closed_form(spark):
-    rng = np.random.default_rng(11)
-    groups = {("m", f"t{g}"): rng.normal(size=(n, 8)) for g, n in enumerate([1, 3, 9, 30])}
-    df = frame(spark, groups)
-    a = {r["topic"]: r for r in moments.adaptive_moments(df, pair_max=10).collect()}
-    b = {r["topic"]: r for r in moments.group_moments(df).collect()}
-    for t in b:
-        assert a[t]["n"] == b[t]["n"] and a[t]["pairs"] == b[t]["pairs"]
-        if b[t]["mean_similarity"] is None:
-            assert a[t]["mean_similarity"] is None
-        else:
-            assert a[t]["mean_similarity"] == pytest.approx(b[t]["mean_similarity"], abs=1e-9)
-            assert a[t]["std_similarity"] == pytest.approx(b[t]["std_similarity"], abs=1e-7)
-
-
-def test_partial_flush_keeps_results(spark):
+def test_buckets_keep_results(spark):
+    """Groups of one bucket and of many give the same values; a null key is a group."""
     rng = np.random.default_rng(21)
-    groups = {("m", f"t{g}"): rng.normal(size=(15, 6)) for g in range(6)}
-    df = frame(spark, groups).repartition(1)
+    groups = {("m", f"t{g}"): rng.normal(size=(n, 6)) for g, n in enumerate([1, 3, 15, 40])}
+    df = frame(spark, groups).repartition(3)
     full = {r["topic"]: r for r in moments.group_moments(df).collect()}
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    try:  # a tiny budget flushes the partial sums after almost every batch
-        flushed = {r["topic"]: r for r in moments.group_moments(df, partial_budget=10).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    split = {r["topic"]: r for r in moments.group_moments(df, bucket_rows=4).collect()}
     for t in full:
-        assert flushed[t]["n"] == 15
-        assert flushed[t]["mean_similarity"] == pytest.approx(full[t]["mean_similarity"], abs=1e-12)
-        assert flushed[t]["std_similarity"] == pytest.approx(full[t]["std_similarity"], abs=1e-9)
+        assert split[t]["n"] == full[t]["n"] and split[t]["nz"] == full[t]["nz"]
+        if full[t]["mean_similarity"] is not None:
+            assert split[t]["mean_similarity"] == pytest.approx(full[t]["mean_similarity"], abs=1e-12)
+            assert split[t]["std_similarity"] == pytest.approx(full[t]["std_similarity"], abs=1e-9)
+    df = spark.createDataFrame([("m", None, "1", [1.0, 0.0]), ("m", None, "2", [1.0, 0.0])],
+                               "model string, topic string, persona_id string, embedding array<double>")
+    assert [(r["topic"], r["n"], r["mean_similarity"]) for r in moments.group_moments(df).collect()] == [(None, 2, 1.0)]
+
+
+def test_different_lengths_are_an_error(spark):
+    df = spark.createDataFrame([("m", "t", "1", [1.0]), ("m", "t", "2", [1.0, 0.0])],
+                               "model string, topic string, persona_id string, embedding array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        moments.group_moments(df).collect()
