@@ -14,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.validity import is_valid, normalise_outcome
 from ..session import scratch_path
-from .coverage import KEYS, fill_placeholders, last_answer_wins, missing_tasks
+from .coverage import KEYS, fill_placeholders, last_answer_wins, merge_results, missing_tasks
 
 # answerer(model, topic, persona_id, prompt, attempt) -> (text | None, error | None, tokens | None)
 Answerer = Callable[[str, str, str, str, int], tuple]
@@ -127,6 +127,32 @@ def run_with_retries(tasks: DataFrame, answerer_factory: Callable[[], Answerer],
     return attempts
 
 
+def replay(log: DataFrame, max_retries: int = 3, seq_col: str = "seq") -> DataFrame:
+    """The rounds of ``run_with_retries`` over an answer log instead of calls.
+
+    The r-th logged answer of a key (by ``seq_col``) is its r-th attempt. A
+    first answer counts if it is successful and valid, a retry if it is
+    successful; later answers of a finished key, and answers beyond
+    ``max_retries`` retries, were never asked for. Returns the attempts made,
+    with ``attempt``, ``stage`` and ``kept`` (the answer that counts; the first
+    one when none does). One window per key, no rounds.
+    """
+    order = Window.partitionBy(*KEYS).orderBy(seq_col)
+    a = log.withColumn("attempt", F.row_number().over(order)).where(F.col("attempt") <= 1 + max_retries)
+    good = F.coalesce(F.col("success"), F.lit(False))
+    good = F.when(F.col("attempt") == 1, good & is_valid(F.col("response"))).otherwise(good)
+    done = F.min(F.when(good, F.col("attempt"))).over(Window.partitionBy(*KEYS))
+    a = a.withColumn("_done", done).where(F.col("attempt") <= F.coalesce("_done", F.lit(1 + max_retries)))
+    stage = F.when(F.col("attempt") == 1, F.lit("first")).otherwise(
+        F.concat(F.lit("retry_"), (F.col("attempt") - 1).cast("string")))
+    return a.withColumn("stage", stage).withColumn("kept", F.col("attempt") == F.coalesce("_done", F.lit(1))).drop("_done")
+
+
+def resume(tasks: DataFrame, existing: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Answer only the tasks without an existing answer and merge; an existing answer wins."""
+    return merge_results(existing, answer(missing_tasks(tasks, existing)))
+
+
 def final_answers(tasks: DataFrame, attempts: DataFrame) -> DataFrame:
     """Latest kept answer per task; tasks with none get the placeholder text."""
     kept = attempts.where(F.col("kept")).select(*KEYS, "attempt", "response", "success", "tokens")
