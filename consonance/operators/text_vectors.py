@@ -244,3 +244,28 @@ def tfidf_similarity_moments(weights: DataFrame, sizes: DataFrame, keys: Sequenc
     for p in parts[1:]:
         out = out.unionByName(p.select(*cols))
     return out
+
+
+def answer_moments(docs: DataFrame, encoder_factory: Callable | None = None, force_tfidf: bool = False,
+                   keys: Sequence[str] = ("model", "topic"), id_col: str = "persona_id",
+                   text_col: str = "response") -> DataFrame:
+    """Similarity moments of text answers: by the sentence encoder, or by TF-IDF.
+
+    TF-IDF is used when it is asked for, when no encoder is given, and when the
+    encoder cannot be made (``encoder_factory`` raises ImportError or OSError
+    on the driver: library or model files absent).
+    """
+    from .moments import group_moments
+
+    keys = list(keys)
+    usable = encoder_factory is not None and not force_tfidf
+    if usable:
+        try:
+            encoder_factory()
+        except (ImportError, OSError):
+            usable = False
+    if usable:
+        enc = encode(docs.select(*keys, id_col, text_col), encoder_factory, text_col)
+        return group_moments(enc.select(*keys, id_col, "embedding"), keys)
+    sizes = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return tfidf_similarity_moments(tfidf_weights(docs, keys, id_col, text_col), sizes, keys, id_col)

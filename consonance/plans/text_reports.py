@@ -83,3 +83,16 @@ def q_tfidf_mean_closed_form(spark, sf_dir):
     """Mean TF-IDF similarity per group from term sums alone (no pairs)."""
     a = views.answers(spark, sf_dir)
     return text_vectors.sparse_mean_similarity(_weights(spark, sf_dir), a)
+
+
+def _absent_encoder():
+    raise ImportError("no sentence encoder is installed")
+
+
+@register("fallback_moments", lambda: oracle(_tfidf_sql(_PAIR_SQL),
+    ["model", "topic", "n", "pairs", "mean_similarity", "std_similarity"],
+    ["mean_similarity", "std_similarity"]), ["V1", "V2"])
+def q_fallback_moments(spark, sf_dir):
+    """Similarity moments asked of an encoder that is not there: the TF-IDF fallback."""
+    m = text_vectors.answer_moments(views.answers(spark, sf_dir), _absent_encoder)
+    return m.select("model", "topic", "n", "pairs", "mean_similarity", "std_similarity")

@@ -190,3 +190,20 @@ def test_tfidf_moments_both_paths_agree(spark):
     assert a["pairs"] == b["pairs"] == 780
     assert a["mean_similarity"] == pytest.approx(b["mean_similarity"], abs=1e-9)
     assert a["std_similarity"] == pytest.approx(b["std_similarity"], abs=1e-6)
+
+
+def test_encoder_fallback(spark):
+    rows = [("m", "t", str(i), t) for i, t in enumerate(["alpha beta", "alpha gamma", "delta"])]
+    df = spark.createDataFrame(rows, "model string, topic string, persona_id string, response string")
+
+    def encoder():
+        return lambda texts: np.ones((len(texts), 4))
+
+    def absent():
+        raise OSError("no model files")
+
+    assert text_vectors.answer_moments(df, encoder).collect()[0]["mean_similarity"] == pytest.approx(1.0)
+    tfidf = text_vectors.answer_moments(df).collect()[0]["mean_similarity"]
+    assert tfidf < 0.9
+    for m in (text_vectors.answer_moments(df, encoder, force_tfidf=True), text_vectors.answer_moments(df, absent)):
+        assert m.collect()[0]["mean_similarity"] == pytest.approx(tfidf)
