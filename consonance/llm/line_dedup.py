@@ -29,7 +29,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import banding
@@ -45,8 +45,9 @@ LONG = 40
 ID_BUCKETS = 1 << 20
 
 _BLANKS = r"\x20\x09-\x0D"
-_SHINGLE = (rf"(?:(?<![^{_BLANKS}])(?=[^{_BLANKS}])|(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]))"
-            rf"(?=((?s:.{{1,{SHINGLE_CHARS}}})))")
+# scripts written without spaces: Thai, kana, ideographs
+_DENSE = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
+_SHINGLE = rf"(?=((?s:.{{1,{SHINGLE_CHARS}}})))(?:[{_DENSE}]|[^{_BLANKS}{_DENSE}]+)"
 
 
 def with_set(df: DataFrame, line: str = "line") -> DataFrame:
@@ -61,11 +62,9 @@ def band_keys():
     near_low, near_high = LONG * PERCENT // 100, LONG * 100 // PERCENT
     one = [F.expr(f"xxhash64({b}, slice(sort_array(transform(s, x -> xxhash64(x, {b}))), 1, {ROWS}))") for b in range(BANDS)]
     short = F.when(F.col("n") <= near_high, F.array(*one)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    # s is sorted, so a bin (an equal part of the 64-bit range) is a run; its first element starts the band
-    width = (1 << 64) // BANDS + 1
-
+    # s is sorted, so a bin (a tenth of the range of the first byte) is a run; its first element starts the band
     def bin_of(x: str) -> str:
-        return f"floor(({x} + 9.223372036854775807E18D) / {width}D)"
+        return f"shiftright(shiftrightunsigned({x}, 56) * {BANDS}, 8)"
 
     same = [f"IF(i + {k} < n AND {bin_of(f's[least(i + {k}, n - 1)]')} = {bin_of('x')}, s[least(i + {k}, n - 1)], null)"
             for k in range(1, ROWS)]
@@ -111,17 +110,23 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                       *[F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(carry)])
     slim = src.select("doc_id", "text")
-    # one row per occurrence; equal lines have equal keys
-    seen = with_set(_lines(slim)).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), "n",
-                                         band_keys().alias("bands"))
-    seen = written(seen, "line-occurrences")
-    # an item: the first occurrence of a line
+    lines = _lines(slim).withColumn("id", F.xxhash64("line"))
+    # one row per occurrence; equal lines have equal ids
+    seen = written(lines.select("doc_id", "text_hash", "line_no", "id"), "line-occurrences")
     first = F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first")
-    rows = seen.select("id", "n", F.explode("bands").alias("key"))
-    ends = rows.groupBy("key").agg(F.min("id").alias("low"), F.min_by("n", "id").alias("low_n"),
-                                   F.max("id").alias("high"), F.max_by("n", "id").alias("high_n")).where("low <> high")
-    busy = written(rows.join(ends, "key").groupBy("key", "id").agg(
-        *[F.first(c).alias(c) for c in ("n", "low", "low_n", "high", "high_n")]), "line-buckets")
+    # one item per line; its band rows are shuffled once, the first and last id of a bucket come from a window over it
+    signed = with_set(lines.select("id", "line")).select("id", "n", band_keys().alias("bands"))
+    items = signed.groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    bucket = Window.partitionBy("key")
+    rows = items.select("id", "n", F.explode("bands").alias("key")).select(
+        "key", "id", "n", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high")).where("low <> high")
+    # only rows of shared buckets are left: their ends' sizes
+    rows = written(rows, "line-rows")
+    size = written(rows.select("id", "n").distinct(), "line-sizes")
+    busy = rows
+    for end in ("low", "high"):
+        busy = busy.join(size.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end)
+    busy = written(busy, "line-buckets")
 
     # the sets of candidates, from the first occurrence of each
     wanted = busy.select("id").distinct()
