@@ -2,12 +2,13 @@
 
 A block of vectors has one sorted list per dimension. For a query the lists are
 read step by step, from the end that contributes most (``q_d * x_d`` falling).
-Every vector has a lower bound (what was read of it, the worst
-value of each unread list) and an upper bound (what was read, the last value
-read of each other list). Reading stops when the bound of a vector that no list
-has shown yet is below the k-th best score known so far, and few vectors are
-left that could still qualify; their scores are then resolved exactly. Ties go
-to the smaller vec_id, so bounds are compared strictly.
+The lower bound of the answer (the floor) is the k-th best score known so far:
+of earlier blocks, or of the most promising vectors of a first part of the
+lists, resolved at once. The upper bound of a vector is what was read of it,
+and the last value read of every list that has not shown it. Reading stops
+when the upper bound of a vector that no list has shown is below the floor, and
+few vectors are left that could still reach it; their scores are then resolved
+exactly. Ties go to the smaller vec_id, so bounds are compared strictly.
 
 How it runs: queries and vectors are packed into blocks; every query block
 meets every vector block through a join on a shard number, in blocks, and
@@ -43,7 +44,7 @@ QUERY_BLOCK = 512
 #: reading goes on while more vectors than this could still qualify
 RESOLVE = 512
 #: a step reads this part of each list
-STEPS = 16
+STEPS = 64
 #: query blocks whose k-th best scores a task remembers
 REMEMBERED = 256
 
@@ -81,7 +82,8 @@ class Lists:
         self.ids, self.x = ids, x
         up = np.argsort(x, axis=0, kind="stable").T                    # (dim, n), values rising
         self.order = np.stack([up[:, ::-1], up])                       # [0]: falling, [1]: rising
-        self.values = np.take_along_axis(np.broadcast_to(x.T, self.order.shape), self.order, axis=2)
+        # doubles hold integers exactly below 2^53
+        self.values = np.take_along_axis(np.broadcast_to(x.T, self.order.shape), self.order, axis=2).astype(np.float64)
 
     def top(self, q: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(vec_id, score) of the best k, best first; ``floor``: k other rows are known to score at least this."""
@@ -90,28 +92,30 @@ class Lists:
         alive = self.ids != own
         if not len(used):
             return self._resolve(np.flatnonzero(alive), q, k)
-        side, qd = (q[used] < 0).astype(np.int64), q[used]             # small values contribute most to a negative q_d
-        worst = self.values[side, used, n - 1] * qd
+        side, qd = (q[used] < 0).astype(np.int64), q[used].astype(np.float64)   # small values help a negative q_d
         step = max(1, n // STEPS)
-        # without a floor, a first part of the lists gives one from lower bounds
-        depth = self._depth(side, used, qd, floor, step) if floor is not None else min(4 * step, n)
-        left = None
+        depth = self._depth(side, used, qd, floor, step) if floor is not None else min(8 * step, n)
+        before = n
         while True:
             at = self.order[side, used, :depth].ravel()
             read = self.values[side, used, :depth] * qd[:, None]
-            # sums of integers in doubles: exact below 2^53
-            got = np.bincount(at, weights=read.ravel(), minlength=n)
             front = read[:, -1]
-            if floor is None and k <= int(alive.sum()):
-                lower = got + worst.sum() - np.bincount(at, weights=np.repeat(worst, depth), minlength=n)
-                floor = int(np.partition(lower[alive], -k)[-k])
-            before = left
-            if floor is not None and front.sum() < floor or depth == n:
-                upper = got + front.sum() - np.bincount(at, weights=np.repeat(front, depth), minlength=n)
-                left = np.flatnonzero(alive & (upper >= floor)) if floor is not None else np.flatnonzero(alive)
-                if depth == n or len(left) <= RESOLVE or before is not None and len(left) > 0.7 * len(before):
+            # the upper bound: what was read, and the last value read of every list that has not shown the vector
+            upper = front.sum() + np.bincount(at, weights=(read - front[:, None]).ravel(), minlength=n)
+            upper[~alive] = -np.inf
+            if floor is None:
+                # no score is known yet: resolve the most promising vectors for a first floor
+                first = np.argpartition(-upper, min(8 * k, n) - 1)[:8 * k]
+                first = first[alive[first]]
+                if len(first) >= k:
+                    floor = int(np.partition(self.x[first] @ q, -k)[-k])
+            if depth == n or floor is not None and front.sum() < floor:
+                left = np.flatnonzero(upper >= floor) if floor is not None else np.flatnonzero(alive)
+                if depth == n or len(left) <= RESOLVE or len(left) > 0.7 * before:
                     return self._resolve(left, q, k)
-            depth = min(n, max(depth + step, self._depth(side, used, qd, floor, step)) if floor is not None else depth + 4 * step)
+                before = len(left)
+            more = self._depth(side, used, qd, floor, step) if floor is not None else n
+            depth = min(n, max(depth + 4 * step, more) if depth >= more else more)
 
     def _depth(self, side: np.ndarray, used: np.ndarray, qd: np.ndarray, floor: int, step: int) -> int:
         """The first depth, in steps, at which a vector that no list has shown scores below ``floor``."""
