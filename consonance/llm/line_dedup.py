@@ -47,7 +47,8 @@ ID_BUCKETS = 1 << 20
 _BLANKS = r"\x20\x09-\x0D"
 # scripts written without spaces: Thai, kana, ideographs
 _DENSE = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
-_SHINGLE = rf"(?=((?s:.{{1,{SHINGLE_CHARS}}})))(?:[{_DENSE}]|[^{_BLANKS}{_DENSE}]+)"
+# the run of a word is read by a plain ASCII range first, which is the cheaper test
+_SHINGLE = rf"(?=((?s:.{{1,{SHINGLE_CHARS}}})))(?:[{_DENSE}]|(?:[!-~]++|[^{_BLANKS}{_DENSE}])++)"
 
 
 def with_set(df: DataFrame, line: str = "line") -> DataFrame:
