@@ -3,7 +3,9 @@
 Lines are the ``\\n``-split parts of a text that hold a word. A line's set is
 the hashes of its character shingles: the ``SHINGLE_CHARS`` characters from
 each word start (in scripts written without spaces, from each character), so
-shingles move with the words and an edit touches one or two of them. Lines
+shingles move with the words and an edit touches one or two of them. A word
+longer than a shingle (a URL, an id, a path, a run of a script without spaces)
+gives the shingles of all its positions, so every character of it counts. Lines
 whose sets have a Jaccard similarity of ``percent`` / 100 or more are linked;
 of each connected component only the line that comes first (smallest document
 id, then line number) stays, all others go.
@@ -47,8 +49,11 @@ ID_BUCKETS = 1 << 20
 _BLANKS = r"\x20\x09-\x0D"
 # scripts written without spaces: Thai, kana, ideographs
 _DENSE = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
-# the run of a word is read by a plain ASCII range first, which is the cheaper test
-_SHINGLE = rf"(?=((?s:.{{1,{SHINGLE_CHARS}}})))(?:[{_DENSE}]|(?:[!-~]++|[^{_BLANKS}{_DENSE}])++)"
+_WORD = rf"[^{_BLANKS}{_DENSE}]"
+# what is consumed per shingle: an ASCII word that fits one (the cheapest test, and the common case), one character of
+# a word that goes on behind the shingle, or the rest of a word
+_SHINGLE = (rf"(?=((?s:.{{1,{SHINGLE_CHARS}}})))(?:[!-~]{{1,{SHINGLE_CHARS}}}+(?!{_WORD})|[{_DENSE}]"
+            rf"|{_WORD}(?={_WORD}{{{SHINGLE_CHARS}}})|{_WORD}++)")
 
 
 def with_set(df: DataFrame, line: str = "line") -> DataFrame:

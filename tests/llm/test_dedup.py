@@ -215,6 +215,41 @@ def test_line_dedup_bands_hold_similar_lines_together(spark):
     assert missed <= 1
 
 
+def _whole_word_sets(line):
+    """Shingles from word starts, and from every position of a word longer than a shingle; cuts nothing off."""
+    return {line[p:p + 8] for m in WORD.finditer(line) for p in range(m.start(), max(m.start() + 1, m.end() - 7))}
+
+
+def test_line_dedup_reads_whole_words(spark, monkeypatch):
+    """URLs, paths, ids, CSV and hash lines and unspaced scripts that differ behind the 8th character of a word."""
+    monkeypatch.setattr(L, "ROWS", 1)
+    rng = random.Random(12)
+    khmer, lao = [chr(c) for c in range(0x1780, 0x17B3)], [chr(c) for c in range(0x0E81, 0x0E84)] + [chr(c) for c in range(0x1000, 0x1020)]
+
+    def run(chars, n):
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    lines = ["/usr/local/a", "/usr/local/b", "2024-01-02,1,alpha", "2024-01-02,7,omega", "1234567890123", "1234567899999"]
+    for _ in range(6):
+        lines += [f"https://{run('abcdef', 12)}.org/{run('xyz', 9)}", "12345678" + run("0123456789", 14), "AAAABBBB" + run("ABCD+/09", 60),
+                  "ខ្ញុំស្រឡាញ់" + run(khmer, 40), "abcdefgh" + run(lao, 30), f"see https://{run('abcdef', 30)} now"]
+    # near copies: one character put in or changed in the middle of a long word
+    near = [x[:len(x) // 2] + "q" + x[len(x) // 2 + i % 2:] for i, x in enumerate(lines[6:]) if len(x) > 50]
+    rows = [(i, x) for i, x in enumerate(lines + near)]
+    sets = [_whole_word_sets(x) for _, x in rows]
+    parent = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((_find(parent, a), _find(parent, b)))
+                parent[y] = x
+    want = {i: int(_find(parent, i) != i) for i in range(len(rows))}
+    got = {r.doc_id: r.n_removed for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and not any(want[i] for i in range(len(lines))) and any(want.values())
+    df = L.with_set(spark.createDataFrame(rows, "i long, line string"))
+    assert {r.i: r.n for r in df.collect()} == {i: len(s) for i, s in enumerate(sets)}
+
+
 def test_line_dedup_empty_table_and_same_rows(spark):
     assert L.line_dedup(spark.createDataFrame([], T.StructType.fromDDL("doc_id long, text string"))).collect() == []
     df = spark.createDataFrame([(1, "one line of text"), (1, "one line of text"), (2, "one line of text")], "doc_id long, text string")
