@@ -14,10 +14,11 @@ residuals at which some bin lacks them, so the search skips levels where every
 bin conflicts, and a source with a third of all rows costs no scan over all bins.
 
 How it runs: one pass reduces each whole text to (id, source, cluster, words);
-these rows are dealt by hash into shards of about ``SHARD_ROWS`` rows, however
-many rows there are or share a source, and each shard is packed on its own.
-Best fit over shards of that size loses next to nothing against one global
-packing, and no task ever holds more than a shard.
+these rows are dealt by hash into ceil(rows / ``SHARD_ROWS``) shards, however
+many rows share a source and whatever the session's settings, and each shard is
+packed on its own, so no task ever holds much more than ``SHARD_ROWS`` rows. Bins
+never span shards; on 51,280 rows three shards gave 0.5 % more bins than one
+global packing (check_s) and 0.1 % fewer (check_h).
 
 Duplicate clusters: the column ``cluster_col``, or by default equal lower-cased
 (A-Z) word sequences.
@@ -42,11 +43,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkit as W
-from .common import n_shuffle, table, written
+from .common import table, written
 
 NAME = "op7_best_fit_packing"
 CAPACITY = 2048
-#: rows of a shard, about
+#: rows of a shard, at most about
 SHARD_ROWS = 20_000
 #: labels with an index of their own: those of this many pieces or more, the most frequent first
 INDEXED, MANY = 48, 32
@@ -195,8 +196,8 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
         rows = rows.withColumn("cluster", F.col("own_cluster").cast("string"))
     rows = rows.withColumn("rest", F.expr(f"words % {capacity}"))
     rows = written(rows, "packing-rows")
+    # by the rows alone: bins must not depend on the session's settings
     shards = max(1, -(-rows.where("rest > 0").count() // SHARD_ROWS))
-    shards = max(shards, 1 if shards == 1 else n_shuffle(docs.sparkSession))
     dealt = F.pmod(F.xxhash64("doc_id", "own_cluster", "words", "source"), F.lit(shards)).cast("int")
     packed = rows.where("rest > 0").withColumn("shard", dealt).groupBy("shard").applyInPandas(_pack_shard(capacity), _PIECE)
     full = rows.where(f"words >= {capacity}").withColumn("piece", F.explode(F.expr(f"sequence(0L, words div {capacity} - 1L)")))

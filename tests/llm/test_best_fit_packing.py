@@ -83,6 +83,31 @@ def test_edge_rows(spark):
     assert len(P.best_fit(again, capacity=10).collect()) == 3
 
 
+def test_shards_follow_the_rows_alone(spark, monkeypatch):
+    """Both sides of the bound: as many shards as the rows ask for, near one global packing, whatever the session's setting."""
+    monkeypatch.setattr(P, "SHARD_ROWS", 400)
+    rng = random.Random(3)
+    rows = [(i, f"w{i} " * rng.randint(1, 60), rng.choice(["hot", *map(str, range(200))])) for i in range(401)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def packed(n, setting):
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+        out = P.best_fit(spark.createDataFrame(rows[:n], "doc_id long, text string, source string"), capacity=64).collect()
+        check(out, {r[0]: (r[1], r[2]) for r in rows[:n]}, 64)
+        return sorted(map(tuple, out))
+
+    try:
+        for n, shards in ((400, 1), (401, 2)):
+            few, many = packed(n, "3"), packed(n, "50")
+            assert few == many and len({r[4].split("-")[0] for r in few}) == shards
+            monkeypatch.setattr(P, "SHARD_ROWS", 10 ** 6)
+            whole = packed(n, "3")
+            monkeypatch.setattr(P, "SHARD_ROWS", 400)
+            assert len({r[4] for r in few}) <= 1.05 * len({r[4] for r in whole})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], T.StructType.fromDDL("doc_id long, text string, source string"))
     assert P.best_fit(df).collect() == []
