@@ -132,17 +132,39 @@ def q_model_specs(spark, sf_dir):
                     specs.file_safe(s).alias("file_label"))
 
 
-@register("request_plans", None, ["P13"])
+def _request_plans_sql() -> str:
+    from .task_reports import _with
+
+    def any_in(needles):
+        return " OR ".join(f"contains(model_name, {sql_text(n)})" for n in needles)
+
+    msgs = "[{'role': 'user', 'content': prompt}]"
+    return oracle(_with(f"""
+, m AS (SELECT DISTINCT model, contains(lower(model), 'openai') AS direct,
+    CASE WHEN contains(model, '/') THEN split_part(model, '/', 2) ELSE model END AS model_name
+  FROM models WHERE model IS NOT NULL),
+ e AS (SELECT *, CASE WHEN direct THEN model_name ELSE model END AS sent,
+    CASE WHEN direct AND ({any_in(specs.RESPONSES_ONLY_MODELS)}) THEN 'responses' ELSE 'chat/completions' END AS endpoint
+  FROM m),
+ f AS (SELECT *, CASE WHEN endpoint = 'responses' THEN 'max_output_tokens'
+    WHEN direct AND ({any_in(specs.COMPLETION_TOKEN_MODELS)}) THEN 'max_completion_tokens'
+    ELSE 'max_tokens' END AS token_field FROM e)
+SELECT f.model, p.topic, p.persona_id, f.endpoint, f.token_field, CAST(CASE f.token_field
+    WHEN 'max_output_tokens' THEN to_json({{'model': sent, 'input': prompt, 'max_output_tokens': {specs.MAX_TOKENS}}})
+    WHEN 'max_completion_tokens' THEN to_json({{'model': sent, 'messages': {msgs}, 'max_completion_tokens': {specs.MAX_TOKENS}}})
+    ELSE to_json({{'model': sent, 'messages': {msgs}, 'max_tokens': {specs.MAX_TOKENS}}}) END AS VARCHAR) AS body
+FROM prompts p, f""", "personas", "topics", "models"),
+        ["model", "topic", "persona_id", "endpoint", "token_field", "body"])
+
+
+@register("request_plans", _request_plans_sql, ["P13"])
 def q_request_plans(spark, sf_dir):
-    """Endpoint, token field and JSON body of the first-topic prompt per model and persona."""
-    from .task_reports import _prompts
-    p = _prompts(spark, sf_dir)
-    first = p.agg(F.min("topic")).scalar()
-    grid = p.where(F.col("topic") == first)
+    """Endpoint, token field and JSON body of every prompt (topic and persona) per model."""
     from ..operators.grid import task_grid
-    t = task_grid(grid, views.models(spark, sf_dir))
+    from .task_reports import _prompts
+    t = task_grid(_prompts(spark, sf_dir), views.models(spark, sf_dir))
     s = F.col("model")
-    return t.select("model", "persona_id", specs.endpoint(s).alias("endpoint"),
+    return t.select("model", "topic", "persona_id", specs.endpoint(s).alias("endpoint"),
                     specs.token_field(s).alias("token_field"),
                     specs.request_body(s, F.col("prompt")).alias("body"))
 

@@ -49,3 +49,13 @@ def test_report_lines(spark, tmp_path):
     reports.write_report(lines, out)
     text = "".join(open(p).read() for p in __import__("glob").glob(out + "/part-*"))
     assert text.splitlines()[0].startswith("Benchmark")
+
+
+def test_request_plans_cover_every_topic(spark):
+    import __spark_entry__ as e
+    sf = "/root/testdata/sf0.001"
+    keys = ["model", "topic", "persona_id"]
+    plans, tasks = e.queries()["request_plans"](spark, sf), e.queries()["task_grid"](spark, sf)
+    assert sorted(plans.select(keys).collect()) == sorted(tasks.select(keys).collect())
+    assert plans.select("topic").distinct().count() > 1
+    assert "request_plans" in e.oracle_sql()
