@@ -187,3 +187,19 @@ def test_network_gradients_and_held_out_recall():
     at = fitted.thresholds[None]
     assert (p[y2 == 1] >= at).mean() >= 0.97 and (p[y2 == 0] >= at).mean() <= 0.03
     assert X.fit(x, np.ones(400, int), h) is None
+
+
+def test_secret_candidates_are_read_whole():
+    """Runs without a digit are candidates, and the views of a long run leave no character out."""
+    t = "tell correct-horse-battery and short or " + "https//host.example/" + "path/" * 30 + "end 12345678"
+    got = [t[s:e] for s, e in X.candidates(t, [])]
+    assert got == [w for w in t.split() if len(w) >= 8]
+    for n in (8, 48, 49, 72, 73, 200):
+        spans = X.parts(5, 5 + n)
+        assert spans[0][0] == 5 and spans[-1][1] == 5 + n and all(e - s <= 48 for s, e in spans)
+        # whatever is up to 24 characters long lies in one view
+        assert all(any(s <= a and min(a + 24, 5 + n) <= e for s, e in spans) for a in range(5, 5 + n))
+    net = X._new_net(np.random.default_rng(0))
+    a, b = "x" * 90 + "AKxq7Zp9Lm3Rt5Vw" + "x" * 90, "x" * 196
+    high = [max(net.probability(np.stack([X.view(w, *p) for p in X.parts(0, len(w))]))) for w in (a, b)]
+    assert high[0] != high[1]
