@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 #: operator modules with NAME, query(spark, sf_dir) and SQL (None where SQL cannot express it)
-MODULES = ("arc_to_warc", "best_fit_packing", "byte_bpe", "decision_list", "fm_quality", "line_dedup", "merkle_manifest", "near_dedup", "nra_topk", "piece_offsets", "secret_scan", "substring_dedup")
+MODULES = ("arc_to_warc", "best_fit_packing", "byte_bpe", "decision_list", "fm_quality", "line_dedup", "merkle_manifest", "near_dedup", "nra_topk", "piece_offsets", "secret_scan", "substring_dedup", "token_alignment")
 
 
 def _modules():
