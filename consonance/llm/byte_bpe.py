@@ -6,7 +6,10 @@ match of the pattern never goes from a non-space character into white space,
 and the pattern looks at nothing to its left, so a cut before a space or
 newline that follows a non-space character leaves all matches as they are.
 Pieces of about ``PIECE_CHARS`` characters bound the memory of the split; a run
-without such a boundary stays whole.
+without such a boundary stays whole. White space runs of ``RUN_CHARS`` characters
+and more never reach the pattern, whose matcher has a bounded stack: the pattern
+takes such a run as one match, but for its last character if a non-space
+follows, so just this is encoded as one piece and the rest goes on from there.
 
 Ids travel as packed little-endian unsigned 32-bit integers; decoding joins the
 raw bytes of the ids, so it gives back the exact bytes even where a token ends
@@ -36,6 +39,10 @@ from .common import only, table
 NAME = "op2_byte_bpe"
 #: characters of a piece of a long text
 PIECE_CHARS = 1 << 16
+#: characters of a white space run that is cut by rule
+RUN_CHARS = 1 << 16
+# the White_Space property, which is what the pattern takes as \\s
+_RUN = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN_CHARS},}}")
 
 # not just "before white space": Python's \S excludes a few control characters that the pattern takes as non-space
 _SAFE = re.compile(r"(?<=\S)[ \n]")
@@ -58,16 +65,42 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[a:]
 
 
-_ENCODINGS: dict[tuple[int, str], tiktoken.Encoding] = {}
+def cuts(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool]]:
+    """``text`` in parts that can be encoded apart, and whether a part is (a run that is) one match of the pattern."""
+    a = 0
+    for m in _RUN.finditer(text) if len(text) >= RUN_CHARS else ():
+        b = m.end() - (m.end() < len(text))
+        for p in pieces(text[a:m.start()], size):
+            yield p, False
+        yield text[m.start():b], True
+        a = b
+    for p in pieces(text[a:], size):
+        yield p, False
+
+
+class Encoder:
+    """Ids of whole texts by ranks: one encoding for the pattern, one for parts that are a single match."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str, size: int = PIECE_CHARS) -> np.ndarray:
+        if len(text) <= min(size, RUN_CHARS):
+            return self.ranks.encode_to_numpy(text, disallowed_special=())
+        return np.concatenate([(self._whole if run else self.ranks).encode_to_numpy(p, disallowed_special=())
+                               for p, run in cuts(text, size)])
+
+
+_ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
-def _encoding(data: bytes, pattern: str) -> tiktoken.Encoding:
-    """One encoding per Python worker."""
+def _encoder(data: bytes, pattern: str) -> Encoder:
+    """One encoder per Python worker."""
     key = (hash(data), pattern)
-    if key not in _ENCODINGS:
-        _ENCODINGS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=parse_ranks(data),
-                                            special_tokens={})
-    return _ENCODINGS[key]
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(parse_ranks(data), pattern)
+    return _ENCODERS[key]
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -77,12 +110,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(shared.value, pattern)
+        enc = _encoder(shared.value, pattern)
         for rb in batches:
             texts, n, packed = rb.column("text"), [], []
             for t in texts:
-                parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(t.as_py() or "", piece_chars)]
-                ids = np.concatenate(parts).astype("<u4") if parts else np.zeros(0, "<u4")
+                ids = enc(t.as_py() or "", piece_chars).astype("<u4")
                 n.append(len(ids))
                 packed.append(ids.tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": rb.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
@@ -99,7 +131,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(shared.value, pattern)
+        enc = _encoder(shared.value, pattern).ranks
         for rb in batches:
             out = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else x for x in rb.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(out, pa.binary())],
