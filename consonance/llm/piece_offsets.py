@@ -282,7 +282,9 @@ class Pieces:
         return ids, np.array([len(p.encode()) for p in self.splitter.encode(segment, out_type=str)], np.int64)
 
     def ids(self, text: str) -> np.ndarray:
-        """The ids of a text, without an end id."""
+        """The ids of a text, without an end id. A short text goes to the library as it is."""
+        if not self.segment_chars or len(text) <= self.segment_chars:
+            return np.array(self.library.encode(text), np.int32)
         return np.concatenate([self._split(s)[0] for s in self._segments(self.normaliser(text)[0])])
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -360,15 +362,16 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, model_file: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids and ``carry`` of the rows of ``encode``, with ``decoded``: the text of their ids."""
+    """doc_id, n_tokens, ids and ``carry`` of the rows of ``encode``, with ``decoded``: the text of their ids (none: empty)."""
     model = shared(encoded.sparkSession, model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model.value)
         for rb in batches:
-            ids = rb.column("ids")
-            for a, b in parts(ids.value_lengths().fill_null(0).to_pylist()):
-                texts = [x if x is None else pieces.decode(x) for x in ids.slice(a, b - a).to_pylist()]
+            column = rb.column("ids")
+            ids, at = column.values.to_numpy(), column.offsets.to_numpy()
+            for a, b in parts(np.diff(at).tolist()):
+                texts = [pieces.decode(ids[at[k]:at[k + 1]].tolist()) for k in range(a, b)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in rb.columns), pa.array(texts, pa.string())],
                                                  names=[*rb.schema.names, "decoded"])
 
