@@ -1,6 +1,7 @@
 """Alignment of two tokenizations against brute force over single bytes."""
 
 import hashlib
+import json
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -86,8 +87,30 @@ def test_edge_texts_in_blocks_of_any_size(spark, monkeypatch, tmp_path, block):
     assert _run(monkeypatch, spark, df, tmp_path, block) == _brute(rows)
 
 
+def test_files_whose_ids_do_not_follow_the_merges_use_their_library():
+    """The same vocabulary with two merged tokens swapped."""
+    a, _ = _files()
+    spec = json.loads(a)
+    vocab = spec["model"]["vocab"]
+    x, y = (t for t, i in vocab.items() if i in (300, 301))
+    vocab[x], vocab[y] = vocab[y], vocab[x]
+    plain, swapped = M.ByteLevel(a, P.PATTERN), M.ByteLevel(json.dumps(spec).encode(), P.PATTERN)
+    assert plain.encoder and not plain.tokenizer and swapped.tokenizer and not swapped.encoder
+    texts = [" the cat <|endoftext|> in  the hat\n", ""]
+    for ours in (plain, swapped):
+        assert [b"".join(ours.bytes[i] for i in ids) for ids in ours.ids(texts)] == [t.encode() for t in texts]
+    assert [[{300: 301, 301: 300}.get(i, i) for i in ids] for ids in plain.ids(texts)] == swapped.ids(texts)
+
+
+def test_all_documents_encode_as_by_the_library():
+    rows = [" " + (t or "") for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    assert M.ByteLevel(_files()[0], P.PATTERN).ids(rows) == [e.ids for e in a.encode_batch(rows, add_special_tokens=False)]
+
+
 def test_long_text_equals_the_tokenizers():
-    al = M.Aligner(*_files())
+    al = M.Aligner(*_files(), P.PATTERN)
     text = "word, naïve 12 " * 20_000
     a = Tokenizer.from_file(A)
     assert al.tokens([text])[0][0] == a.encode(" " + text, add_special_tokens=False).ids
