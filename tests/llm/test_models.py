@@ -203,3 +203,36 @@ def test_secret_candidates_are_read_whole():
     a, b = "x" * 90 + "AKxq7Zp9Lm3Rt5Vw" + "x" * 90, "x" * 196
     high = [max(net.probability(np.stack([X.view(w, *p) for p in X.parts(0, len(w))]))) for w in (a, b)]
     assert high[0] != high[1]
+
+
+def _plain_view(text, start, end):
+    """A view put together character by character."""
+    out = []
+    for a in [*range(start - X.BEFORE, start), *range(start, start + X.HEAD + X.TAIL), *range(end, end + X.AFTER)]:
+        hidden = len(out) < X.BEFORE + X.HEAD + X.TAIL and a >= end
+        c = text[a] if 0 <= a < len(text) and not hidden else None
+        out.append(0 if c is None else ord(c) - 31 if " " <= c <= "~" else 96)
+    return out
+
+
+def test_secret_views_of_a_batch():
+    texts = ["", "abcdefgh", "é" * 30 + "token_run-1234567 tail\x00x", "z" * 100]
+    spans = [(1, 0, 8), (2, 30, 47), (2, 48, 52), (3, 0, 48), (3, 52, 100), (3, 90, 100)]
+    got = X.Codes(texts).views(*np.array(spans).T)
+    assert got.tolist() == [_plain_view(texts[i], a, b) for i, a, b in spans]
+
+
+def test_secret_looked_up_sums_are_the_network():
+    rng = np.random.default_rng(1)
+    net = X._new_net(rng)
+    net.cb, net.ob = rng.normal(0, 1, net.cb.shape), rng.normal(0, 1, 1)
+    x = rng.integers(0, 97, (700, X._LEN)).astype(np.uint8)
+    assert np.allclose(net.margins(x), net.forward(x)[3], atol=1e-4)
+
+
+def test_secret_first_examples_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(X, "MAX_EXAMPLES", 20)
+    ex = spark.range(3000).selectExpr("cast(cast(id as string) as binary) x", "1 y", "false hexlike").withColumn("h", X.F.xxhash64("x"))
+    want = [r.x for r in ex.orderBy("h", "x").limit(20).collect()]
+    assert [r["x"] for r in X._first(ex, 3000)] == want
+    assert [r["x"] for r in X._first(ex, 10 ** 9)] == want and len(X._first(ex.limit(5), 5)) == 5
