@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import only, table
+from .common import only, table, written
 
 NAME = "op1_arc_to_warc"
 #: bytes of an archive before compression
@@ -260,6 +260,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     """Convert every ARC file below ``arc_path``; WARC files go to ``warc_path``."""
     arcs = read_archives(spark, arc_path)
     meta = arcs.mapInArrow(_meta(key_header), _META).where(F.col("kind") == "response").where(F.col("bytes") >= min_bytes)
+    meta = written(meta, "arc-records")  # read twice below; the archives are parsed once
     best = meta.groupBy("digest", "bytes").agg(
         F.max(F.struct("key", "record_id", "uri", "date")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = meta.join(best, ["digest", "bytes"]).where("record_id <> best.record_id")
@@ -303,9 +304,10 @@ def _read(key_header: str):
 
 def read_warc(spark: SparkSession, path: str, key_header: str = KEY_HEADER) -> DataFrame:
     """One row per WARC record below ``path``; digests are checked against the bytes, refers_to is the key referred to."""
-    rows = read_archives(spark, path).mapInArrow(_read(key_header), _READ)
+    rows = written(read_archives(spark, path).mapInArrow(_read(key_header), _READ), "warc-records")
     kept = rows.where("type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("key").alias("refers_to"))
-    return rows.join(kept, "refers_id", "left")
+    revisits = rows.where("refers_id is not null").join(kept, "refers_id", "left")
+    return revisits.unionByName(rows.where("refers_id is null").withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def _page_archives(archive_bytes: int):
