@@ -2,13 +2,13 @@
 
 A block of vectors has one sorted list per dimension. For a query the lists are
 read step by step, from the end that contributes most (``q_d * x_d`` falling).
-The lower bound of the answer (the floor) is the k-th best score known so far:
-of earlier blocks, or of the most promising vectors of a first part of the
-lists, resolved at once. The upper bound of a vector is what was read of it,
-and the last value read of every list that has not shown it. Reading stops
-when the upper bound of a vector that no list has shown is below the floor, and
-few vectors are left that could still reach it; their scores are then resolved
-exactly. Ties go to the smaller vec_id, so bounds are compared strictly.
+The bounds of a vector are what was read of it, and for every list that has not
+shown it the last value read (upper bound) or the least value of the list
+(lower bound). The floor is the k-th best lower bound, or the k-th best score of
+earlier blocks. Reading goes on until at most ``RESOLVE`` vectors have an upper
+bound that reaches the floor, or the lists end; only then, and only of these,
+are scores resolved exactly. Ties go to the smaller vec_id, so bounds are
+compared strictly, and widened by the rounding error of their sums.
 
 How it runs: queries and vectors are packed into blocks; every query block
 meets every vector block through a join on a shard number, in blocks, and
@@ -22,7 +22,8 @@ no part, neither do rows without id or empty vectors; a query is compared with
 vectors of its own length, and never with rows of its own id; rows with equal
 ids are separate candidates; an all-zero query scores 0 everywhere; extra
 columns are ignored; an empty table gives an empty result. Scores are 64-bit
-integers.
+integers, exact over that whole range; scores and components beyond it count as
+its nearest end.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ RESOLVE = 512
 STEPS = 64
 #: query blocks whose k-th best scores a task remembers
 REMEMBERED = 256
+_END = 2.0 ** 63
 
 
 def _packer(size: int):
@@ -82,7 +84,9 @@ class Lists:
         self.ids, self.x = ids, x
         up = np.argsort(x, axis=0, kind="stable").T                    # (dim, n), values rising
         self.order = np.stack([up[:, ::-1], up])                       # [0]: falling, [1]: rising
-        # doubles hold integers exactly below 2^53
+        self.largest = np.abs(x.astype(np.float64)).max(axis=0)
+        self.resolved = 0                                               # vectors whose scores were resolved
+        # doubles: the bounds allow for their rounding
         self.values = np.take_along_axis(np.broadcast_to(x.T, self.order.shape), self.order, axis=2).astype(np.float64)
 
     def top(self, q: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -93,33 +97,38 @@ class Lists:
         if not len(used):
             return self._resolve(np.flatnonzero(alive), q, k)
         side, qd = (q[used] < 0).astype(np.int64), q[used].astype(np.float64)   # small values help a negative q_d
+        least = self.values[1 - side, used, 0] * qd    # what a list adds at least
+        # rounding errors of the bounds below, with room to spare
+        slack = (len(used) + 8) * 2.0 ** -50 * float((np.abs(qd) * self.largest[used]).sum())
+        known = -np.inf if floor is None else float(floor) - slack
         step = max(1, n // STEPS)
-        depth = self._depth(side, used, qd, floor, step) if floor is not None else min(8 * step, n)
-        before = n
+        depth, was = self._depth(side, used, qd, known, step), 0
+        got, seen = np.zeros(n), np.zeros((n, len(used)))
+        lists = np.arange(len(used))[:, None]
         while True:
-            at = self.order[side, used, :depth].ravel()
-            read = self.values[side, used, :depth] * qd[:, None]
-            front = read[:, -1]
-            # the upper bound: what was read, and the last value read of every list that has not shown the vector
-            upper = front.sum() + np.bincount(at, weights=(read - front[:, None]).ravel(), minlength=n)
-            upper[~alive] = -np.inf
-            if floor is None:
-                # no score is known yet: resolve the most promising vectors for a first floor
-                first = np.argpartition(-upper, min(8 * k, n) - 1)[:8 * k]
-                first = first[alive[first]]
-                if len(first) >= k:
-                    floor = int(np.partition(self.x[first] @ q, -k)[-k])
-            if depth == n or floor is not None and front.sum() < floor:
-                left = np.flatnonzero(upper >= floor) if floor is not None else np.flatnonzero(alive)
-                if depth == n or len(left) <= RESOLVE or len(left) > 0.7 * before:
-                    return self._resolve(left, q, k)
-                before = len(left)
-            more = self._depth(side, used, qd, floor, step) if floor is not None else n
-            depth = min(n, max(depth + 4 * step, more) if depth >= more else more)
-
-    def _depth(self, side: np.ndarray, used: np.ndarray, qd: np.ndarray, floor: int, step: int) -> int:
-        """The first depth, in steps, at which a vector that no list has shown scores below ``floor``."""
+            at = self.order[side, used, was:depth]
+            read = self.values[side, used, was:depth] * qd[:, None]
+            got += np.bincount(at.ravel(), weights=read.ravel(), minlength=n)
+            seen[at, lists] = 1.0
+            front = self.values[side, used, depth - 1] * qd
+            # what was read, and the last value read (at least: the least value) of every list that has not shown the vector
+            upper = got + front.sum() - seen @ front
+            lower = got + least.sum() - seen @ least
+            upper[~alive] = lower[~alive] = -np.inf
+            if alive.sum() >= k:
+                known = max(known, float(np.partition(lower, n - k)[n - k]) - slack)
+            known = -np.inf if known < -_END else min(known, _END * (1 - 1e-9))   # scores end there
+            left = np.flatnonzero(upper + slack >= known) if known > -np.inf else np.flatnonzero(alive)
+            if depth == n or len(left) <= RESOLVE:
+                self.resolved += len(left)
+                return self._resolve(left, q, k)
+            was, depth = depth, min(n, max(depth + 4 * step, self._depth(side, used, qd, known, step)))
+
+    def _depth(self, side: np.ndarray, used: np.ndarray, qd: np.ndarray, floor: float, step: int) -> int:
+        """The first depth, in steps, at which a vector that no list has shown scores below ``floor``; a first part without one."""
         n = len(self.ids)
+        if floor == -np.inf:
+            return min(4 * step, n)
         lo, hi = 1, -(-n // step)
         while lo < hi:
             mid = (lo + hi) // 2
@@ -130,9 +139,14 @@ class Lists:
         return min(lo * step, n)
 
     def _resolve(self, at: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score = self.x[at] @ q
-        best = np.lexsort((self.ids[at], -score))[:k]
-        return self.ids[at][best], score[best]
+        x = self.x[at]
+        if float((np.abs(q.astype(np.float64)) * self.largest).sum()) < 2.0 ** 62:
+            score = x @ q
+            best = np.lexsort((self.ids[at], -score))[:k]
+            return self.ids[at][best], score[best]
+        exact = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in x.astype(object) @ q.astype(object)]
+        best = sorted(range(len(at)), key=lambda i: (-exact[i], self.ids[at[i]]))[:k]
+        return self.ids[at[best]], np.array([exact[i] for i in best], np.int64)
 
 
 def _read(blob_ids: bytes, blob: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:

@@ -107,6 +107,37 @@ def test_lists_stop_early():
     assert ids.tolist() == want.tolist() and s.tolist() == score[want].tolist()
     side = (q < 0).astype(int)
     assert lists._depth(side, np.arange(16), q, floor, 125) < 2000
+    assert 5 <= lists.resolved <= N.RESOLVE
+
+
+def test_lists_prune_on_their_own():
+    """No score known beforehand; long-tailed vectors: the lower bounds alone stop the reading."""
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.standard_cauchy((5000, 4)) * 100).clip(0, 10 ** 7).astype(np.int64)
+    lists = N.Lists(np.arange(5000), x)
+    for i in range(0, 5000, 250):
+        score = x @ x[i]
+        score[i] = -1
+        want = np.lexsort((np.arange(5000), -score))[:5]
+        ids, s = lists.top(x[i], i, 5, None)
+        assert ids.tolist() == want.tolist() and s.tolist() == score[want].tolist()
+    assert lists.resolved <= 20 * N.RESOLVE
+
+
+@pytest.mark.parametrize("size", [3 * 10 ** 8, 2 * 10 ** 9, 10 ** 12])
+def test_lists_with_scores_beyond_doubles_and_longs(size):
+    """Scores near 1.8e17, near the end of 64 bits and beyond it, also with the best floor of an earlier block."""
+    rng = np.random.default_rng(2)
+    x = (size + rng.integers(-40, 40, (3000, 2))).astype(np.int64)
+    x[::7] = -x[::7]
+    ids = rng.permutation(3000)
+    lists = N.Lists(ids, x)
+    for i in range(0, 3000, 150):
+        exact = [min(max(int(a), -2 ** 63), 2 ** 63 - 1) for a in x.astype(object) @ x[i].astype(object)]
+        want = sorted((-s, int(j)) for s, j in zip(exact, ids) if j != ids[i])[:5]
+        for floor in (None, -want[-1][0]):
+            got = lists.top(x[i], ids[i], 5, floor)
+            assert [(-int(s), int(j)) for j, s in zip(*got)] == want
 
 
 def test_vectors_that_take_no_part(spark):
