@@ -75,15 +75,17 @@ def cross_pairs(rows: DataFrame, elements: Callable[[DataFrame], DataFrame], per
     """(u, v) of all items in one bucket that lie in different components (``rows``: key, id, n, comp)."""
     each = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
     cost = each.groupBy("key").agg(F.sum("c").alias("n_all"), F.sum(F.col("c") * F.col("c")).alias("same"),
-                                   F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    cost = cost.select("key", (F.col("n_all") * F.col("n_all") - F.col("same")
+                                   F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
+    cost = cost.select("key", F.col("top.comp").alias("main"), (F.col("n_all") * F.col("n_all") - F.col("same")
                                > 2 * PAIRS_AN_ITEM * F.col("n_all")).alias("large"))
     mixed = written(rows.join(cost, "key"), "bands-mixed")
-    small = mixed.where("not large").drop("large")
-    other = small.select(F.col("key"), *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp")])
-    pairs = small.join(other, "key").where("id < id2 and comp <> comp2").where(_similar_size("n", "n2", percent))
+    small = mixed.where("not large").select("key", "id", "n", "comp", "main")
+    # one end of a pair lies outside the largest component of its bucket: what is inside never meets itself
+    strays = small.where("comp <> main").select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp")])
+    pairs = strays.join(small, "key").where("comp <> comp2 and (comp = main or id < id2)").where(
+        _similar_size("n", "n2", percent))
     items = written(mixed.where("large").select("id", "n", "comp").distinct(), "bands-large")
-    return pairs.select(F.col("id2").alias("u"), F.col("id").alias("v")).union(
+    return pairs.select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).union(
         prefix_pairs(written(elements(items.select("id")), "bands-elements"), items, percent)).distinct()
 
 

@@ -9,8 +9,9 @@ the result is the connected components of the links.
 1. One pass hashes each text into its set, a 128-bit digest of the set, and 50
    band keys of 5 SuperMinHash values each. A pair at 0.75 shares no band with
    probability 1.3e-6.
-2. Documents with equal sets form one class; only the smallest id of a class
-   goes on, so thousands of exact copies cost one row.
+2. Documents with equal sets form one class, named after one of its rows; only
+   that row goes on, so thousands of exact copies cost one row. Classes that
+   share a document id are linked.
 3. Links between classes come from ``banding``: star rounds that join large
    groups of near copies without their pairs, then every pair in a bucket whose
    components still differ.
@@ -46,7 +47,7 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 50, 5
 
-_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 def _signer(shingle: int):
@@ -64,7 +65,7 @@ def _signer(shingle: int):
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()),
                                                  pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids.slice(a, n), "n_shingles": pa.array(count, pa.int64()),
+                    "doc_id": ids.slice(a, n), "text_hash": rb.column("text_hash").slice(a, n), "n_shingles": pa.array(count, pa.int64()),
                     "k1": pa.array(k[:, 0].copy()), "k2": pa.array(k[:, 1].copy()), "bands": bands})
     return run
 
@@ -133,29 +134,44 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     src = only(docs, [id_col, text_col], ["doc_id", "text"]).select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = written(src.mapInArrow(_signer(shingle), _SIGNED), "near-signed")
+    signed = written(src.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signer(shingle), _SIGNED).withColumn(
+        "row", F.monotonically_increasing_id()), "near-signed")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
 
-    # classes of equal sets; the smallest id stands for its class
-    heads = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members"))
-    member = sets.join(heads, ["k1", "k2"])
-    classes = member.where("members > 1 and doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct()
-    reps = written(member.where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id"]),
-                   "near-reps")
+    # classes of equal sets, each with one row that stands for it; its number is the vertex of the class
+    classes = written(sets.groupBy("k1", "k2").agg(F.min("row").alias("id"), F.min("doc_id").alias("low")), "near-classes")
+    reps = written(sets.join(classes.select(F.col("id").alias("row")), "row", "left_semi").select(
+        F.col("row").alias("id"), F.col("n_shingles").alias("n"), "bands", "doc_id", "text_hash"), "near-reps")
 
     busy = written(banding.buckets(reps), "near-buckets")
-    wanted = busy.select("id").distinct()
-    texts = written(src.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-                    .mapInArrow(_squeeze, "id long, z binary"), "near-texts")
+    wanted = reps.join(busy.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_hash")
+    # rows equal in id and text are one text
+    texts = src.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
+    texts = written(texts.dropDuplicates(["doc_id", "text_hash"]).select("id", "text").mapInArrow(_squeeze, "id long, z binary"),
+                    "near-texts")
     links = banding.links(
         busy, lambda pairs: _linked(pairs, texts, shingle, percent),
         lambda ids: texts.join(ids, "id", "left_semi").mapInArrow(_lister(shingle), "id long, e long").distinct(), percent)
-    # members of a class hang on its smallest id
-    labels = components(links.union(classes))
-    out = signed.join(labels, F.col("doc_id") == F.col("vertex"), "left")
-    comp = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+    # rows with equal ids and different sets link their classes
+    shared = sets.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a <> b")
+    same = sets.join(shared.select("doc_id"), "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct()
+    same = written(same.join(classes, ["k1", "k2"]).select("doc_id", "id"), "near-shared-ids")
+    same = same.join(same.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").select(F.col("id").alias("u"), "v")
+    labels = components(links.union(same))
+    named = classes.join(labels, F.col("id") == F.col("vertex"), "left").withColumn("comp", F.coalesce("component", "id"))
+    least = named.groupBy("comp").agg(F.min("low").alias("component_id"))
+    of_class = named.select("k1", "k2", "comp").join(least, "comp").select("k1", "k2", "component_id")
+    # rows with a set, rows without one (they share the component of rows with their id), rows without id
+    slim = signed.select("doc_id", "n_shingles", "k1", "k2")
+    out = slim.where("n_shingles > 0 and doc_id is not null").join(of_class, ["k1", "k2"]).select(
+        "doc_id", "n_shingles", "component_id")
+    bare = slim.where("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles")
+    known = out.join(bare.select("doc_id"), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    bare = bare.join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    none = slim.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(bare).unionByName(none).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,3 +262,26 @@ def test_substring_query_digest(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     want = {i: hashlib.sha256(k.encode()).hexdigest() for i, _, _, k, _ in brute_substring(list(docs.items()), 13)}
     assert {r.doc_id: r.kept_sha256 for r in rows} == want
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_near_dedup_rows_with_equal_ids_keep_all_links(spark, swap):
+    """Two texts under one id, each with a near copy: one component, whatever the order of the rows."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "alone in all this text here"), (3, ""), (None, a), (None, None)]
+    rows = [rows[1], rows[0], *rows[2:]] if swap else rows
+    df = spark.createDataFrame(rows + rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in N.near_dedup(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, None, True)}
+    assert N.near_dedup(df).count() == 2 * len(rows)
+
+
+def test_cross_pairs_never_meet_inside_the_largest_component(spark):
+    """One component of 2,000 items and three strays in one bucket: a few thousand pairs, all across."""
+    from consonance.llm import banding
+
+    rows = [(7, i, 10, 0 if i < 2000 else i) for i in range(2003)]
+    df = spark.createDataFrame(rows, "key long, id long, n long, comp long")
+    none = spark.createDataFrame([], "id long, e long")
+    got = {(r.u, r.v) for r in banding.cross_pairs(df, lambda ids: none, 75).collect()}
+    assert got == {(u, v) for u in range(2000, 2003) for v in range(u)}
