@@ -51,3 +51,15 @@ def test_catalog_imports_from_pyspark_zip_without_session(tmp_path):
     assert r.returncode == 0, r.stderr[-2000:]
     n, m = map(int, r.stdout.split()[-2:])
     assert n >= 95 and m >= 83
+
+
+@pytest.mark.parametrize("missing", ["tiktoken", "consonance.llm", "corpus_pipeline"])
+def test_core_queries_stay_without_an_optional_part(tmp_path, missing):
+    """A library, the subpackage or the pipeline that cannot be imported costs the llm queries alone."""
+    code = (f"import sys; sys.modules[{missing!r}] = None\nimport __spark_entry__ as e\n"
+            "print(len(e.queries()), sum(n == 'pipeline' or n.startswith('op') for n in e.queries()), len(e.oracle_sql()))")
+    r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, timeout=120,
+                       env=dict(os.environ, PYTHONPATH=ROOT))
+    assert r.returncode == 0, r.stderr[-2000:]
+    n, llm, oracles = map(int, r.stdout.split()[-3:])
+    assert n >= 95 and llm == 0 and oracles >= 83
