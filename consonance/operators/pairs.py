@@ -164,23 +164,11 @@ def filtered_pairs(vectors: DataFrame, predicate: str, threshold: float,
                    keys: Sequence[str] = ("model", "topic"), id_col: str = "persona_id",
                    vec_col: str = "embedding", block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Pairs (id_a < id_b) whose cosine similarity is ``< threshold`` ('lt') or
-    ``>= threshold`` ('ge'). Only matching pairs leave the tasks."""
-    if predicate not in ("lt", "ge"):
-        raise ValueError("predicate must be 'lt' or 'ge'")
-    keys = list(keys)
-    schema = T.StructType(_key_fields(vectors, keys) + [
-        T.StructField("id_a", T.StringType()), T.StructField("id_b", T.StringType()),
-        T.StructField("similarity", T.DoubleType())])
-
-    def reducer(key, ids_a, ma, ids_b, mb, same, _ea, _eb):
-        ia, ib, s = _pair_view(ids_a, ma, ids_b, mb, same)
-        keep = s < threshold if predicate == "lt" else s >= threshold
-        ia, ib, s = ia[keep], ib[keep], s[keep]
-        x, y = _oriented(ids_a, ids_b, ia, ib)
-        return pd.DataFrame({"id_a": x, "id_b": y, "similarity": s})
+    ``>= threshold`` ('ge'). Block pairs that cannot hold one are skipped
+    (``pruned_pairs``); only matching pairs leave the tasks."""
+    from .pruned_pairs import filtered
 
-    return evaluate_pairs(vectors.withColumn(id_col, F.col(id_col).cast("string")), keys,
-                          id_col, vec_col, reducer, schema, block_size=block_size)
+    return filtered(vectors, predicate, threshold, keys, id_col, vec_col, block_size)
 
 
 def negative_pairs(vectors: DataFrame, **kw) -> DataFrame:
@@ -188,19 +176,18 @@ def negative_pairs(vectors: DataFrame, **kw) -> DataFrame:
     return filtered_pairs(vectors, "lt", 0.0, **kw)
 
 
-def negative_summary(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
-                     **kw) -> DataFrame:
+def negative_summary(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"), id_col: str = "persona_id",
+                     vec_col: str = "embedding", block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Per group: has_negative, negative_count, min/max/mean of negative values.
 
     Every group appears; a group without negative pairs gives false, 0, NULLs.
     """
+    from .pruned_pairs import filtered_sums
+
     keys = list(keys)
-    neg = negative_pairs(vectors, keys=keys, **kw)
-    stats = neg.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("negative_count"),
-        F.min("similarity").alias("min_value"),
-        F.max("similarity").alias("max_value"),
-        F.avg("similarity").alias("mean_value"))
+    stats = filtered_sums(vectors, "lt", 0.0, keys, id_col, vec_col, block_size).select(
+        *keys, F.col("n").alias("negative_count"), F.col("lowest").alias("min_value"),
+        F.col("highest").alias("max_value"), (F.col("total") / F.col("n")).alias("mean_value"))
     groups = vectors.select(*keys).distinct()
     return (groups.join(stats, keys, "left")
                   .select(*keys,
@@ -214,41 +201,12 @@ def extreme_pairs(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
                   block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Most and least similar pair of each group with two or more rows.
 
-    Ties go to the smallest (id_a, id_b). Each block pair sends two candidate
-    rows; the group reduce is a min_by over them.
+    Ties go to the smallest (id_a, id_b). Found by best-first search over the
+    bounds of block pairs (``pruned_pairs.extremes``).
     """
-    keys = list(keys)
-    schema = T.StructType(_key_fields(vectors, keys) + [
-        T.StructField("which", T.StringType()),
-        T.StructField("id_a", T.StringType()), T.StructField("id_b", T.StringType()),
-        T.StructField("similarity", T.DoubleType())])
+    from .pruned_pairs import extremes
 
-    def reducer(key, ids_a, ma, ids_b, mb, same, _ea, _eb):
-        ia, ib, s = _pair_view(ids_a, ma, ids_b, mb, same)
-        if len(s) == 0:
-            return None
-        x, y = _oriented(ids_a, ids_b, ia, ib)
-        rows = []
-        for which, target in (("max", s.max()), ("min", s.min())):
-            hit = np.flatnonzero(s == target)
-            best = min(hit, key=lambda i: (x[i], y[i]))
-            rows.append((which, x[best], y[best], float(s[best])))
-        return pd.DataFrame(rows, columns=["which", "id_a", "id_b", "similarity"])
-
-    cand = evaluate_pairs(vectors.withColumn(id_col, F.col(id_col).cast("string")), keys,
-                          id_col, vec_col, reducer, schema, block_size=block_size)
-    sim, a, b = F.col("similarity"), F.col("id_a"), F.col("id_b")
-    pick = F.struct(a.alias("id_a"), b.alias("id_b"), sim.alias("similarity"))
-    agg = cand.groupBy(*keys).agg(
-        F.min_by(F.when(F.col("which") == "max", pick),
-                 F.when(F.col("which") == "max", F.struct(-sim, a, b))).alias("mx"),
-        F.min_by(F.when(F.col("which") == "min", pick),
-                 F.when(F.col("which") == "min", F.struct(sim, a, b))).alias("mn"))
-    return agg.select(*keys,
-                      F.col("mx.id_a").alias("most_similar_a"), F.col("mx.id_b").alias("most_similar_b"),
-                      F.col("mx.similarity").alias("max_similarity"),
-                      F.col("mn.id_a").alias("least_similar_a"), F.col("mn.id_b").alias("least_similar_b"),
-                      F.col("mn.similarity").alias("min_similarity"))
+    return extremes(vectors, keys, id_col, vec_col, block_size)[0]
 
 
 def connections(vectors: DataFrame, coords: DataFrame, threshold: float = 0.8,
