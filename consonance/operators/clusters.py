@@ -680,7 +680,7 @@ def sweep(points: DataFrame, keys: Sequence[str], max_clusters: int = 10, id_col
 
 def robust_labels(points: DataFrame, keys: Sequence[str], k_per_group: DataFrame,
                   id_col: str = "persona_id", vec_col: str = "scaled", seed: int = 42) -> DataFrame:
-    """Final labels at each group's chosen k: mixture, then k-means, then seeded random.
+    """Final labels at each group's chosen k: mixture, k-means, agglomerative, spectral, then seeded random.
 
     A group with fewer points than k labels each point on its own. A method
     whose result uses a single label hands over to the next one.
@@ -711,15 +711,25 @@ def robust_labels(points: DataFrame, keys: Sequence[str], k_per_group: DataFrame
                                            (F.col("_u") > 1).alias(f"ok_{name}"))
 
     j = base.join(pick(gm, "gmm"), keys + [id_col], "left").join(pick(km, "km"), keys + [id_col], "left")
+    single = F.coalesce("k", F.lit(1)) <= 1
+    fits = [("ok_gmm", "c_gmm", "gmm"), ("ok_km", "c_km", "kmeans")]
+    # the later steps run for the groups that no fit has split
+    from . import hierarchy
+
+    open_ = j.where(~single & ~F.coalesce("ok_gmm", F.lit(False)) & ~F.coalesce("ok_km", F.lit(False))).select(
+        *keys, "k").distinct()
+    open_ = hierarchy._written(open_, "unsplit-groups")
+    if not open_.isEmpty():
+        left = points.join(open_.select(*keys), keys, "left_semi")
+        for step, name in ((hierarchy.agglomerative, "agglomerative"), (hierarchy.spectral, "spectral")):
+            lab = step(left, keys, open_, id_col, vec_col).join(open_, keys).withColumnRenamed(id_col, "_id")
+            j = j.join(pick(lab, name), keys + [id_col], "left")
+            fits.append((f"ok_{name}", f"c_{name}", name))
+    cluster, method = F.when(single, F.lit(0)), F.when(single, "single")
+    for ok, c, name in fits:
+        cluster, method = cluster.when(F.coalesce(ok, F.lit(False)), F.col(c)), method.when(F.coalesce(ok, F.lit(False)), name)
     rnd = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.greatest(F.col("k"), F.lit(1)).cast("long")).cast("int")
-    cluster = (F.when(F.coalesce("k", F.lit(1)) <= 1, F.lit(0))
-                .when(F.coalesce("ok_gmm", F.lit(False)), F.col("c_gmm"))
-                .when(F.coalesce("ok_km", F.lit(False)), F.col("c_km"))
-                .otherwise(rnd))
-    method = (F.when(F.coalesce("k", F.lit(1)) <= 1, "single")
-               .when(F.coalesce("ok_gmm", F.lit(False)), "gmm")
-               .when(F.coalesce("ok_km", F.lit(False)), "kmeans").otherwise("random"))
-    return j.select(*keys, id_col, cluster.alias("cluster"), method.alias("method")).select(
+    return j.select(*keys, id_col, cluster.otherwise(rnd).alias("cluster"), method.otherwise("random").alias("method")).select(
         *out_cols).unionByName(own)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, pairs
+from ..operators import clusters, hierarchy, pairs
 from . import views
 from .registry import oracle, register
 from .views import with_views
@@ -127,6 +127,44 @@ def q_cluster_analysis(spark, sf_dir):
                         "negative_count", "min_value", "max_value", "mean_value"))
 
 
+@register("ward_clusters", oracle(with_views(""",
+ex AS (SELECT model, persona_id, pos, CAST(embedding[pos] AS DOUBLE) AS x FROM obs, range(1, 65) r(pos)
+       WHERE experiment = 'main' AND pos <= len(embedding)),
+st AS (SELECT model, pos, avg(x) AS mu, stddev_pop(x) AS sd FROM ex GROUP BY model, pos),
+z AS (SELECT ex.model, persona_id, list(CASE WHEN sd > 0 THEN (x - mu) / sd ELSE x - mu END ORDER BY ex.pos) AS c
+      FROM ex JOIN st ON ex.model = st.model AND ex.pos = st.pos GROUP BY ex.model, persona_id),
+w AS (
+  SELECT 0 AS step, model, row_number() OVER (PARTITION BY model ORDER BY persona_id) - 1 AS cid, 1 AS n, c,
+    [persona_id] AS members FROM z
+  UNION ALL
+  SELECT step, model, cid, n, c, members FROM (
+    WITH best AS (
+      SELECT a.model, arg_min(struct_pack(lo := a.cid, hi := b.cid),
+               struct_pack(cost := a.n * b.n / (a.n + b.n) * pow(list_distance(a.c, b.c), 2), lo := a.cid, hi := b.cid)) AS p
+      FROM w a JOIN w b ON a.model = b.model AND a.cid < b.cid GROUP BY a.model HAVING count(*) > 3)
+    SELECT step + 1 AS step, w.model, w.cid, w.n, w.c, w.members FROM w JOIN best ON w.model = best.model
+    WHERE w.cid <> p.lo AND w.cid <> p.hi
+    UNION ALL
+    SELECT a.step + 1, a.model, a.cid, a.n + b.n,
+      list_transform(list_zip(a.c, b.c), lambda t: (a.n * t[1] + b.n * t[2]) / (a.n + b.n)), a.members || b.members
+    FROM best JOIN w a ON a.model = best.model AND a.cid = p.lo JOIN w b ON b.model = best.model AND b.cid = p.hi)),
+l AS (SELECT model, max(step) AS step FROM w GROUP BY model),
+f AS (SELECT w.model, members, row_number() OVER (PARTITION BY w.model ORDER BY cid) - 1 AS cluster
+      FROM w JOIN l ON w.model = l.model AND w.step = l.step)
+SELECT model, unnest(members) AS persona_id, CAST(cluster AS INTEGER) AS cluster FROM f""", "obs").replace("WITH ", "WITH RECURSIVE ", 1),
+    ["model", "persona_id", "cluster"]), ["C9"])
+def q_ward_clusters(spark, sf_dir):
+    """Agglomerative step: Ward's tree of every model's answers, cut into three clusters."""
+    return hierarchy.agglomerative(_model_points(spark, sf_dir), ["model"], 3, "persona_id", "scaled")
+
+
+@register("spectral_clusters", None, ["C9"])
+def q_spectral_clusters(spark, sf_dir):
+    """Spectral step: sizes of three clusters per model from the neighbour graph of its answers."""
+    lab = hierarchy.spectral(_model_points(spark, sf_dir), ["model"], 3, "persona_id", "scaled")
+    return lab.groupBy("model", "cluster").agg(F.count(F.lit(1)).alias("answers"))
+
+
 @register("points_3d", None, ["C11", "C12", "C13"])
 def q_points_3d(spark, sf_dir):
     """3-D PCA coordinates per model with given-label colours (plot table)."""
