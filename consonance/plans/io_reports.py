@@ -64,6 +64,28 @@ def q_persona_documents_roundtrip(spark, sf_dir):
     return back.select(F.col("uuid").alias("persona_id"), "persona", "professional_persona")
 
 
+@register("persona_pages", oracle(with_views("""
+, o AS (SELECT row_number() OVER (ORDER BY CAST(persona_id AS BIGINT)) - 1 AS pos, persona_id, persona FROM personas)
+SELECT 'first' AS page, pos, persona_id, persona FROM o WHERE pos < 20
+UNION ALL SELECT 'across', pos, persona_id, persona FROM o WHERE pos BETWEEN 75 AND 174
+UNION ALL SELECT 'last', pos, persona_id, persona FROM o WHERE pos >= (SELECT count(*) FROM o) - 7""", "personas"),
+    ["page", "pos", "persona_id", "persona"]), ["S1"])
+def q_persona_pages(spark, sf_dir):
+    """Pages of all persona documents by offset and length: an index of rows per file tells which files to open."""
+    path, index = scratch_path(spark, "persona-pages"), scratch_path(spark, "page-index")
+    p = views.personas(spark, sf_dir).withColumnRenamed("persona_id", "uuid")
+    files.write_ordered_documents(p, path, "uuid", rows_per_doc=30)
+    files.write_page_index(spark, path, index, multi_line=False)
+    total = spark.read.parquet(index).agg(F.sum("n")).first()[0]
+    pages = {"first": (0, 20), "across": (75, 100), "last": (max(total - 7, 0), 100)}
+    out = None
+    for name, (offset, length) in pages.items():
+        part = files.persona_page(spark, path, offset, length, index, multi_line=False).select(
+            F.lit(name).alias("page"), "pos", F.col("row.uuid").alias("persona_id"), F.col("row.persona").alias("persona"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("latest_results_file", oracle(with_views(
     "SELECT model, topic, persona_id, response FROM done", "done"),
     ["model", "topic", "persona_id", "response"]), ["S7", "S8", "S9", "S10"])

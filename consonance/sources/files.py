@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 PERSONA_ROW = T.StructType([T.StructField(n, t, True) for n, t in [
     ("uuid", T.StringType()), ("professional_persona", T.StringType()), ("sports_persona", T.StringType()),
     ("arts_persona", T.StringType()), ("travel_persona", T.StringType()),
@@ -60,6 +62,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 # personas (S1, S2, S3)
 
 
+def _entries(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    """(file, block, row_idx, row): ``block`` is where the part of the file that a task reads begins."""
+    doc = spark.read.schema(PERSONA_DOC).option("multiLine", multi_line).json(path)
+    doc = doc.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "rows")
+    return doc.select("file", "block", F.posexplode("rows").alias("row_idx", "entry")).select(
+        "file", "block", F.col("row_idx").cast("long"), F.col("entry.row").alias("row"))
+
+
 def read_persona_entries(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Entries of persona documents: (file, row_idx, row); a missing path gives no rows.
 
@@ -70,10 +80,7 @@ def read_persona_entries(spark: SparkSession, path: str, multi_line: bool = True
         return spark.createDataFrame([], T.StructType([
             T.StructField("file", T.StringType()), T.StructField("row_idx", T.LongType()),
             T.StructField("row", PERSONA_ROW)]))
-    doc = spark.read.schema(PERSONA_DOC).option("multiLine", multi_line).json(path)
-    doc = doc.select(F.col("_metadata.file_path").alias("file"), "rows")
-    return doc.select("file", F.posexplode("rows").alias("row_idx", "entry")).select(
-        "file", F.col("row_idx").cast("long"), F.col("entry.row").alias("row"))
+    return _entries(spark, path, multi_line).drop("block")
 
 
 def read_personas(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -82,10 +89,41 @@ def read_personas(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return e.where(F.col("row").isNotNull()).select("file", "row_idx", "row.*")
 
 
-def persona_page(spark: SparkSession, path: str, offset: int = 0, length: int = 100) -> DataFrame:
-    """``length`` entries from ``offset`` in document order; empty when the path is missing."""
-    e = read_persona_entries(spark, path)
-    return e.orderBy("file", "row_idx").offset(offset).limit(length)
+def write_page_index(spark: SparkSession, path: str, index_path: str, multi_line: bool = True) -> None:
+    """Rows per persona document file and the entries before it, in the order of the file names.
+
+    One row per file; the window runs over that table.
+    """
+    n = read_persona_entries(spark, path, multi_line).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    n.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).write.mode("overwrite").parquet(index_path)
+
+
+def persona_page(spark: SparkSession, path: str, offset: int = 0, length: int = 100, index_path: str | None = None,
+                 multi_line: bool = True) -> DataFrame:
+    """(pos, file, row_idx, row) of ``length`` entries from ``offset`` in the order of file names and rows.
+
+    The index tells which files hold the page; only these are opened. Without ``index_path`` one is made first. A
+    missing path gives no rows; files that hold several documents (one per line) are ordered by line.
+    """
+    none = read_persona_entries(spark, path, multi_line).limit(0).select(F.lit(0).cast("long").alias("pos"), "file", "row_idx", "row")
+    if not _exists(spark, path) or length <= 0:
+        return none
+    if index_path is None:
+        index_path = scratch_path(spark, "page-index")
+        write_page_index(spark, path, index_path, multi_line)
+    hit = spark.read.parquet(index_path).where((F.col("first") < offset + length) & (F.col("first") + F.col("n") > offset))
+    hit = {r.file: r.first for r in hit.orderBy("first").collect()}  # at most one file per entry of the page
+    if not hit:
+        return none
+    e = _entries(spark, list(hit), multi_line)
+    first = F.create_map(*[F.lit(x) for kv in hit.items() for x in kv])
+    # a task reads its part of a file in order
+    of_file = Window.partitionBy("file").orderBy("block", "_seq")
+    e = e.withColumn("_seq", F.monotonically_increasing_id()).withColumn(
+        "pos", F.row_number().over(of_file) - 1 + first[F.col("file")])
+    return e.where((F.col("pos") >= offset) & (F.col("pos") < offset + length)).select(
+        F.col("pos").cast("long").alias("pos"), "file", "row_idx", "row")
 
 
 def read_single_persona(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -99,6 +137,19 @@ def read_single_persona(spark: SparkSession, path: str, multi_line: bool = True)
     return p
 
 
+def write_ordered_documents(personas: DataFrame, path: str, order: str, rows_per_doc: int = 100, n_files: int = 8) -> None:
+    """Persona documents of ``rows_per_doc`` consecutive values of the integer column ``order`` each.
+
+    Documents, their rows and the names of the files ascend with ``order``, so pages follow it.
+    """
+    cols = list(personas.columns)
+    d = personas.withColumn("_doc", F.expr(f"bigint({order}) div {rows_per_doc}"))
+    row = F.struct(F.col(order).cast("long").alias("_o"), F.struct(F.struct(*cols).alias("row")).alias("r"))
+    body = d.groupBy("_doc").agg(F.sort_array(F.collect_list(row)).alias("e"))
+    body = body.repartitionByRange(n_files, "_doc").sortWithinPartitions("_doc")
+    body.select(F.to_json(F.struct(F.col("e.r").alias("rows"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_persona_documents(personas: DataFrame, path: str, rows_per_doc: int = 100) -> None:
     """Persona documents {"rows": [{"row": {...}}]} of about ``rows_per_doc`` rows each.
 
@@ -191,8 +242,13 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def snapshot_documents(attempts: DataFrame, stage: str, batch_number: int, total_batches: int,
-                       counter: int) -> DataFrame:
-    """Snapshot documents (metadata, metrics, results) per (model, topic) of the latest answers."""
+                       counter: int, progress: float | None = None) -> DataFrame:
+    """Snapshot documents (metadata, metrics, results) per (model, topic) of the latest answers.
+
+    ``progress``: percentage done; by default that after batch ``batch_number`` (from 0).
+    """
+    if progress is None:
+        progress = 100.0 * (batch_number + 1) / max(total_batches, 1)
     from ..operators.coverage import last_answer_wins
 
     last = last_answer_wins(attempts)
@@ -203,7 +259,7 @@ def snapshot_documents(attempts: DataFrame, stage: str, batch_number: int, total
     meta = F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
                     F.lit(batch_number).alias("batch_number"), F.lit(total_batches).alias("total_batches"),
                     F.lit(stage).alias("stage"), F.lit(counter).alias("incremental_counter"),
-                    F.lit(100.0 * (batch_number + 1) / max(total_batches, 1)).alias("progress_percentage"))
+                    F.lit(progress).alias("progress_percentage"))
     tot = metrics.select("total_requests").scalar()
     okc = metrics.select("successful_requests").scalar()
     perf = F.struct(F.when(tot > 0, okc / tot).alias("success_rate"), tot.alias("total_requests"),
@@ -213,12 +269,6 @@ def snapshot_documents(attempts: DataFrame, stage: str, batch_number: int, total
                        .alias("value"))
 
 
-def append_attempts(attempts: DataFrame, path: str, stage: str, batch: int) -> None:
-    """Append attempt rows with their stage and batch (incremental snapshots)."""
-    (attempts.withColumn("stage", F.lit(stage)).withColumn("batch", F.lit(batch))
-             .write.mode("append").partitionBy("stage").parquet(path))
-
-
 def write_similarity_bundle(moments: DataFrame, vectors: DataFrame, path: str,
                             experiment: str = "main") -> None:
     """Group moments and the vectors behind them, partitioned by experiment and model."""

@@ -13,6 +13,9 @@
 * ``dedup_attempts``: one row per task key within the watermark
   (``dropDuplicatesWithinWatermark``; the first arrival is kept, unlike the
   batch rule where the last attempt wins, so only the keys are comparable).
+* ``dedup_with_late``: the same with its watermark in tables, where rows behind
+  the watermark go to a side table instead of being dropped; ``reconciled``
+  puts both together to the batch result.
 
 Every query takes its checkpoint location under ``spark.checkpoint.dir`` and
 runs with ``availableNow`` when asked to drain what is there (tests, catch-up).
@@ -46,8 +49,11 @@ def write_batch(df: DataFrame, batch_id: int, table_dir: str, metrics_dir: str)
         ok = F.coalesce(F.col("success"), F.lit(False))
         if "response" in df.columns:
             ok = ok & is_valid(F.col("response"))
+        tokens = F.sum("tokens") if "tokens" in df.columns else F.lit(None).cast("long")
+        ts = F.col("ts").cast("timestamp") if "ts" in df.columns else F.lit(None).cast("timestamp")
         m = df.agg(F.count(F.lit(1)).alias("requests"), F.count_if(ok).alias("successful"),
-                   F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
+                   F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"),
+                   F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
         m.write.mode("overwrite").parquet(f"{metrics_dir}/micro_batch={batch_id}")
     finally:
         df.unpersist()
@@ -114,3 +120,60 @@ def dedup_attempts(spark: SparkSession, source_dir: str, schema: T.StructType, o
     d = s.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark(list(keys))
     return _start(d.writeStream.format("parquet").outputMode("append").option("path", out_dir)
                   .option("checkpointLocation", checkpoint or scratch_path(spark, "dedup-ckpt")), available_now)
+
+
+# --- late rows and expired keys -------------------------------------------------------------
+
+
+def write_deduplicated(df: DataFrame, batch_id: int, out_dir: str, keys: Sequence[str] = KEYS, ts_col: str = "ts",
+                       delay_seconds: int = 3600) -> None:
+    """One micro-batch: new keys to ``kept``, rows behind the watermark to ``late``, the new watermark to ``marks``.
+
+    The watermark of a batch is the largest event time of all earlier batches less the delay. A key is a duplicate
+    if it was kept at or after the watermark; one kept before it has expired and is kept again. Each output is a
+    partition of its batch, read back only from earlier batches, so a replay gives the same rows.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    earlier = F.col("micro_batch") < batch_id
+    mark = None
+    if batch_id > 0:
+        mark = spark.read.parquet(f"{out_dir}/marks").where(earlier).agg(F.max("last_ts")).first()[0]
+    df = df.persist()
+    try:
+        limit = F.lit(mark) - F.make_dt_interval(secs=F.lit(delay_seconds)) if mark is not None else F.lit(None).cast("timestamp")
+        late = F.coalesce(F.col(ts_col) < limit, F.lit(False))
+        df.where(late).write.mode("overwrite").parquet(f"{out_dir}/late/micro_batch={batch_id}")
+        first = df.where(~late).groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(ts_col, *keys)).alias("r")).select("r.*")
+        if batch_id > 0:
+            known = spark.read.parquet(f"{out_dir}/kept").where(earlier).where(F.coalesce(F.col(ts_col) >= limit, F.lit(True)))
+            same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+            first = first.alias("a").join(known.select(*keys).distinct().alias("b"), same, "left_anti")
+        first.write.mode("overwrite").parquet(f"{out_dir}/kept/micro_batch={batch_id}")
+        df.agg(F.max(ts_col).alias("last_ts")).write.mode("overwrite").parquet(f"{out_dir}/marks/micro_batch={batch_id}")
+    finally:
+        df.unpersist()
+
+
+def dedup_with_late(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str, keys: Sequence[str] = KEYS,
+                    ts_col: str = "ts", delay_seconds: int = 3600, files_per_batch: int = 1, available_now: bool = True,
+                    checkpoint: str | None = None):
+    """Keyed dedup of attempt files that loses no late row: ``kept`` and ``late`` below ``out_dir`` (``write_deduplicated``)."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+
+    def per_batch(df: DataFrame, batch_id: int) -> None:
+        write_deduplicated(df, batch_id, out_dir, keys, ts_col, delay_seconds)
+
+    return _start(stream.writeStream.foreachBatch(per_batch)
+                  .option("checkpointLocation", checkpoint or scratch_path(spark, "dedup-ckpt")), available_now)
+
+
+def reconciled(spark: SparkSession, out_dir: str, keys: Sequence[str] = KEYS, ts_col: str = "ts") -> DataFrame:
+    """Per key its first row by event time over kept and late rows, and how many rows of each kind it has: the batch result."""
+    both = None
+    for kind in ("kept", "late"):
+        part = spark.read.parquet(f"{out_dir}/{kind}").drop("micro_batch").withColumn("_late", F.lit(kind == "late"))
+        both = part if both is None else both.unionByName(part)
+    rest = [c for c in both.columns if c not in (*keys, "_late")]
+    out = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(ts_col, *[c for c in rest if c != ts_col])).alias("r"),
+                                  F.count_if(~F.col("_late")).alias("kept_rows"), F.count_if("_late").alias("late_rows"))
+    return out.select(*keys, "r.*", "kept_rows", "late_rows")
