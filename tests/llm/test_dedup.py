@@ -285,3 +285,36 @@ def test_cross_pairs_never_meet_inside_the_largest_component(spark):
     none = spark.createDataFrame([], "id long, e long")
     got = {(r.u, r.v) for r in banding.cross_pairs(df, lambda ids: none, 75).collect()}
     assert got == {(u, v) for u in range(2000, 2003) for v in range(u)}
+
+
+def test_short_lines_at_the_limit_share_a_key(spark):
+    """Pairs at or above 0.75 of sets up to 8 elements (a partner may hold 10): no pair without a common key."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(1500):
+        both = rng.randint(1, 8)
+        u = rng.randint(both, both * 100 // 75)
+        extra = u - both
+        left = rng.randint(0, extra)
+        x = [rng.randrange(-2 ** 62, 2 ** 62) for _ in range(u)]
+        a, b = x[:both + left], x[:both] + x[both + left:]
+        if min(len(a), len(b)) <= L.SHORT:
+            rows.append((i, sorted(a), sorted(b)))
+    df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>")
+    for c in "ab":
+        df = df.select("*", F.col(c).alias("s"), F.size(c).cast("long").alias("n")).withColumn(f"k{c}", L.band_keys()).drop("s", "n")
+    assert df.where("100 * size(array_intersect(a, b)) < 75 * size(array_union(a, b))").count() == 0
+    assert df.where("not arrays_overlap(ka, kb)").count() == 0
+
+
+def test_line_dedup_of_short_lines_with_production_parameters(spark):
+    """Lines of 3 to 8 words, each with a copy that differs in its last character: what brute force removes goes."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    lines = []
+    for _ in range(400):
+        line = " ".join(rng.choice(words) for _ in range(rng.randint(3, 8)))
+        lines += [line, line + rng.choice(["", "s", "!"])]
+    rows = [(i, "\n".join(lines[i * 8:i * 8 + 8])) for i in range(100)]
+    out = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in out), key=str) == brute_lines(rows)
