@@ -23,6 +23,7 @@ label 1; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -198,13 +199,22 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     src = _source(docs, id_col, text_col, meta_cols).join(
         F.broadcast(some.select(F.col("doc_id").alias("_id"), F.col("y").cast("int").alias("y"))), F.col("doc_id") == F.col("_id"))
     # rows of equal ids beyond the bound are left out of the fit
-    got = src.select("doc_id", "text", "meta", "y").mapInArrow(
-        _sampler, "y int, bucket binary, x binary, dense binary").limit(rows).toArrow()
-    cols = [got.column(c).to_pylist() for c in ("bucket", "x", "dense", "y")]
-    order = sorted(range(len(cols[0])), key=lambda i: (cols[2][i], cols[0][i]))   # the same fit whatever the partitions
-    samples = [(np.frombuffer(cols[0][i], np.int32).astype(np.int64), np.frombuffer(cols[1][i], np.float32).astype(np.float64),
-                np.frombuffer(cols[2][i], np.float64)) for i in order]
-    return fit(samples, np.array([cols[3][i] for i in order]))
+    sample = src.select("doc_id", "text", "meta", "y").mapInArrow(
+        _sampler, "y int, bucket binary, x binary, dense binary").limit(rows)
+    # the bounded sample meets in one task; only the fitted machine comes to the driver
+    got = sample.mapInArrow(_fitter, "machine binary").first()
+    return pickle.loads(got[0]) if got else fit([], np.zeros(0))
+
+
+def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The machine fitted on all rows of ``_sampler``."""
+    rows = [r for rb in batches for r in zip(*(rb.column(c).to_pylist() for c in ("dense", "bucket", "x", "y")))]
+    if rows:
+        rows.sort(key=lambda r: r[:2])   # the same fit whatever the partitions
+        samples = [(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64),
+                    np.frombuffer(d, np.float64)) for d, b, x, _ in rows]
+        machine = fit(samples, np.array([r[3] for r in rows]))
+        yield pa.RecordBatch.from_pydict({"machine": pa.array([pickle.dumps(machine)], pa.binary())})
 
 
 def held_out(id_col: str):

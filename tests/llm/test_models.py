@@ -234,5 +234,5 @@ def test_secret_first_examples_by_hash(spark, monkeypatch):
     monkeypatch.setattr(X, "MAX_EXAMPLES", 20)
     ex = spark.range(3000).selectExpr("cast(cast(id as string) as binary) x", "1 y", "false hexlike").withColumn("h", X.F.xxhash64("x"))
     want = [r.x for r in ex.orderBy("h", "x").limit(20).collect()]
-    assert [r["x"] for r in X._first(ex, 3000)] == want
-    assert [r["x"] for r in X._first(ex, 10 ** 9)] == want and len(X._first(ex.limit(5), 5)) == 5
+    assert [r.x for r in X._first(ex, 3000).collect()] == want
+    assert [r.x for r in X._first(ex, 10 ** 9).collect()] == want and X._first(ex.limit(5), 5).count() == 5
