@@ -44,8 +44,10 @@ BLOCK = 4096
 QUERY_BLOCK = 512
 #: reading goes on while more vectors than this could still qualify
 RESOLVE = 512
-#: a step reads this part of each list
-STEPS = 64
+#: the first step reads this many halvings of each list, each later one doubles what was read
+HALVINGS = 5
+#: queries that read the lists together
+AT_ONCE = 64
 #: query blocks whose k-th best scores a task remembers
 REMEMBERED = 256
 _END = 2.0 ** 63
@@ -78,65 +80,56 @@ def _packer(size: int):
 
 
 class Lists:
-    """The sorted lists of one block."""
+    """The sorted lists of one block: one per dimension, read from its upper or its lower end."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        up = np.argsort(x, axis=0, kind="stable").T                    # (dim, n), values rising
-        self.order = np.stack([up[:, ::-1], up])                       # [0]: falling, [1]: rising
-        self.largest = np.abs(x.astype(np.float64)).max(axis=0)
-        self.resolved = 0                                               # vectors whose scores were resolved
-        # doubles: the bounds allow for their rounding
-        self.values = np.take_along_axis(np.broadcast_to(x.T, self.order.shape), self.order, axis=2).astype(np.float64)
-
-    def top(self, q: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(vec_id, score) of the best k, best first; ``floor``: k other rows are known to score at least this."""
-        n = len(self.ids)
-        used = np.flatnonzero(q)
-        alive = self.ids != own
-        if not len(used):
-            return self._resolve(np.flatnonzero(alive), q, k)
-        side, qd = (q[used] < 0).astype(np.int64), q[used].astype(np.float64)   # small values help a negative q_d
-        least = self.values[1 - side, used, 0] * qd    # what a list adds at least
-        # rounding errors of the bounds below, with room to spare
-        slack = (len(used) + 8) * 2.0 ** -50 * float((np.abs(qd) * self.largest[used]).sum())
-        known = -np.inf if floor is None else float(floor) - slack
-        step = max(1, n // STEPS)
-        depth, was = self._depth(side, used, qd, known, step), 0
-        got, seen = np.zeros(n), np.zeros((n, len(used)))
-        lists = np.arange(len(used))[:, None]
-        while True:
-            at = self.order[side, used, was:depth]
-            read = self.values[side, used, was:depth] * qd[:, None]
-            got += np.bincount(at.ravel(), weights=read.ravel(), minlength=n)
-            seen[at, lists] = 1.0
-            front = self.values[side, used, depth - 1] * qd
-            # what was read, and the last value read (at least: the least value) of every list that has not shown the vector
-            upper = got + front.sum() - seen @ front
-            lower = got + least.sum() - seen @ least
-            upper[~alive] = lower[~alive] = -np.inf
-            if alive.sum() >= k:
-                known = max(known, float(np.partition(lower, n - k)[n - k]) - slack)
-            known = -np.inf if known < -_END else min(known, _END * (1 - 1e-9))   # scores end there
-            left = np.flatnonzero(upper + slack >= known) if known > -np.inf else np.flatnonzero(alive)
-            if depth == n or len(left) <= RESOLVE:
-                self.resolved += len(left)
-                return self._resolve(left, q, k)
-            was, depth = depth, min(n, max(depth + 4 * step, self._depth(side, used, qd, known, step)))
-
-    def _depth(self, side: np.ndarray, used: np.ndarray, qd: np.ndarray, floor: float, step: int) -> int:
-        """The first depth, in steps, at which a vector that no list has shown scores below ``floor``; a first part without one."""
-        n = len(self.ids)
-        if floor == -np.inf:
-            return min(4 * step, n)
-        lo, hi = 1, -(-n // step)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if (self.values[side, used, min(mid * step, n) - 1] * qd).sum() < floor:
-                hi = mid
-            else:
-                lo = mid + 1
-        return min(lo * step, n)
+        self.real = x.astype(np.float64)    # the bounds allow for the rounding
+        order = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.real, order, axis=0)
+        self.place = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+        self.largest = np.abs(self.real).max(axis=0)
+        self.resolved = self.read = 0       # vectors resolved, and places of each list read, over all queries
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floors: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(vec_id, score) of the best k, best first, per query; ``floors``: k other rows are known to score at least this.
+
+        The queries read the lists in step; each leaves as soon as few vectors are left for it.
+        """
+        n, out = len(self.ids), [None] * len(queries)
+        q = queries.astype(np.float64)
+        up, down = np.maximum(q, 0).T, np.minimum(q, 0).T    # large values help a positive q_d, small ones a negative q_d
+        slack = (q.shape[1] + 8) * 2.0 ** -50 * (np.abs(q) @ self.largest)
+        known = np.array([-np.inf if f is None else float(f) for f in floors]) - slack
+        going, low, high = np.arange(len(queries)), self.values[0], self.values[-1]
+        for depth in sorted({max(1, n >> s) for s in range(HALVINGS, -1, -1)}):
+            # a vector that no list has shown has this upper bound; while it reaches the floor, reading goes on
+            last_up, last_down = self.values[n - depth], self.values[depth - 1]
+            front = last_up @ up[:, going] + last_down @ down[:, going]
+            ask = going[(front + slack[going] < known[going]) | (known[going] == -np.inf) | (depth == n)]
+            if not len(ask):
+                continue
+            seen_up, seen_down = self.place >= n - depth, self.place < depth
+            u, d = up[:, ask], down[:, ask]
+            # of a list that has not shown a vector: the last value read, or the least that it can add
+            upper = np.where(seen_up, self.real, last_up) @ u + np.where(seen_down, self.real, last_down) @ d
+            lower = np.where(seen_up, self.real, low) @ u + np.where(seen_down, self.real, high) @ d
+            for j in np.flatnonzero(np.isin(own[ask], self.ids)):
+                mine = self.ids == own[ask[j]]
+                upper[mine, j] = lower[mine, j] = -np.inf
+            if n >= k:
+                known[ask] = np.maximum(known[ask], np.partition(lower, n - k, axis=0)[n - k] - slack[ask])
+            known = np.where(known < -_END, -np.inf, np.minimum(known, _END * (1 - 1e-9)))   # scores end there
+            left = (upper + slack[ask] >= known[ask]) & (upper > -np.inf)
+            done = left.sum(axis=0) <= RESOLVE if depth < n else np.ones(len(ask), bool)
+            for j in np.flatnonzero(done):
+                at = np.flatnonzero(left[:, j])
+                out[ask[j]] = self._resolve(at, queries[ask[j]], k)
+                self.resolved += len(at)
+                self.read += depth
+            going = np.setdiff1d(going, ask[done])
+        return out
 
     def _resolve(self, at: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         x = self.x[at]
@@ -167,13 +160,14 @@ def _matcher(k: int):
                     floors.pop(next(iter(floors)))
                 known = floors.setdefault(r["q_block"], [None] * len(q_ids))
                 out = [[], [], []]
-                for i, (own, q) in enumerate(zip(q_ids, qs)):
-                    ids, scores = last[1].top(q, own, k, known[i])
-                    if len(ids) == k:
-                        known[i] = int(scores[-1]) if known[i] is None else max(known[i], int(scores[-1]))
-                    out[0].append(np.full(len(ids), own))
-                    out[1].append(ids)
-                    out[2].append(scores)
+                for a in range(0, len(q_ids), AT_ONCE):
+                    part = slice(a, a + AT_ONCE)
+                    for i, (ids, scores) in enumerate(last[1].top(qs[part], q_ids[part], k, known[part]), a):
+                        if len(ids) == k:
+                            known[i] = int(scores[-1]) if known[i] is None else max(known[i], int(scores[-1]))
+                        out[0].append(np.full(len(ids), q_ids[i]))
+                        out[1].append(ids)
+                        out[2].append(scores)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out],
                                                  names=["query_id", "vec_id", "score"])
     return run
