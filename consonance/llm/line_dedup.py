@@ -16,10 +16,10 @@ shingles into ``BANDS`` bins by hash, a shorter one takes ``BANDS`` different ha
 the limit do both, so no similar pair is separated by it. A band is equal with
 probability about J^3, less for few shingles: a pair at 0.75 is missed with 0.4 %
 (9 of 12 shingles: 0.8 %), at 0.8 with 0.08 %, at 0.9 with 0.0002 %. Lines of at
-most ``SHORT`` shingles miss none: two sets of n or fewer elements at 0.75 share
-one of the first n - ceil(0.75 n) + 1 elements of both in any common order, so
-these, in the order of their hashes, are their keys (again, lines near the limit
-do both). Candidates are verified by exact Jaccard similarity of their
+most ``SHORT`` shingles miss none: two such sets at 0.75 share three elements
+among the first n - ceil(0.75 n) + 3 of both in any common order, so all
+triples of these, in the order of their hashes, are their keys (again, lines near
+the limit do both; sets of one or two elements are linked only when equal). Candidates are verified by exact Jaccard similarity of their
 whole sets (``banding``), and grouped by distributed union-find.
 
 Equal lines are one item from the start: items are keyed by a 64-bit hash of
@@ -46,8 +46,10 @@ NAME = "op8_line_dedup"
 SHINGLE_CHARS = 8
 PERCENT = 75
 BANDS, ROWS = 10, 3
-#: shingles up to which a line takes single shingles as keys: an exact prefix instead of bands
+#: shingles up to which a line takes the triples of a prefix as keys: exact, instead of bands
 SHORT = 8
+#: elements of a key of such a line
+SHARED = 3
 #: shingles from which on a line deals them into bins
 LONG = 40
 ID_BUCKETS = 1 << 20
@@ -72,9 +74,13 @@ def with_set(df: DataFrame, line: str = "line") -> DataFrame:
 def band_keys():
     """Band keys (array of longs) from columns ``s`` and ``n``."""
     # s is sorted by hash, so its first elements are a prefix in an order that all lines share
-    prefix = F.when(F.col("n") <= SHORT * 100 // PERCENT, F.expr(
-        f"transform(slice(s, 1, cast(n - ceil({PERCENT} * n / 100) + 1 as int)), x -> xxhash64(200, x))")).otherwise(
-        F.expr("cast(array() as array<bigint>)"))
+    head = f"slice(s, 1, cast(least(n, n - ceil({PERCENT} * n / 100) + {SHARED}) as int))"
+    triples = ("flatten(transform(sequence(0, size(p) - 3), i -> flatten(transform(sequence(i + 1, size(p) - 2), j -> "
+               "transform(sequence(j + 1, size(p) - 1), k -> xxhash64(200, p[i], p[j], p[k]))))))")
+    few = F.expr("array(xxhash64(200, s[0], if(n > 1, s[1], null)))")
+    prefix = (F.when((F.col("n") > 0) & (F.col("n") < SHARED), few)
+              .when((F.col("n") > 0) & (F.col("n") <= SHORT * 100 // PERCENT), F.expr(f"transform(array({head}), p -> {triples})[0]"))
+              .otherwise(F.expr("cast(array() as array<bigint>)")))
     near_low, near_high = LONG * PERCENT // 100, LONG * 100 // PERCENT
     one = [F.expr(f"xxhash64({b}, slice(sort_array(transform(s, x -> xxhash64(x, {b}))), 1, {ROWS}))") for b in range(BANDS)]
     short = F.when((F.col("n") > SHORT) & (F.col("n") <= near_high), F.array(*one)).otherwise(F.expr("cast(array() as array<bigint>)"))

@@ -282,8 +282,7 @@ def test_cross_pairs_never_meet_inside_the_largest_component(spark):
 
     rows = [(7, i, 10, 0 if i < 2000 else i) for i in range(2003)]
     df = spark.createDataFrame(rows, "key long, id long, n long, comp long")
-    none = spark.createDataFrame([], "id long, e long")
-    got = {(r.u, r.v) for r in banding.cross_pairs(df, lambda ids: none, 75).collect()}
+    got = {(r.u, r.v) for r in banding.small_pairs(banding.mixed_buckets(df), 75).collect()}
     assert got == {(u, v) for u in range(2000, 2003) for v in range(u)}
 
 
