@@ -38,7 +38,7 @@ STARS = 4
 #: the items of buckets with more cross-component pairs per item than this are matched by the prefix filter
 PAIRS_AN_ITEM = 4
 #: star rounds over prefix elements, at most, and while one of so many pairs is a link
-TURNS, LEAST_YIELD = 6, 50
+TURNS, LEAST_YIELD = 1, 50
 
 
 def buckets(items: DataFrame) -> DataFrame:
