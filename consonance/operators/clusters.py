@@ -4,8 +4,8 @@ Grouping keys are arbitrary (model, topic, ...). Everything runs for all
 groups at once:
 
 * standardisation, Calinski-Harabasz, Davies-Bouldin: grouped aggregates;
-* silhouette: Euclidean distances evaluated in blocks (``operators.pairs``),
-  emitting per (point, other cluster) distance sums only;
+* silhouette: bounds per cluster first, then Euclidean distances in blocks
+  (``operators.bounded_silhouette``), sums per (point, cluster) only;
 * PCA: Gram partials per partition (numpy), summed by Spark, one small
   eigen-decomposition per group, projection by a join on the group key;
 * k-means and Gaussian mixtures: every iteration is one distributed pass
@@ -131,53 +131,13 @@ def davies_bouldin(points: DataFrame, keys: Sequence[str], label: str = "cluster
 def silhouette(points: DataFrame, keys: Sequence[str], label: str = "cluster",
                vec_col: str = "scaled", id_col: str = "persona_id",
                block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Mean silhouette (Euclidean) per group; a point alone in its cluster scores 0."""
-    keys = list(keys)
-    schema = T.StructType(_key_fields(points, keys) + [
-        T.StructField("pid", T.StringType()), T.StructField("own", T.StringType()),
-        T.StructField("other", T.StringType()), T.StructField("sd", T.DoubleType()),
-        T.StructField("cnt", T.LongType())])
-
-    def reducer(key, ids_a, ma, ids_b, mb, same, ea, eb):
-        la = ea[label].astype(str).to_numpy()
-        lb = eb[label].astype(str).to_numpy()
-        d2 = (ma * ma).sum(1)[:, None] + (mb * mb).sum(1)[None, :] - 2 * ma @ mb.T
-        dist = np.sqrt(np.maximum(d2, 0.0))
-        if same:
-            np.fill_diagonal(dist, 0.0)
-        rows = []
-
-        def emit(ids_src, lab_src, lab_dst, dmat, self_block):
-            for c in np.unique(lab_dst):
-                m = lab_dst == c
-                sums = dmat[:, m].sum(axis=1)
-                cnt = np.full(len(ids_src), int(m.sum()), dtype=np.int64)
-                if self_block:
-                    cnt = cnt - (lab_src == c).astype(np.int64)
-                rows.append(pd.DataFrame({"pid": ids_src.astype(str), "own": lab_src, "other": c,
-                                          "sd": sums, "cnt": cnt}))
-
-        emit(ids_a, la, lb, dist, same)
-        if not same:
-            emit(ids_b, lb, la, dist.T, False)
-        return pd.concat(rows, ignore_index=True) if rows else None
-
-    pts = points.withColumn(id_col, F.col(id_col).cast("string")).withColumn(
-        label, F.col(label).cast("string")).withColumn(vec_col, _as_double_array(F.col(vec_col)))
-    parts = evaluate_pairs(pts, keys, id_col, vec_col, reducer, schema, extra_cols=[label],
-                           block_size=block_size, metric="raw")
-    per = parts.groupBy(*keys, "pid", "own", "other").agg(F.sum("sd").alias("sd"), F.sum("cnt").alias("cnt"))
-    mean_d = F.when(F.col("cnt") > 0, F.col("sd") / F.col("cnt"))
-    per_point = per.groupBy(*keys, "pid").agg(
-        F.max(F.when(F.col("own") == F.col("other"), mean_d)).alias("a"),
-        F.max(F.when(F.col("own") == F.col("other"), F.col("cnt"))).alias("own_rest"),
-        F.min(F.when(F.col("own") != F.col("other"), mean_d)).alias("b"))
-    s = F.when((F.col("own_rest") > 0) & F.col("b").isNotNull(),
-               (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0))
-    k = points.groupBy(*keys).agg(F.countDistinct(label).alias("_k"))
-    return (per_point.groupBy(*keys).agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
-                     .join(k, keys).select(*keys, F.when(F.col("_k") > 1, F.col("silhouette"))
-                                           .alias("silhouette")))
+    """Mean silhouette (Euclidean) per group; a point alone in its cluster scores 0.
+
+    Clusters that cannot be a point's nearest one are skipped (``bounded_silhouette``).
+    """
+    from . import bounded_silhouette
+
+    return bounded_silhouette.silhouette(points, keys, label, vec_col, id_col, block_size)[0]
 
 
 def bic_aic(log_likelihood: F.Column, k: F.Column, d: F.Column, n: F.Column) -> tuple[F.Column, F.Column]:

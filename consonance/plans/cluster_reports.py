@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, hierarchy, pairs
+from ..operators import bounded_silhouette, clusters, hierarchy, pairs
 from . import views
 from .registry import oracle, register
 from .views import with_views
@@ -64,6 +64,24 @@ def q_silhouette(spark, sf_dir):
     return clusters.silhouette(_points(spark, sf_dir), ["experiment"], "cluster", "scaled")
 
 
+@register("silhouette_work", oracle(_sql("""
+, cz AS (SELECT experiment, cluster, pos, avg(z) AS mu, var_pop(z) AS s2, count(*) AS n FROM sx GROUP BY experiment, cluster, pos),
+cen AS (SELECT experiment, cluster, list(mu ORDER BY pos) AS c, sum(s2) AS w, max(n) AS n FROM cz GROUP BY experiment, cluster),
+bd AS (SELECT sc.experiment, sc.persona_id, sc.cluster = cen.cluster AS own, cen.n, list_distance(sc.v, cen.c) AS low,
+         sqrt(pow(list_distance(sc.v, cen.c), 2) + cen.w) AS high FROM sc JOIN cen ON sc.experiment = cen.experiment),
+li AS (SELECT experiment, persona_id, min(CASE WHEN NOT own THEN high END) AS lim FROM bd GROUP BY experiment, persona_id),
+op AS (SELECT bd.experiment, sum(bd.n) AS distances, count(*) AS sums FROM bd JOIN li
+       ON bd.experiment = li.experiment AND bd.persona_id = li.persona_id WHERE own OR low <= lim GROUP BY bd.experiment),
+n AS (SELECT experiment, count(*) AS points FROM sc GROUP BY experiment)
+SELECT n.experiment, CAST(points AS BIGINT) AS points, CAST(sums AS BIGINT) AS sums, CAST(distances AS BIGINT) AS distances,
+  CAST(points * points AS BIGINT) AS all_distances FROM n JOIN op ON n.experiment = op.experiment"""),
+    ["experiment", "points", "sums", "distances", "all_distances"]), ["C3"])
+def q_silhouette_work(spark, sf_dir):
+    """Distances the silhouette takes after its bounds, against those of all pairs."""
+    cand = bounded_silhouette.candidates(_points(spark, sf_dir), ["experiment"])
+    return bounded_silhouette.work(cand, ["experiment"])
+
+
 @register("calinski_harabasz", oracle(_sql("""
 , pc AS (SELECT experiment, cluster, pos, count(*) AS nc, sum(z) AS s, sum(z * z) AS ss FROM sx
          GROUP BY experiment, cluster, pos),
