@@ -61,6 +61,25 @@ def standardize(vectors: DataFrame, keys: Sequence[str], vec_col: str = "embeddi
     return j.withColumn(out_col, scaled).drop("mean", "std")
 
 
+#: fixed value: the error text of a group that has no vectors
+NO_EMBEDDINGS = "No embeddings available"
+
+
+def group_outcomes(groups: DataFrame, analysed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for every group of ``groups``: its row of ``analysed``, or an error row.
+
+    A group without a row there has no vectors: ``error`` says so, it counts one
+    cluster and no negative pair. Groups with a null key are left out.
+    """
+    keys = list(keys)
+    g = groups.select(*keys).where(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False)).distinct()
+    j = g.join(analysed.withColumn("_found", F.lit(True)), keys, "left")
+    error = F.when(F.col("_found").isNull(), F.lit(NO_EMBEDDINGS))
+    return (j.withColumn("error", error).withColumn("optimal_clusters", F.coalesce("optimal_clusters", F.lit(1)))
+             .withColumn("negative_count", F.coalesce("negative_count", F.lit(0)))
+             .withColumn("has_negative", F.coalesce("has_negative", F.lit(False))).drop("_found"))
+
+
 # ---------------------------------------------------------------------------
 # cluster quality indices for given labels
 

@@ -9,13 +9,14 @@ vectors, S = sum u_i and G = sum u_i u_i^T:
 so mean and population standard deviation of the off-diagonal similarity
 matrix come without forming a single pair. The work is:
 
-1. group sizes (a count over the key columns), which give every group
+1. group sizes (a count that reads the key columns alone), which give every group
    ceil(n / bucket_rows) buckets; a row's bucket is a hash of its columns, so a
    group holding a third of all rows spreads over many tasks;
 2. one grouped pass per (group, bucket), at most about ``bucket_rows`` rows:
    a group of one bucket gives its final |S|^2 and |G|^2, one row; a bucket of a
    larger group gives n, nz, S and the upper triangle of G, so partial entries
    per group depend on its size and not on the number of partitions;
+   (each bucket also gives its vector length; two lengths in a group are an error);
 3. for larger groups, a grouped sum of the entries keyed by (group, entry), and
    a sum of squares per group.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # entry kinds in the partial table
-_N, _NZ, _S, _GDIAG, _GOFF, _S_SQ, _G_SQ = 0, 1, 2, 3, 4, 5, 6
+_N, _NZ, _S, _GDIAG, _GOFF, _S_SQ, _G_SQ, _DIM = 0, 1, 2, 3, 4, 5, 6, 7
 
 
 def _stack(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +88,9 @@ def _bucket_fn(vec_col: str, sparse_dim: int | None = None):
             x, norms = _stack(pdf["_vec"])
         u = unit_rows(x, norms)
         out = _entries(len(u), int((norms > 0).sum()), u.sum(axis=0), u.T @ u, int(pdf["_nb"].iloc[0]) == 1)
+        if x.shape[1]:  # 0: a bucket of null vectors only
+            out = pd.concat([out, pd.DataFrame({"kind": np.array([_DIM], np.int32), "k": [x.shape[1]], "v": [0.0]})],
+                            ignore_index=True)
         out["_g"] = pdf["_g"].iloc[0]
         return out[["_g", "kind", "k", "v"]]
 
@@ -109,11 +113,8 @@ def group_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
     # keys travel as one string per group; null keys are a group of their own
     group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     tagged = vectors.withColumn("_g", group)
-    n = F.count(F.lit(1))
-    if sparse_dim is None:
-        low, high = F.min(F.size(vec_col)), F.max(F.size(vec_col))
-        n = F.when(low != high, F.raise_error(F.lit("vectors of different lengths in one group"))).otherwise(n)
-    groups = tagged.groupBy("_g", *keys).agg(n.cast("long").alias("_n")).withColumn(
+    # the sizes need the key columns only, so that scan reads no vectors
+    groups = tagged.groupBy("_g", *keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_nb", F.ceil(F.col("_n") / F.lit(bucket_rows)).cast("int"))
     row = tagged.join(groups.select(F.col("_g").alias("_g2"), "_nb"), F.col("_g") == F.col("_g2")).withColumn(
         "_b", F.pmod(F.xxhash64(*vectors.columns), F.col("_nb")).cast("int"))
@@ -123,8 +124,11 @@ def group_moments(vectors: DataFrame, keys: Sequence[str] = ("model", "topic"),
         _bucket_fn(vec_col, sparse_dim), "_g string, kind int, k long, v double")
     entries = partial.groupBy("_g", "kind", "k").agg(F.sum("v").alias("v"))
     kind, v = F.col("kind"), F.col("v")
+    dim = F.when(kind == _DIM, F.col("k"))
+    n = F.when(F.min(dim) != F.max(dim), F.raise_error(F.lit("vectors of different lengths in one group"))).otherwise(
+        F.sum(F.when(kind == _N, v)))
     per_group = entries.groupBy("_g").agg(
-        F.sum(F.when(kind == _N, v)).cast("long").alias("n"),
+        n.cast("long").alias("n"),
         F.sum(F.when(kind == _NZ, v)).cast("long").alias("nz"),
         F.sum(F.when(kind == _S, v * v).when(kind == _S_SQ, v)).alias("s_sq"),
         F.sum(F.when(kind == _GDIAG, v * v).when(kind == _GOFF, 2 * v * v).when(kind == _G_SQ, v)).alias("g_sq"),

@@ -14,6 +14,8 @@ from ..session import scratch_path
 from ..sources import files, reports
 from . import views
 from .registry import oracle, register
+from .similarity_reports import MOMENTS_SQL, _WEIGHTED_SQL, _sql
+from .variance_reports import MOM
 from .views import with_views
 
 
@@ -105,7 +107,10 @@ def q_latest_results_file(spark, sf_dir):
     return files.read_results_json(spark, chosen)
 
 
-@register("central_csv_roundtrip", None, ["K6"])
+@register("central_csv_roundtrip", oracle(_sql(MOMENTS_SQL + """
+SELECT model, topic, mean_similarity AS mean_response_similarity, pairs AS pair_count
+FROM mom WHERE experiment = 'main'"""),
+    ["model", "topic", "mean_response_similarity", "pair_count"], ["mean_response_similarity"]), ["K6"])
 def q_central_csv_roundtrip(spark, sf_dir):
     """The per-model/per-topic table written as one CSV file and read back."""
     m = moments.group_moments(views.obs(spark, sf_dir).where(F.col("experiment") == "main"))
@@ -115,7 +120,20 @@ def q_central_csv_roundtrip(spark, sf_dir):
     return spark.read.schema(ppt.schema).option("header", True).csv(path)
 
 
-@register("benchmark_report", None, ["K7"])
+_HEAVY = "x IS NOT NULL AND w > 0"
+_BENCHMARK_SQL = _sql(_WEIGHTED_SQL + f""",
+mw AS (SELECT model, sum(x * w) FILTER ({_HEAVY}) / sum(w) FILTER ({_HEAVY}) AS s, count(*) FILTER ({_HEAVY}) AS c,
+         CAST(coalesce(sum(w) FILTER ({_HEAVY}), 0) AS BIGINT) AS p FROM ppt GROUP BY model),
+tw AS (SELECT topic, sum(x * w) FILTER ({_HEAVY}) / sum(w) FILTER ({_HEAVY}) AS s, count(*) FILTER ({_HEAVY}) AS c,
+         CAST(coalesce(sum(w) FILTER ({_HEAVY}), 0) AS BIGINT) AS p FROM ppt GROUP BY topic)
+SELECT '1_benchmark' AS section, 0 AS line_no, printf('Benchmark (mean of models'' weighted means): %.6f', avg(s)) AS text FROM mw
+UNION ALL SELECT '2_top_models', CAST(r AS INTEGER), printf('%s  %.6f  topics=%d  pairs=%d', model, s, c, p)
+FROM (SELECT *, row_number() OVER (ORDER BY s DESC NULLS LAST, model) AS r FROM mw) WHERE r <= 5
+UNION ALL SELECT '3_top_topics', CAST(r AS INTEGER), printf('%s  %.6f  models=%d  pairs=%d', topic, s, c, p)
+FROM (SELECT *, row_number() OVER (ORDER BY s DESC NULLS LAST, topic) AS r FROM tw) WHERE r <= 5""")
+
+
+@register("benchmark_report", oracle(_BENCHMARK_SQL, ["section", "line_no", "text"]), ["K7"])
 def q_benchmark_report(spark, sf_dir):
     """Benchmark summary text: benchmark line, top-5 models, top-5 topics."""
     m = moments.group_moments(views.obs(spark, sf_dir).where(F.col("experiment") == "main"))
@@ -176,7 +194,20 @@ def q_similarity_bundle_roundtrip(spark, sf_dir):
     return back.where(F.col("experiment") == "main").select("model", "topic", "n", "mean_similarity")
 
 
-@register("variance_report", None, ["K7", "A21", "W4"])
+_VARIANCE_SQL = _sql(MOM + """
+SELECT '1_control' AS section, 0 AS line_no, printf('Control (within-model) similarity across models: mean %.4f, std %.4f, min %.4f, max %.4f',
+  avg(mean_similarity), stddev_samp(mean_similarity), min(mean_similarity), max(mean_similarity)) AS text FROM cvar
+UNION ALL SELECT '2_persona', 0, printf('Persona (across-persona) similarity across models: mean %.4f, std %.4f, min %.4f, max %.4f',
+  avg(mean_similarity), stddev_samp(mean_similarity), min(mean_similarity), max(mean_similarity)) FROM pvar
+UNION ALL SELECT '3_most_consistent', CAST(r AS INTEGER), printf('%s: %.4f (std: %.4f)', model, mean_similarity, std_similarity)
+FROM (SELECT *, row_number() OVER (ORDER BY mean_similarity DESC, model) AS r FROM cvar) WHERE r <= 5
+UNION ALL SELECT '4_persona_minus_control', CAST(r AS INTEGER), printf('%s: Persona=%.4f, Control=%.4f, Diff=%.4f', model,
+  mean_similarity_persona, mean_similarity_control, mean_similarity_persona - mean_similarity_control)
+FROM (SELECT *, row_number() OVER (ORDER BY mean_similarity_persona - mean_similarity_control DESC, model) AS r FROM merged)
+WHERE r <= 5""")
+
+
+@register("variance_report", oracle(_VARIANCE_SQL, ["section", "line_no", "text"]), ["K7", "A21", "W4"])
 def q_variance_report(spark, sf_dir):
     """Variance report text: summary statistics per experiment, top-5 consistent,
     top-5 persona-minus-control."""
@@ -195,12 +226,78 @@ def q_variance_report(spark, sf_dir):
     return lines
 
 
-@register("analysis_summary", None, ["K7", "A25"])
-def q_analysis_summary(spark, sf_dir):
-    """Grand totals over groups: groups, groups with negative pairs, negative pairs."""
-    from ..operators import pairs
+_OUTCOMES_SQL = """,
+models AS (SELECT DISTINCT concat('vendor/', event_type) AS model FROM events),
+k AS (SELECT o.model, count(DISTINCT e.label) AS k FROM obs o JOIN embeddings e ON o.persona_id = CAST(e.vec_id AS VARCHAR)
+      WHERE o.experiment = 'main' GROUP BY o.model),
+pm AS (SELECT a.model, count(*) AS c FROM un a JOIN un b ON a.model = b.model AND a.experiment = b.experiment
+        AND a.persona_id < b.persona_id
+       WHERE a.experiment = 'main' AND list_dot_product(a.v, b.v) < 0 GROUP BY a.model),
+res AS (SELECT g.model, CAST(coalesce(k.k, 1) AS BIGINT) AS optimal_clusters, CAST(coalesce(pm.c, 0) AS BIGINT) AS negative_count,
+    CASE WHEN k.model IS NULL THEN 'No embeddings available' END AS error
+  FROM (SELECT model FROM models WHERE model IS NOT NULL UNION SELECT model FROM obs) g
+  LEFT JOIN k ON g.model = k.model LEFT JOIN pm ON g.model = pm.model)
+"""
+
+
+def _outcomes(spark, sf_dir):
+    """Given labels as clusters, negative pairs, and the models that have no embeddings at all."""
+    from ..operators import clusters, pairs
+    from ..sources.tables import table
 
     o = views.obs(spark, sf_dir).where(F.col("experiment") == "main")
-    lines = reports.analysis_summary(pairs.negative_summary(o))
+    lab = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("persona_id"), "label")
+    k = o.select("model", "persona_id").join(lab, "persona_id").groupBy("model").agg(
+        F.countDistinct("label").alias("optimal_clusters"))
+    neg = pairs.negative_summary(o, keys=["model"]).select("model", "negative_count", "has_negative")
+    every = views.models(spark, sf_dir).where(F.col("model").isNotNull()).union(
+        views.obs(spark, sf_dir).select("model")).distinct()
+    return clusters.group_outcomes(every, k.join(neg, "model", "left"), ["model"])
+
+
+@register("cluster_outcomes", oracle(_sql(_OUTCOMES_SQL + "SELECT * FROM res"),
+    ["model", "optimal_clusters", "negative_count", "error"]), ["C10"])
+def q_cluster_outcomes(spark, sf_dir):
+    """One row per model; a model without embeddings has an error and one cluster."""
+    return _outcomes(spark, sf_dir).select("model", "optimal_clusters", "negative_count", "error")
+
+
+@register("analysis_summary", oracle(_sql(_OUTCOMES_SQL + """
+SELECT '1_negatives' AS section, 0 AS line_no, printf('groups %d, groups with negative pairs %d, negative pairs %d',
+  count(*), count(*) FILTER (negative_count > 0), CAST(sum(negative_count) AS BIGINT)) AS text FROM res
+UNION ALL SELECT '2_clusters', 0, printf('groups clustered %d, clusters in total %d', count(*), CAST(sum(optimal_clusters) AS BIGINT))
+FROM res WHERE error IS NULL"""), ["section", "line_no", "text"]), ["K7", "A25"])
+def q_analysis_summary(spark, sf_dir):
+    """Grand totals over models: negative pairs of all, clusters of those without an error."""
+    r = _outcomes(spark, sf_dir)
+    lines = reports.analysis_summary(r, r.where(F.col("error").isNull()))
     reports.write_report(lines, scratch_path(spark, "analysis-summary"))
     return lines
+
+
+_TIERS = {  # case: (files to write, preferred word)
+    "final_before_incremental": (["run_final_b.json", "incremental_results_z.json", "notes.json"], None),
+    "incremental_alone": (["incremental_results_a.json", "notes.json"], None),
+    "preferred_word": (["results_a.json", "incremental_results_cleaned.json"], "cleaned"),
+    "preferred_word_absent": (["results_a.json", "run_final_b.json"], "cleaned"),
+}
+
+
+@register("results_file_tiers", oracle(with_views("""
+, c(tier_case, name) AS (VALUES ('final_before_incremental', 'run_final_b.json'), ('incremental_alone', 'incremental_results_a.json'),
+  ('preferred_word', 'incremental_results_cleaned.json'), ('preferred_word_absent', 'results_a.json'))
+SELECT tier_case, model, topic, CAST(count(*) AS BIGINT) AS answers, min(name || ': ' || response) AS first_answer
+FROM done, c GROUP BY tier_case, model, topic""", "done"),
+    ["tier_case", "model", "topic", "answers", "first_answer"]), ["S9", "S10"])
+def q_results_file_tiers(spark, sf_dir):
+    """Which file each tier rule chooses: every file holds all answers, marked with the file's name."""
+    d, out = views.done(spark, sf_dir), None
+    for case, (names, prefer) in _TIERS.items():
+        base = scratch_path(spark, "tiers")
+        for n in names:
+            files.write_results_json(d.withColumn("response", F.concat(F.lit(n + ": "), "response")), f"{base}/{n}")
+        back = files.read_results_json(spark, files.latest_results_file(spark, base, prefer))
+        part = back.groupBy("model", "topic").agg(F.count(F.lit(1)).alias("answers"), F.min("response").alias("first_answer")
+                                                  ).select(F.lit(case).alias("tier_case"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

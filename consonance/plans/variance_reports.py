@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import moments, variance
+from ..session import checkpoint_dir
 from . import views
 from .registry import oracle, register
 from .similarity_reports import _sql
@@ -53,7 +54,10 @@ merged AS (
 
 
 def _moments_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments.group_moments(views.obs(spark, sf_dir), keys=("model", "topic", "experiment"))
+    """One row per group; read up to three times by a report, so built once and checkpointed."""
+    checkpoint_dir(spark)
+    m = moments.group_moments(views.obs(spark, sf_dir), keys=("model", "topic", "experiment"))
+    return m.checkpoint(eager=True)
 
 
 def _cvar(m: DataFrame) -> DataFrame:
@@ -271,7 +275,51 @@ def q_stacked_variance(spark, sf_dir):
         "model", "similarity", "std_similarity", "n_units", "avg_personas", "experiment")
 
 
-@register("comparison_tables", None, ["R7"])
+_CV_SQL = """, cv AS (
+  SELECT model, CASE WHEN c_pairs + m_pairs > 0 THEN (c_sum + m_sum) / (c_pairs + m_pairs) ELSE 0.0 END AS avg_similarity,
+    CASE WHEN c_pairs + m_pairs > 0 THEN sqrt(greatest((c_sum2 + m_sum2) / (c_pairs + m_pairs)
+       - ((c_sum + m_sum) / (c_pairs + m_pairs)) ^ 2, 0.0)) ELSE 0.0 END AS avg_variability,
+    (CASE WHEN c_pairs > 0 THEN c_sum / c_pairs ELSE 0.0 END)
+     - (CASE WHEN m_pairs > 0 THEN m_sum / m_pairs ELSE 0.0 END) AS sensitivity_gap FROM pool),
+bx AS (WITH""" + _BOX_SQL[1:] + """),
+med AS (SELECT median(control_mean) AS cmed, median(persona_mean) AS pmed FROM comp)"""
+
+# (table, key column, numeric fields, text fields), each with its SQL relation
+_TABLES = {
+    "comparison": ("model", ["control_mean", "persona_mean", "sensitivity_gap"], [],
+                   "(SELECT *, control_mean - persona_mean AS sensitivity_gap FROM comp)"),
+    "consistency_variability": ("model", ["avg_similarity", "avg_variability", "sensitivity_gap"], [], "cv"),
+    "zones": ("model", ["control_mean", "persona_mean", "sensitivity_gap"], ["zone", "is_ideal", "persona_label"],
+              """(SELECT model, control_mean, persona_mean, control_mean - persona_mean AS sensitivity_gap,
+  concat(CASE WHEN control_mean > cmed THEN 'hi' ELSE 'lo' END, '_', CASE WHEN persona_mean > pmed THEN 'hi' ELSE 'lo' END) AS zone,
+  control_mean > cmed AND NOT (persona_mean > pmed) AS is_ideal,
+  CASE WHEN control_mean - persona_mean > 0 THEN 'persona-aware' ELSE 'persona-agnostic' END AS persona_label FROM comp, med)"""),
+    "sensitivity_ranking": ("model", ["sensitivity_gap", "rank"], ["label", "persona_label"],
+                            """(SELECT model, regexp_extract(model, '[^/]*$') AS label, control_mean - persona_mean AS sensitivity_gap,
+  CASE WHEN control_mean - persona_mean > 0 THEN 'persona-aware' ELSE 'persona-agnostic' END AS persona_label,
+  row_number() OVER (ORDER BY control_mean - persona_mean, model) AS rank FROM comp)"""),
+    "box_stats": ("series", ["q1", "median", "q3", "mean", "whisker_low", "whisker_high", "outliers"], [], "bx"),
+    "metric_table": ("concat(model, ' ', metric)", ["value"], [],
+                     """(SELECT model, 'control_mean' AS metric, mean_similarity_control AS value FROM merged
+  UNION ALL SELECT model, 'control_std', std_similarity_control FROM merged
+  UNION ALL SELECT model, 'persona_mean', mean_similarity_persona FROM merged
+  UNION ALL SELECT model, 'persona_std', std_similarity_persona FROM merged)"""),
+}
+
+
+def _table_values_sql() -> str:
+    parts = []
+    for name, (key, nums, texts, rel) in _TABLES.items():
+        parts += [f"SELECT '{name}' AS tab, {key} AS row_key, '{c}' AS field, CAST({c} AS DOUBLE) AS num,"
+                  f" CAST(NULL AS VARCHAR) AS txt FROM {rel}" for c in nums]
+        parts += [f"SELECT '{name}', {key}, '{c}', NULL, CAST({c} AS VARCHAR) FROM {rel}" for c in texts]
+    return oracle(_sql(MOM + _CV_SQL + "\n" + "\nUNION ALL ".join(parts)),
+                  ["tab", "row_key", "field", "num", "txt"], ["num"])
+
+
+@register("comparison_tables", oracle(_sql(MOM + _CV_SQL + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", CAST(count(*) AS BIGINT) AS \"rows\" FROM {rel}"
+    for name, (_k, _n, _t, rel) in _TABLES.items())), ['"table"', '"rows"']), ["R7"])
 def q_comparison_tables(spark, sf_dir):
     """All chart-ready comparison tables built in one call; one row per table with its size."""
     tables = variance.comparison_tables(_moments_both(spark, sf_dir))
@@ -280,3 +328,19 @@ def q_comparison_tables(spark, sf_dir):
         part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@register("comparison_table_values", _table_values_sql, ["R7"])
+def q_comparison_table_values(spark, sf_dir):
+    """Every value of every chart-ready table, one row per (table, row, field)."""
+    tables = variance.comparison_tables(_moments_both(spark, sf_dir))
+    out = None
+    for name, df in tables.items():
+        key, nums, texts, _rel = _TABLES[name]
+        cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("num"),
+                                   F.lit(None).cast("string").alias("txt")) for c in nums],
+                        *[F.struct(F.lit(c).alias("field"), F.lit(None).cast("double").alias("num"),
+                                   F.col(c).cast("string").alias("txt")) for c in texts])
+        part = df.select(F.lit(name).alias("tab"), F.expr(key).alias("row_key"), F.inline(cells))
+        out = part if out is None else out.unionByName(part)
+    return out
