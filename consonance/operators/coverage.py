@@ -164,6 +164,22 @@ def final_report(results: DataFrame, expected: DataFrame, elapsed_seconds: float
     return out
 
 
+def grades_by(results: DataFrame, expected: DataFrame, by: Sequence[str], ok_col: str = "success") -> DataFrame:
+    """Per ``by`` group of the expected tasks: completed and successful tasks, coverage, success rate and grade.
+
+    A task with several rows counts once, as a success if any of them is one
+    (null: not a success); results outside the expected tasks do not count.
+    """
+    by = list(by)
+    got = results.groupBy(*KEYS).agg(F.max(F.coalesce(F.col(ok_col), F.lit(False))).alias("_ok"))
+    j = expected.select(*KEYS).distinct().join(got, KEYS, "left")
+    g = j.groupBy(*by).agg(F.count(F.lit(1)).alias("expected"), F.count("_ok").alias("completed"),
+                           F.count_if(F.coalesce("_ok", F.lit(False))).alias("successful"))
+    rate = F.when(F.col("completed") > 0, F.col("successful") / F.col("completed")).otherwise(F.lit(0.0))
+    g = g.withColumn("coverage_pct", F.col("completed") * 100.0 / F.col("expected")).withColumn("success_rate", rate)
+    return g.withColumn("grade", coverage_grade(F.col("coverage_pct"), F.col("success_rate")))
+
+
 def batch_summary(attempts: DataFrame, batch_col: str = "batch") -> DataFrame:
     """Per batch: successes (valid ones when answer text is present), failed, tokens."""
     ok = F.coalesce(F.col("success"), F.lit(False))

@@ -13,4 +13,5 @@ from . import io_reports  # noqa: F401
 from . import inference_reports  # noqa: F401
 from . import stream_reports  # noqa: F401
 from . import replay_reports  # noqa: F401
+from . import branch_reports  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
