@@ -148,6 +148,23 @@ def replay(log: DataFrame, max_retries: int = 3, seq_col: str = "seq") -> DataFr
     return a.withColumn("stage", stage).withColumn("kept", F.col("attempt") == F.coalesce("_done", F.lit(1))).drop("_done")
 
 
+def control_replay(log: DataFrame, repetitions: int = 10, seq_col: str = "seq") -> DataFrame:
+    """The control run over an answer log: per model, the logged answers to one prompt are its repetitions.
+
+    The prompt is the first topic (by name) of the whole log and, per model, its
+    smallest numeric persona id there; the r-th answer by ``seq_col`` gets the id
+    ``<persona>_rep<r>``, at most ``repetitions`` of them (the number is the
+    feature). A model without an answer to that topic has no rows.
+    """
+    num = F.col("persona_id").cast("bigint")
+    at = log.where(F.col("topic") == log.agg(F.min("topic")).scalar())
+    first = at.groupBy("model").agg(F.min(num).alias("_first"))
+    rows = at.join(first, "model").where(num == F.col("_first"))
+    r = F.row_number().over(Window.partitionBy("model").orderBy(seq_col))
+    rows = rows.withColumn("_rep", r).where(F.col("_rep") <= repetitions)
+    return rows.withColumn("persona_id", F.concat("persona_id", F.lit("_rep"), F.col("_rep").cast("string"))).drop("_first", "_rep")
+
+
 def resume(tasks: DataFrame, existing: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Answer only the tasks without an existing answer and merge; an existing answer wins."""
     return merge_results(existing, answer(missing_tasks(tasks, existing)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.validity import PLACEHOLDER
-from ..operators import coverage, inference
+from ..operators import central, coverage, inference, text_vectors
 from ..session import scratch_path
 from ..sources import files
 from . import views
@@ -106,3 +106,42 @@ def q_snapshot_metadata(spark, sf_dir):
     meta, _rows = files.read_snapshot(spark, path)
     return meta.select("stage", "batch_number", "total_batches", "incremental_counter", "progress_percentage",
                        "success_rate", "total_requests", "successful_requests").distinct()
+
+
+def _ranking_sql() -> str:
+    from .text_reports import _PAIR_SQL, _tfidf_sql
+
+    logged = with_views(_RUN + f""",
+ answers AS (SELECT t.model, t.topic, t.persona_id,
+    CASE WHEN u.attempt IS NULL THEN {sql_text(PLACEHOLDER)} ELSE u.response END AS response
+  FROM log_tasks t LEFT JOIN (SELECT * FROM used WHERE kept) u
+    ON t.model = u.model AND t.topic = u.topic AND t.persona_id = u.persona_id)""", "attempts")
+    vectors = _tfidf_sql(", mo AS (" + _PAIR_SQL[len(", "):].join(["WITH ", ")"]) + f"""
+SELECT model, sum(mean_similarity * pairs) FILTER ({_COUNTED}) / sum(pairs) FILTER ({_COUNTED}) AS weighted_mean_similarity,
+  CAST(count(*) FILTER ({_COUNTED}) AS BIGINT) AS topics_count,
+  CAST(coalesce(sum(pairs) FILTER ({_COUNTED}), 0) AS BIGINT) AS total_pairs FROM mo GROUP BY model""")
+    return oracle(logged + ",\n" + vectors[vectors.index("tok AS"):],
+                  ["model", "weighted_mean_similarity", "topics_count", "total_pairs"], ["weighted_mean_similarity"])
+
+
+_COUNTED = "mean_similarity IS NOT NULL AND pairs > 0"
+
+
+@register("replayed_main_ranking", _ranking_sql, ["R6", "A5"])
+def q_replayed_main_ranking(spark, sf_dir):
+    """The main run on the log: rounds, recovery and placeholders, then TF-IDF, similarity and the models' ranking."""
+    ans = _final(views.attempts(spark, sf_dir), log_tasks(spark, sf_dir))
+    m = text_vectors.answer_moments(ans, None, force_tfidf=True)
+    return central.model_overall_weighted(central.per_model_per_topic(m))
+
+
+@register("replayed_control", oracle(with_views("""
+, f AS (SELECT model, min(struct_pack(t := topic, p := CAST(persona_id AS BIGINT))) AS k FROM attempts
+        WHERE topic = (SELECT min(topic) FROM attempts) GROUP BY model)
+SELECT a.model, a.topic, a.persona_id || '_rep' || CAST(row_number() OVER (PARTITION BY a.model ORDER BY a.seq) AS VARCHAR) AS persona_id,
+  a.response FROM attempts a JOIN f ON a.model = f.model AND a.topic = f.k.t AND CAST(a.persona_id AS BIGINT) = f.k.p
+QUALIFY row_number() OVER (PARTITION BY a.model ORDER BY a.seq) <= 10""", "attempts"),
+    ["model", "topic", "persona_id", "response"]), ["R5", "P8"])
+def q_replayed_control(spark, sf_dir):
+    """The control run on the log: each model's answers to its first persona of the first topic are the repetitions."""
+    return inference.control_replay(views.attempts(spark, sf_dir), 10).select("model", "topic", "persona_id", "response")
