@@ -207,3 +207,36 @@ def test_encoder_fallback(spark):
     assert tfidf < 0.9
     for m in (text_vectors.answer_moments(df, encoder, force_tfidf=True), text_vectors.answer_moments(df, absent)):
         assert m.collect()[0]["mean_similarity"] == pytest.approx(tfidf)
+
+
+def test_nearest_is_exact_on_ties_and_close_distances():
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, 1, (500, 5)), np.repeat(rng.normal(0, 1, (3, 5)), 4, axis=0)])
+    c = np.vstack([x[:3], x[:3], x[0] + 1e-12, x[-1]])
+    assert (clusters._nearest(x, c) == ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)).all()
+
+
+def test_every_start_of_a_group_has_a_task_of_its_own(spark, monkeypatch):
+    """All starts in one task per group (and groups that AQE puts together) left the other cores idle."""
+    x = np.random.default_rng(5).normal(0, 1, (30, 2))
+    df = spark.createDataFrame([(g, f"{i}", [float(a) for a in v]) for g in "ab" for i, v in enumerate(x)],
+                               "grp string, persona_id string, scaled array<double>")
+    used = {}
+    kept = type(df).repartitionById
+    monkeypatch.setattr(type(df), "repartitionById", lambda self, n, c: used.update(
+        n=n, rows=kept(self, n, c).groupBy(F.spark_partition_id().alias("p")).agg(
+            F.countDistinct("grp", "_start").alias("units")).collect()) or kept(self, n, c))
+    labels, ll, _ = clusters.fit_groups(df, ["grp"], [2, 3], n_init=3)
+    assert used["n"] == 6 and [r["units"] for r in used["rows"]] == [1] * 6
+    assert labels.where("method = 'gmm'").count() == 2 * 2 * 30 and ll.count() == 4
+
+
+def test_labels_of_a_sweep_are_not_fitted_again(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(0, 1, (20, 2))
+    df = spark.createDataFrame([("g", f"{i}", [float(a) for a in v]) for i, v in enumerate(x)],
+                               "grp string, persona_id string, scaled array<double>")
+    m, fitted = clusters.sweep(df, ["grp"], 3, n_init=clusters.N_INIT, with_fits=True)
+    best = clusters.choose_k(m, ["grp"])
+    again = {tuple(r) for r in clusters.robust_labels(df, ["grp"], best).collect()}
+    monkeypatch.setattr(clusters, "fit_groups", None)
+    assert {tuple(r) for r in clusters.robust_labels(df, ["grp"], best, fitted=fitted).collect()} == again
