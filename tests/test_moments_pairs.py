@@ -113,3 +113,23 @@ def test_different_lengths_are_an_error(spark):
                                "model string, topic string, persona_id string, embedding array<double>")
     with pytest.raises(Exception, match="different lengths"):
         moments.group_moments(df).collect()
+
+
+def test_gram_stripes_of_large_groups(spark):
+    """Buckets of a large group send stripes of G, not an entry a row; the squares stay those of all pairs."""
+    from consonance.operators import moments
+
+    rng = np.random.default_rng(3)
+    for d in (1, 31, 32, 33, 64, 70):
+        x = rng.normal(0, 1, (50, d))
+        rows = [("m", "t", str(i), [float(a) for a in v]) for i, v in enumerate(x)] + [("m", "t", "none", None), ("m", "u", "a", [1.0] * d)]
+        df = spark.createDataFrame(rows, "model string, topic string, persona_id string, embedding array<double>")
+        got = {r["topic"]: r for r in moments.group_moments(df, bucket_rows=8).collect()}
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        s = (u @ u.T)[np.triu_indices(50, 1)]
+        assert got["t"]["n"] == 51 and got["t"]["nz"] == 50 and got["u"]["mean_similarity"] is None
+        assert abs(got["t"]["sum_s"] - s.sum()) < 1e-8 and abs(got["t"]["sum_s2"] - (s * s).sum()) < 1e-8
+    e = moments._entries(9, 9, np.ones(1000), np.ones((1000, 1000)), False)
+    assert len(e) == 1 + -(-1000 // moments.STRIPE)
+    total = sum(moments._square_of_sum(int(k), [m]) for k, m in zip(e["k"], e["m"]) if k >= 0)
+    assert total == 1000 * 1000
