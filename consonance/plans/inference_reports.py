@@ -116,14 +116,13 @@ def q_control_experiment(spark, sf_dir):
 @register("main_run_ranking", None, ["R6"])
 def q_main_run_ranking(spark, sf_dir):
     """Prompts -> grid -> answers (retries) -> per-group TF-IDF -> similarity -> model ranking."""
-    from ..operators import pairs
-
     t = grid.task_grid(_prompts(spark, sf_dir), views.models(spark, sf_dir))
     att = inference.run_with_retries(t, lambda: inference.template_answerer(5), 3)
-    ans = inference.final_answers(t, att)
+    # the vocabulary, the weights and the sizes read the answers: merged once
+    ans = inference._persist_round(inference.final_answers(t, att), "answers")
     w = text_vectors.tfidf_weights(ans)
-    vec = text_vectors.sparse_vectors(w, None)
     sizes = ans.groupBy("model", "topic").count().withColumnRenamed("count", "n")
-    m = pairs.pair_moments(vec, vec_col="vec", sparse_dim=1000, sizes=sizes)
+    # pairs of small groups, the closed form of large ones: all pairs would grow with the square of the personas
+    m = text_vectors.tfidf_similarity_moments(w, sizes)
     ppt = central.per_model_per_topic(m)
     return central.model_overall_weighted(ppt)

@@ -59,3 +59,48 @@ def test_request_plans_cover_every_topic(spark):
     assert sorted(plans.select(keys).collect()) == sorted(tasks.select(keys).collect())
     assert plans.select("topic").distinct().count() > 1
     assert "request_plans" in e.oracle_sql()
+
+
+def test_main_run_ranking_takes_large_groups_without_pairs(spark, monkeypatch):
+    """Pairs of every group of the main run grew with the square of the personas."""
+    import functools
+
+    from consonance.operators import central, inference, pairs, text_vectors
+    from consonance.plans import inference_reports
+
+    rows = [(m, "t", str(i), f"alpha beta word{i % 3} {m} item{i}", True, 1, False) for m in ("v/a", "v/b") for i in range(9)]
+    ans = spark.createDataFrame(rows, "model string, topic string, persona_id string, response string, success boolean, "
+                                      "tokens int, placeholder boolean")
+    sizes = ans.groupBy("model", "topic").count().withColumnRenamed("count", "n")
+    vec = text_vectors.sparse_vectors(text_vectors.tfidf_weights(ans), None)
+    m = pairs.pair_moments(vec, vec_col="vec", sparse_dim=1000, sizes=sizes)
+    want = {r["model"]: r for r in central.model_overall_weighted(central.per_model_per_topic(m)).collect()}
+    monkeypatch.setattr(inference_reports.grid, "task_grid", lambda *a: None)
+    monkeypatch.setattr(inference_reports, "_prompts", lambda *a: None)
+    monkeypatch.setattr(inference_reports.views, "models", lambda *a: None)
+    monkeypatch.setattr(inference, "run_with_retries", lambda *a: None)
+    monkeypatch.setattr(inference, "final_answers", lambda *a: ans)
+    monkeypatch.setattr(pairs, "pair_moments", None)
+    monkeypatch.setattr(text_vectors, "tfidf_similarity_moments",
+                        functools.partial(text_vectors.tfidf_similarity_moments, pair_max=5))
+    got = {r["model"]: r for r in inference_reports.q_main_run_ranking(spark, "").collect()}
+    assert set(got) == set(want) == {"v/a", "v/b"}
+    for k, r in got.items():
+        for c, v in r.asDict().items():
+            assert v == want[k][c] or abs(v - want[k][c]) < 1e-9
+
+
+def test_personas_are_dealt_out_before_they_multiply(spark, tmp_path):
+    """The customer table is one small split; its rows become topics x models tasks each."""
+    from pyspark.sql import functions as F
+
+    from consonance.plans import views
+
+    d = str(tmp_path)
+    spark.sql("SELECT id AS c_custkey, 0 AS c_nationkey, 'X' AS c_mktsegment, concat('c', id) AS c_name FROM range(200)").coalesce(
+        1).write.parquet(f"{d}/customer.parquet")
+    spark.sql("SELECT 0 AS n_nationkey, 0 AS n_regionkey, 'N' AS n_name").write.parquet(f"{d}/nation.parquet")
+    spark.sql("SELECT 0 AS r_regionkey, 'R' AS r_name").write.parquet(f"{d}/region.parquet")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = views.personas(spark, d)
+    assert p.count() == 200 and n > 1 and p.select(F.spark_partition_id()).distinct().count() == n
