@@ -64,3 +64,22 @@ def test_null_vectors_labels_and_empty(spark):
     got = bs.silhouette(spark.createDataFrame(rows, SCHEMA), ["grp"])[0].collect()[0]["silhouette"]
     assert abs(got - brute(plain)["g"]) < 1e-9
     assert bs.silhouette(spark.createDataFrame([], SCHEMA), ["grp"])[0].collect() == []
+
+
+def test_copies_of_a_row_do_not_grow_with_its_cluster(spark, monkeypatch):
+    """Blocks of a fixed size sent every row once per block of the other side: the square of the cluster."""
+    from pyspark.sql import functions as F
+
+    from consonance.operators import bounded_silhouette as b
+
+    rows = [(n, -(-n // 1024)) for n in (1, 1024, 1025, 8192, 48_000, 262_144, 10_000_000)]
+    got = [r[0] for r in spark.createDataFrame(rows, "n long, old long").select(b._blocks(F.col("n"), 1024)).collect()]
+    assert got[:4] == [1, 1, 2, 8] and got[4:6] == [8, 8] and got[6] == -(-10_000_000 // (32 * 1024))
+    # large blocks, and distances in parts, give the same mean
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([("g", f"{i}", str(i % 3), [float(a) for a in v + i % 3]) for i, v in enumerate(rng.normal(0, 1, (120, 4)))],
+                               "g string, persona_id string, cluster string, scaled array<double>")
+    want = b.silhouette(df, ["g"])[0].collect()[0]["silhouette"]
+    monkeypatch.setattr(b, "CELL", 100)
+    for size in (2, 7):
+        assert abs(b.silhouette(df, ["g"], block_size=size)[0].collect()[0]["silhouette"] - want) < 1e-9
