@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -136,3 +137,14 @@ def test_coalesce_equals_brute_force(widths_a, widths_b, shift):
     cover = Counter(x for s, e in [*zip(starts_a, ends_a), *zip(starts_b, ends_b)] for x in range(s + 1, e))
     cuts = {int(s) for s in [*starts_a, *starts_b] if not cover[int(s)]}
     assert len(set(ga) | set(gb)) == len(cuts)
+
+
+def test_texts_of_a_batch_become_strings_a_run_at_a_time():
+    texts = ["é" * 400, None, "", "b" * 700, "c" * 5000, "d"] * 300
+    got = list(M.slices(pa.array(texts), 1000))
+    assert [t for _, _, part, _ in got for t in part] == texts
+    assert [i for i, *_ in got] == [0, *(j for _, j, *_ in got[:-1])]
+    assert all(chars == sum(len(t or "") for t in part) for *_, part, chars in got)
+    assert all(chars <= 1000 or len(part) == 1 for *_, part, chars in got)
+    # two workers share an executor's 1.2 GB outside the heap: arrays of some 100 bytes a character, each
+    assert max(chars for *_, chars in M.slices(pa.array(["x" * 1000] * 4000))) <= 1 << 19
