@@ -83,3 +83,13 @@ def test_copies_of_a_row_do_not_grow_with_its_cluster(spark, monkeypatch):
     monkeypatch.setattr(b, "CELL", 100)
     for size in (2, 7):
         assert abs(b.silhouette(df, ["g"], block_size=size)[0].collect()[0]["silhouette"] - want) < 1e-9
+
+
+def test_bounds_are_taken_once_per_point_and_cluster(spark):
+    from consonance.operators import bounded_silhouette
+
+    df = spark.createDataFrame([("g", str(i), str(i % 3), [float(i), 1.0]) for i in range(9)],
+                               "k string, persona_id string, cluster string, scaled array<double>")
+    plan = bounded_silhouette.candidates(df, ["k"])._jdf.queryExecution().optimizedPlan().toString().lower()
+    # inlined into the filter, the distance would be computed again for every cluster and use of it
+    assert plan.replace("_", "").count("zipwith(") == 1
