@@ -291,13 +291,20 @@ FROM done, c GROUP BY tier_case, model, topic""", "done"),
     ["tier_case", "model", "topic", "answers", "first_answer"]), ["S9", "S10"])
 def q_results_file_tiers(spark, sf_dir):
     """Which file each tier rule chooses: every file holds all answers, marked with the file's name."""
-    d, out = views.done(spark, sf_dir), None
+    # all files hold the same answers: they are grouped into documents once
+    groups, out = scratch_path(spark, "tier-groups"), None
+    files.answer_groups(views.done(spark, sf_dir)).write.parquet(groups)
+    d = spark.read.parquet(groups)
     for case, (names, prefer) in _TIERS.items():
         base = scratch_path(spark, "tiers")
         for n in names:
-            files.write_results_json(d.withColumn("response", F.concat(F.lit(n + ": "), "response")), f"{base}/{n}")
-        back = files.read_results_json(spark, files.latest_results_file(spark, base, prefer))
-        part = back.groupBy("model", "topic").agg(F.count(F.lit(1)).alias("answers"), F.min("response").alias("first_answer")
-                                                  ).select(F.lit(case).alias("tier_case"), "*")
+            marked = F.transform("entries", lambda e: F.struct(
+                e["persona_id"].alias("persona_id"), F.concat(F.lit(n + ": "), e["response"]).alias("response")))
+            files.write_results_json(d.withColumn("entries", marked), f"{base}/{n}")
+        back = files.read_results_json(spark, files.latest_results_file(spark, base, prefer), maps=True)
+        # a document's answers are counted and compared where they are parsed
+        per = back.select("model", "topic", F.size("answers").alias("n"), F.array_min(F.map_values("answers")).alias("first"))
+        part = per.groupBy("model", "topic").agg(F.sum("n").alias("answers"), F.min("first").alias("first_answer")
+                                                 ).select(F.lit(case).alias("tier_case"), "*")
         out = part if out is None else out.unionByName(part)
     return out

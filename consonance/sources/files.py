@@ -190,8 +190,8 @@ def read_answers_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def nested_documents(answers: DataFrame, max_per_doc: int = 10_000) -> DataFrame:
-    """Results documents {model: {topic: {persona_id: response}}}, one per line.
+def answer_groups(answers: DataFrame, max_per_doc: int = 10_000) -> DataFrame:
+    """The answers of each results document: (model, topic, entries ARRAY<STRUCT<persona_id, response>>).
 
     A (model, topic) group larger than ``max_per_doc`` answers is split over
     several documents by a hash of the persona id (the reader unions them), so
@@ -201,36 +201,46 @@ def nested_documents(answers: DataFrame, max_per_doc: int = 10_000) -> DataFrame
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_per_doc))).cast("long")
     b = answers.join(sizes, ["model", "topic"]).withColumn(
         "_doc", F.pmod(F.xxhash64("persona_id"), nb))
-    inner = b.groupBy("model", "topic", "_doc").agg(
-        F.map_from_entries(F.collect_list(F.struct("persona_id", "response"))).alias("m"))
-    return inner.select(F.to_json(F.create_map(F.col("model"), F.create_map(F.col("topic"), F.col("m"))))
-                        .alias("value"))
+    inner = b.groupBy("model", "topic", "_doc").agg(F.collect_list(F.struct("persona_id", "response")).alias("entries"))
+    return inner.select("model", "topic", "entries")
+
+
+def nested_documents(answers: DataFrame, max_per_doc: int = 10_000) -> DataFrame:
+    """Results documents {model: {topic: {persona_id: response}}}, one per line, of answers or of their ``answer_groups``."""
+    groups = answers if "entries" in answers.columns else answer_groups(answers, max_per_doc)
+    m = F.map_from_entries("entries")
+    return groups.select(F.to_json(F.create_map(F.col("model"), F.create_map(F.col("topic"), m))).alias("value"))
 
 
 def write_results_json(answers: DataFrame, path: str) -> None:
-    """Results documents, one per line, readable by ``read_results_json``."""
+    """Results documents, one per line, readable by ``read_results_json`` (``answers``: rows, or their ``answer_groups``)."""
     nested_documents(answers).write.mode("overwrite").text(path)
 
 
-def _flatten(doc: DataFrame, map_col: str) -> DataFrame:
+def _answer_maps(doc: DataFrame, map_col: str) -> DataFrame:
     m = doc.select(F.explode(map_col).alias("model", "topics"))
-    t = m.select("model", F.explode("topics").alias("topic", "answers"))
-    return t.select("model", "topic", F.explode("answers").alias("persona_id", "response"))
+    return m.select("model", F.explode("topics").alias("topic", "answers"))
 
 
-def read_results_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+def _flatten(doc: DataFrame, map_col: str) -> DataFrame:
+    return _answer_maps(doc, map_col).select("model", "topic", F.explode("answers").alias("persona_id", "response"))
+
+
+def read_results_json(spark: SparkSession, path: str, whole_files: bool = False, maps: bool = False) -> DataFrame:
     """Rows (model, topic, persona_id, response) of results documents.
 
+    With ``maps``, one row (model, topic, answers MAP<persona_id, response>) per
+    document and topic instead.
+
     Accepts a bare results map or a document with a top-level ``results`` key
     (snapshot layout). Documents are one per line, or one per file with
     ``whole_files`` (pretty-printed files).
     """
     raw = spark.read.text(path, wholetext=whole_files)
-    top_keys = F.map_keys(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
-    is_doc = F.coalesce(F.array_contains(top_keys, "results"), F.lit(False))
+    is_doc = F.coalesce(F.array_contains(F.json_object_keys("value"), F.lit("results")), F.lit(False))
     doc = raw.select(F.when(is_doc, F.from_json("value", SNAPSHOT)["results"])
                      .otherwise(F.from_json("value", RESULTS_MAP)).alias("results"))
-    return _flatten(doc.where(F.col("results").isNotNull()), "results")
+    return (_answer_maps if maps else _flatten)(doc, "results")  # null documents explode to nothing
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

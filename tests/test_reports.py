@@ -104,3 +104,19 @@ def test_personas_are_dealt_out_before_they_multiply(spark, tmp_path):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     p = views.personas(spark, d)
     assert p.count() == 200 and n > 1 and p.select(F.spark_partition_id()).distinct().count() == n
+
+
+def test_grouped_answers_give_the_same_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from consonance.sources import files
+
+    rows = [("m", f"t{i % 2}", str(i), None if i == 7 else f"answer {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "model string, topic string, persona_id string, response string")
+    groups = files.answer_groups(df, max_per_doc=10)
+    assert groups.count() > 2
+    files.write_results_json(groups, str(tmp_path / "a"))
+    assert sorted(map(tuple, files.read_results_json(spark, str(tmp_path / "a")).collect()), key=str) == sorted(rows, key=str)
+    maps = files.read_results_json(spark, str(tmp_path / "a"), maps=True)
+    got = maps.groupBy("model", "topic").agg(F.sum(F.size("answers")).alias("n"), F.min(F.array_min(F.map_values("answers"))).alias("f"))
+    assert sorted(map(tuple, got.collect())) == [("m", "t0", 25, "answer 0"), ("m", "t1", 25, "answer 1")]
