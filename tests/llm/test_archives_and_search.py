@@ -197,3 +197,30 @@ def test_registered(spark):
     names = registry.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_read_back_hashes_a_response_twice(monkeypatch):
+    http = b"HTTP/1.0 200 OK\r\nX-Page-Id: 7\r\n\r\n" + b"body" * 500
+    recs = list(A.parse_arc(_arc(1, [("http://a", "text/html", http)])))
+    warc = gzip.compress(b"".join(A.warc_record(r, "x.arc", None) for r in recs[1:]))
+    calls, digest = [], A._digest
+    monkeypatch.setattr(A, "_digest", lambda data: calls.append(len(data)) or digest(data))
+    batch = A.pa.RecordBatch.from_pydict({"content": [warc]})
+    row = next(A._read(A.KEY_HEADER)(iter([batch]))).to_pylist()[0]
+    assert calls == [len(http), 2000] and row["payload_digest"] == hashlib.sha1(b"body" * 500).hexdigest()
+    bad = warc[:0] + gzip.compress(gzip.decompress(warc).replace(b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: sha1:Z", 1))
+    with pytest.raises(ValueError, match="payload digest"):
+        list(A._read(A.KEY_HEADER)(iter([A.pa.RecordBatch.from_pydict({"content": [bad]})])))
+
+
+def test_archives_are_written_at_the_cheap_level(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(400)]
+    data = (" ".join(rng.choices(words, k=60_000)) + "\n").encode()
+    df = spark.createDataFrame([(bytearray(data),)], "content binary")
+    A.write_archives(df, str(tmp_path / "a"), "\n")
+    got = max((f.read_bytes() for f in (tmp_path / "a").glob("*.gz")), key=len)
+    assert A._gunzip(got) == data
+    assert len(got) > 1.02 * len(gzip.compress(data, 6))
