@@ -236,3 +236,26 @@ def test_secret_first_examples_by_hash(spark, monkeypatch):
     want = [r.x for r in ex.orderBy("h", "x").limit(20).collect()]
     assert [r.x for r in X._first(ex, 3000).collect()] == want
     assert [r.x for r in X._first(ex, 10 ** 9).collect()] == want and X._first(ex.limit(5), 5).count() == 5
+
+
+def test_secret_fit_reads_every_document(spark):
+    """Labelled findings in documents that come last by the hash of their ids, behind 20,000 others."""
+    ids = [r.id for r in spark.range(20_060).orderBy(X.F.xxhash64("id"), "id").collect()]
+    rows = [(i, f"see token: {i:024x} here" if k >= 20_000 else f"see item{i:09d} here") for k, i in enumerate(ids)]
+    net = X.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert net is not None and set(net.thresholds) >= {None}
+
+
+def test_secret_fit_is_that_of_the_rows(spark, monkeypatch):
+    """Several rounds of several parts, whatever the partitions; slices and parts leave no document out."""
+    monkeypatch.setattr(X, "SLICE", 64)
+    assert [(a, k) for a, _, k in X._rounds(1000)] == [(0, 1), (0.064, 4), (0.32, 11)] and X._rounds(1000)[-1][1] == 1
+    rng = np.random.default_rng(0)
+    rows = [(i if i % 50 else None, "token = " + "".join(rng.choice(list("0123456789abcdef"), 24)) if i % 4 == 0 else
+             f"call {rng.integers(10 ** 15, 10 ** 16)} or https://host.example/{i:05d} then") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = X.train(df.repartition(3)), X.train(df.orderBy(X.F.desc("text")).coalesce(1))
+    assert all(np.array_equal(p, q) for p, q in zip(X._params(a), X._params(b)))
+    assert (a.slope, a.shift, a.thresholds) == (b.slope, b.shift, b.thresholds)
+    x = np.concatenate([v[y == 1] for v, y, _ in X._examples([r[1] for r in rows])])
+    assert (a.probability(x) >= a.thresholds[None]).mean() >= 0.95
