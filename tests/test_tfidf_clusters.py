@@ -240,3 +240,13 @@ def test_labels_of_a_sweep_are_not_fitted_again(spark, monkeypatch):
     again = {tuple(r) for r in clusters.robust_labels(df, ["grp"], best).collect()}
     monkeypatch.setattr(clusters, "fit_groups", None)
     assert {tuple(r) for r in clusters.robust_labels(df, ["grp"], best, fitted=fitted).collect()} == again
+
+
+def test_tfidf_shuffles_texts_not_term_counts(spark, capsys):
+    """What is counted per document stays where its text was dealt to: counts, the vocabulary join and the norm need no other shuffle."""
+    df = spark.createDataFrame(DOCS, "model string, topic string, persona_id string, response string")
+    text_vectors.tfidf_weights(df).explain("simple")
+    plan = capsys.readouterr().out
+    by_document = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "persona_id" in x]
+    assert by_document and all("REPARTITION_BY" in x for x in by_document)
+    assert "BroadcastExchange" in plan
