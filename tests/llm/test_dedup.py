@@ -317,3 +317,26 @@ def test_line_dedup_of_short_lines_with_production_parameters(spark):
     rows = [(i, "\n".join(lines[i * 8:i * 8 + 8])) for i in range(100)]
     out = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in out), key=str) == brute_lines(rows)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """The shuffles behind a written table stayed on disk until the driver collected its garbage."""
+    import time
+
+    from consonance.llm.common import _CLEANUP, written
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, set_before = shuffles(), spark.conf.get(_CLEANUP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("c"))
+    t = written(df, "test-shuffles")
+    end = time.time() + 30
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert sorted(map(tuple, t.collect())) == [(i, 143 if i < 6 else 142) for i in range(7)]
+    assert spark.conf.get(_CLEANUP, None) == set_before
