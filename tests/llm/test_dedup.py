@@ -319,6 +319,23 @@ def test_line_dedup_of_short_lines_with_production_parameters(spark):
     assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in out), key=str) == brute_lines(rows)
 
 
+def test_shingles_of_latin_words_take_the_short_way_and_stay_the_same(spark):
+    """Words with accents went through the class of all word characters, several times a shingle."""
+    rng = random.Random(5)
+    chars = "abcé ñß  \t\x0b \u0085 日か😀.,-xyz"
+    rows = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    rows += ["áb" * 30 + " " + "x" * 17 + "\t" + "cióncoesí las, esueíga", " " * 50, "a" * 8 + "日" + "b" * 9 + " ", "abc ", "ab\r"]
+    word = f"[^{L._BLANKS}{L._DENSE}]"
+    n = L.SHINGLE_CHARS
+    plain = rf"(?=((?s:.{{1,{n}}})))(?:[!-~]{{1,{n}}}+(?!{word})|[{L._DENSE}]|{word}(?={word}{{{n}}})|{word}++)"
+    df = spark.createDataFrame([(t,) for t in rows], "line string")
+    both = df.select("line", F.regexp_extract_all("line", F.lit(L._SHINGLE), F.lit(1)).alias("a"),
+                     F.regexp_extract_all("line", F.lit(plain), F.lit(1)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and sum(len(r["a"]) for r in both) > 1000
+    assert all(re.fullmatch(f"{L._LATIN}+", w) for w in ("cióncoesí", "reißt,", "plain", "łódź"))
+    assert not any(re.search(L._LATIN, c) for c in " \t\x0b\r\n日かก")
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     """The shuffles behind a written table stayed on disk until the driver collected its garbage."""
     import time
