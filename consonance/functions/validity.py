@@ -30,7 +30,9 @@ WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
 
 def unicode_trim(text: Column) -> Column:
     """Strip leading and trailing Unicode white space."""
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    # most texts have none at their ends, and the expression looks at every place of a text
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(WS), F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")).otherwise(text)
 
 
 def _contains_any(lower_text: Column, patterns: list[str]) -> Column:

@@ -2,7 +2,7 @@
 rounds, recovery, placeholders and the control experiment.
 
 The answer function is the extension point (in production an HTTP client for
-a model API). ``answer_tasks`` runs it inside ``mapInPandas`` on the
+a model API). ``answer_tasks`` runs it inside ``mapInArrow`` on the
 executors, so calls spread over the cluster; outcome normalisation, retry
 selection, merging and coverage are JVM-side DataFrame operations. Each
 round is written to the shared checkpoint folder, which cuts the lineage
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,13 @@ def answer_tasks(tasks: DataFrame, answerer_factory: Callable[[], Answerer], att
     column name, the attempt number per row. ``partitions`` spreads the calls
     (hash of model and persona, so models interleave inside a partition).
     """
+    raw = _answered(tasks, answerer_factory, attempt, partitions)
+    return raw.select(*KEYS, "attempt", "response", "success", "tokens")
+
+
+def _answered(tasks: DataFrame, answerer_factory: Callable[[], Answerer], attempt: int | str,
+              partitions: int | None) -> DataFrame:
+    """``answer_tasks`` with the prompt of every row; the columns of a task pass through Python as they came."""
     att_col = F.col(attempt) if isinstance(attempt, str) else F.lit(int(attempt))
     t = tasks.select(*KEYS, "prompt", att_col.cast("int").alias("attempt"))
     if partitions:
@@ -66,24 +74,24 @@ def answer_tasks(tasks: DataFrame, answerer_factory: Callable[[], Answerer], att
 
     def fn(batches):
         answer = answerer_factory()
-        for pdf in batches:
+        for b in batches:
             out = []
-            for m, tp, pid, pr, a in zip(pdf["model"], pdf["topic"], pdf["persona_id"], pdf["prompt"],
-                                         pdf["attempt"]):
+            for m, tp, pid, pr, a in zip(*[c.to_pylist() for c in b.columns]):
                 try:
                     text, err, tok = answer(m, tp, pid, pr, int(a))
-                    out.append((text, err, tok, True))
+                    out.append((text, err, tok))
                 except Exception as e:  # noqa: BLE001 - a failed call becomes an error row
-                    out.append((None, str(e), None, True))
-            raw = pd.DataFrame(out, columns=["response_text", "error", "tokens_used", "received"],
-                               index=pdf.index)
-            raw["tokens_used"] = raw["tokens_used"].astype("Int32")
-            yield pd.concat([pdf, raw], axis=1)
-
-    raw = t.mapInPandas(fn, schema)
+                    out.append((None, str(e), None))
+            text, err, tok = zip(*out) if out else ((), (), ())
+            raw = [pa.array(text, pa.string(), from_pandas=True), pa.array(err, pa.string(), from_pandas=True),
+                   pa.array(pd.Series(tok, dtype=object).astype("Int32"), pa.int32()),
+                   pa.array([True] * len(out), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *raw], names=schema.fieldNames())
+
+    raw = t.mapInArrow(fn, schema)
     o = normalise_outcome(F.col("response_text"), F.col("error"), F.col("tokens_used"), F.col("received"))
-    return raw.select(*KEYS, "attempt", o.alias("o")).select(*KEYS, "attempt", "o.response", "o.success",
-                                                             "o.tokens")
+    return raw.select(*KEYS, "prompt", "attempt", o.alias("o")).select(*KEYS, "prompt", "attempt", "o.response", "o.success",
+                                                                       "o.tokens")
 
 
 def _persist_round(df: DataFrame, name: str) -> DataFrame:
@@ -104,20 +112,33 @@ def run_with_retries(tasks: DataFrame, answerer_factory: Callable[[], Answerer],
     failed retries are logged but not kept, so an unrecovered task keeps its
     first answer.
     """
-    first = _persist_round(answer_tasks(tasks, answerer_factory, 1, partitions)
-                           .withColumn("stage", F.lit("batch")).withColumn("kept", F.lit(True)), "round-0")
-    attempts = first
-    prompts = tasks.select(*KEYS, "prompt")
-    queue = first.where(~F.col("success") | ~is_valid(F.col("response"))).select(*KEYS)
+    some = F.greatest(*[F.col(k).isNull() for k in KEYS]) == F.lit(False)
+
+    def written_round(todo, attempt, stage, kept, bad, name):
+        """A round, written; a row that is asked again keeps its prompt, so no round is joined with all tasks."""
+        rnd = _answered(todo, answerer_factory, attempt, partitions)
+        again = F.coalesce(bad, F.lit(False)) & some
+        return _persist_round(rnd.withColumn("stage", F.lit(stage)).withColumn("kept", kept).withColumn(
+            "again", again).withColumn("prompt", F.when(F.col("again"), F.col("prompt"))), name)
+
+    first = written_round(tasks, 1, "batch", F.lit(True), ~F.col("success") | ~is_valid(F.col("response")), "round-0")
+    attempts = first.drop("prompt", "again")
+    # a key of several tasks is asked again with the prompts of all of them
+    many = _persist_round(first.where(some).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*KEYS),
+                          "repeated-keys")
+    repeats = not many.isEmpty()
+    rnd = first
     for r in range(1, max_retries + 1):
-        todo = queue.join(prompts, KEYS).withColumn("attempt", F.lit(r + 1))
-        rnd = _persist_round(answer_tasks(todo, answerer_factory, "attempt", partitions)
-                             .withColumn("stage", F.lit(f"retry_round_{r}"))
-                             .withColumn("kept", F.col("success")), f"round-{r}")
+        todo = rnd.where("again").select(*KEYS, "prompt")
+        if repeats:
+            prompts = tasks.select(*KEYS, "prompt").join(many, KEYS, "left_semi")
+            todo = todo.join(many, KEYS, "left_anti").unionByName(
+                todo.select(*KEYS).join(many, KEYS, "left_semi").join(prompts, KEYS))
+        rnd = written_round(todo.withColumn("attempt", F.lit(r + 1)), "attempt", f"retry_round_{r}", F.col("success"),
+                            ~F.col("success"), f"round-{r}")
         if rnd.limit(1).count() == 0:  # reads the written round: nothing was left to retry
             break
-        attempts = attempts.unionByName(rnd)
-        queue = rnd.where(~F.col("success")).select(*KEYS)
+        attempts = attempts.unionByName(rnd.drop("prompt", "again"))
     # recovery pass for keys that never produced a row
     absent = missing_tasks(tasks, attempts.select(*KEYS))
     if absent.limit(1).count() > 0:

@@ -133,3 +133,28 @@ def test_gram_stripes_of_large_groups(spark):
     assert len(e) == 1 + -(-1000 // moments.STRIPE)
     total = sum(moments._square_of_sum(int(k), [m]) for k, m in zip(e["k"], e["m"]) if k >= 0)
     assert total == 1000 * 1000
+
+
+def test_short_sparse_rows_are_summed_without_dense_rows(monkeypatch):
+    """Rows of a dozen entries were densified to 1,000 columns before their products were taken."""
+    import numpy as np
+    import pandas as pd
+
+    from consonance.operators import moments
+
+    rng, dim = np.random.default_rng(3), 300
+    idx = [rng.permutation(dim)[:k].astype(np.int32) for k in rng.integers(0, 9, 500)] + [None]
+    val = [rng.normal(size=len(i)) for i in idx[:-1]] + [None]
+    val[3] = val[3] * 0.0
+    pdf = pd.DataFrame({"_idx": idx, "_val": val, "_nb": 2, "_g": "g"})
+    fn = moments._bucket_fn("vec", dim)
+    monkeypatch.setattr(moments, "DENSE_SPEED", 10 ** 9)
+    want = fn(pdf)
+    monkeypatch.undo()
+    monkeypatch.setattr(moments, "_stack_sparse", None)
+    got = fn(pdf)
+    assert got.drop(columns="m").equals(want.drop(columns="m")) and len(got) == 11
+    for a, b in zip(got["m"], want["m"]):
+        assert np.abs(np.frombuffer(a) - np.frombuffer(b)).max() < 1e-12
+    # an index that repeats in a row is left to dense rows, where the last value counts
+    assert moments._sparse_gram(np.array([[1, 1]] * 2), np.array([[1.0, 2.0]] * 2), dim) is None

@@ -155,3 +155,39 @@ def test_checkpoint_folder_is_required_beyond_one_process():
     sc.master = "local-cluster[2,1,1024]"
     with pytest.raises(ValueError):
         checkpoint_dir(fake)
+
+
+def test_retry_rounds_do_not_read_all_tasks_again(spark):
+    """Every retry round joined its queue with the prompts of all tasks, which were built again for it."""
+    from consonance.operators import inference
+
+    read = spark.sparkContext.accumulator(0)
+    rows = [("m", "t", str(i), "ask " * (1 + i % 3)) for i in range(40)]
+    schema = "model string, topic string, persona_id string, prompt string"
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    tasks = spark.createDataFrame(rows, schema).mapInArrow(seen, schema)
+
+    def factory():
+        # persona 3 never answers, every other one with an even id on its second attempt
+        return lambda m, t, p, pr, a: ("" if p == "3" or (a < 2 and int(p or 0) % 2 == 0) else f"{p} {pr} {'word ' * 20}", None, 7)
+
+    att = inference.run_with_retries(tasks, factory, max_retries=3).collect()
+    assert read.value <= 2 * len(rows)  # the first round and the search for absent keys
+    by = {}
+    for r in att:
+        by.setdefault(r["stage"], []).append(r)
+    assert {s: len(v) for s, v in by.items()} == {"batch": 40, "retry_round_1": 21, "retry_round_2": 1, "retry_round_3": 1}
+    assert all(r["response"].startswith(f"{r['persona_id']} ask ") for r in by["retry_round_1"] if r["success"])
+    # a repeated key is asked again with each prompt of it, a key with a null is asked by the recovery pass alone
+    odd = [("m", "t", "3", "p"), ("m", "t", "3", "q"), ("m", None, "4", "r"), ("m", "t", "6", "s"), ("m", "t", "5", "u")]
+    att = inference.run_with_retries(spark.createDataFrame(odd, schema), factory, max_retries=2).collect()
+    count = {}
+    for r in att:
+        count[r["stage"], r["persona_id"]] = count.get((r["stage"], r["persona_id"]), 0) + 1
+    assert count == {("batch", "3"): 2, ("batch", "4"): 1, ("batch", "6"): 1, ("batch", "5"): 1, ("retry_round_1", "3"): 4,
+                     ("retry_round_1", "6"): 1, ("retry_round_2", "3"): 8, ("post_recovery", "4"): 1}
